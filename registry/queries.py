@@ -153,8 +153,8 @@ def forget_count(spark, d):
 
 
 def _hits(h):
-    return h.select("query_id", "user_id", "id", F.round("cosine", 8).alias("cosine"),
-                    F.round("distance", 8).alias("distance"), "rank")
+    return h.select("query_id", "user_id", "id", "cosine",
+                    F.round("distance", 10).alias("distance"), "rank")
 
 
 def knn(spark, d):
@@ -264,7 +264,7 @@ def session_start(spark, d):
 def rerank(spark, d):
     """Rank every access as a candidate of the memory's user: score, floor and cut without a search."""
     m = memories(spark, d)
-    c = sm.access_tally(accesses(spark, d)).join(m, "id").withColumn("cosine", F.least(F.lit(1.0), F.col("hits") / 10.0))
+    c = sm.access_tally(accesses(spark, d)).join(m, "id").withColumn("cosine", F.least(F.lit(1.0), 0.3 + F.col("hits") / 10.0))
     scored = score(c.withColumn("query_id", F.col("user_id")), NOW)
     return sm.rerank(scored).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ordering import top_rows
+from .binding import computed
 from .expr import l2_normalize
 
 _FIRST_SENTENCE = r"^[^.!?。！？]*[.!?。！？]?"
@@ -31,20 +32,21 @@ def extractive_summarizer(
     mark = f"[{user_label} | "
 
     def summarize(batches: DataFrame) -> DataFrame:
-        lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-        said = F.transform(
-            F.filter(lines, lambda x: x.startswith(mark)),
-            lambda x: F.substring(x, F.locate("] - ", x) + F.lit(4), F.length(x)),
-        )
-        read = batches.select("batch_id", lines.alias("lines"), said.alias("said")).select(
-            "batch_id", F.when(F.size("said") > 0, F.col("said")).otherwise(F.col("lines")).alias("messages")
-        )
-        first = F.transform("messages", lambda m: F.regexp_extract(m, _FIRST_SENTENCE, 0))
-        text = read.select(
-            "batch_id",
-            F.substring(F.array_join(first, " "), 1, max_chars).alias("summary"),
-            F.slice(first, 1, max_facts).alias("key_facts"),
-        )
+        def messages(text):
+            lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+            said = F.filter(lines, lambda x: x.startswith(mark))
+            spoken = F.transform(said, lambda x: F.substring(x, F.locate("] - ", x) + F.lit(4), F.length(x)))
+            return F.when(F.size(said) > 0, spoken).otherwise(lines)
+
+        def sentences(said):
+            first = F.transform(said, lambda m: F.regexp_extract(m, _FIRST_SENTENCE, 0))
+            return [
+                F.substring(F.array_join(first, " "), 1, max_chars).alias("summary"),
+                F.slice(first, 1, max_facts).alias("key_facts"),
+            ]
+
+        read = batches.select("batch_id", messages(F.col("text")).alias("messages"))
+        text = computed(read, F.col("messages"), sentences).drop("messages")
         words = read.select(
             "batch_id",
             F.explode(F.regexp_extract_all(F.lower(F.array_join("messages", "\n")), F.lit(_WORD), 0)).alias("word"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .binding import computed
 from .expr import strip_text
 
 # What a reply without the field gets.
@@ -26,82 +27,67 @@ def _unfenced(raw: Column) -> Column:
     return text
 
 
-def _field(doc: str, name: str) -> Column:
-    return F.expr(f"variant_get({doc}, '$.{name}', 'variant')")
+def _typed(raw: Column, direct: Column, fenced: Column, max_topics: int, max_facts: int) -> list[Column]:
+    none = F.array().cast("array<string>")
+    route = F.when(direct.isNotNull(), "json").when(fenced.isNotNull(), "fenced").otherwise("loose")
+    doc = F.coalesce(direct, fenced)
+    is_object = F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False))
+    loose = doc.isNull()
 
+    def got(name: str, kind: str) -> Column:
+        return F.when(is_object, F.try_variant_get(doc, f"$.{name}", kind))
 
-def _kind(value: Column) -> Column:
-    return F.schema_of_variant(value)
+    def found(pattern: str, name: str) -> Column:
+        return F.nullif(F.regexp_extract(raw, pattern.format(name), 1), F.lit(""))
 
+    def text(name: str, default: str) -> Column:
+        return F.when(loose, F.coalesce(found(LOOSE_TEXT, name), F.lit(default))).otherwise(
+            F.coalesce(got(name, "string"), F.lit(default))
+        )
 
-def _list_or_empty(doc: Column, name: str, n: int) -> Column:
-    got = F.expr(f"try_variant_get(_doc, '$.{name}', 'array<string>')")
-    return F.slice(F.coalesce(got, F.array().cast("array<string>")), 1, n)
-
-
-def _found(raw: Column, pattern: str, name: str) -> Column:
-    return F.nullif(F.regexp_extract(raw, pattern.format(name), 1), F.lit(""))
-
+    def wrong(name: str, kind: str) -> Column:
+        value = got(name, "variant")
+        return value.isNotNull() & ~F.schema_of_variant(value).startswith(kind)
 
-def parse_replies(df: DataFrame, raw: str = "raw", max_topics: int = 5, max_facts: int = 5) -> DataFrame:
-    """Add ``route`` (json, fenced, loose), ``problem`` (NULL when usable) and the typed fields."""
-    direct = F.try_parse_json(F.col(raw))
-    fenced = F.try_parse_json(_unfenced(F.col(raw)))
-    df = df.withColumn("_doc", F.coalesce(direct, fenced)).withColumn(
-        "route", F.when(direct.isNotNull(), "json").when(fenced.isNotNull(), "fenced").otherwise("loose")
+    number = F.when(loose, found(LOOSE_NUMBER, "importance")).otherwise(strip_text(got("importance", "string")))
+    number = F.when(number == "true", "1").when(number == "false", "0").otherwise(number)
+    stated = F.when(loose, number.isNotNull()).otherwise(got("importance", "variant").isNotNull())
+    score = F.when(stated, number.try_cast("double")).otherwise(F.lit(DEFAULT_IMPORTANCE))
+    listed = F.transform(
+        F.split(found(LOOSE_LIST, "topics"), ","), lambda t: F.regexp_replace(strip_text(t), '^"+|"+$', "")
     )
-    is_object = F.coalesce(_kind(F.col("_doc")).startswith("OBJECT"), F.lit(False))
-    doc = F.when(is_object, F.col("_doc"))
-    df = df.withColumn("_object", is_object).withColumn("_doc", doc)
-    loose = F.col("route") == "loose"
-
-    topics, facts, importance = (_field("_doc", n) for n in ("topics", "key_facts", "importance"))
-    summary, sentiment = (_field("_doc", n) for n in ("summary", "sentiment"))
-    number = F.expr("try_variant_get(_doc, '$.importance', 'string')")
-    value = F.when(
-        loose,
-        F.coalesce(_found(F.col(raw), LOOSE_NUMBER, "importance"), F.lit(str(DEFAULT_IMPORTANCE))),
-    ).when(importance.isNotNull(), strip_text(number)).otherwise(F.lit(str(DEFAULT_IMPORTANCE)))
-    value = F.when(value == "true", "1").when(value == "false", "0").otherwise(value)
-    score = F.expr("try_cast(_value as double)")
-
-    loose_list = F.transform(
-        F.split(_found(F.col(raw), LOOSE_LIST, "topics"), ","),
-        lambda t: F.regexp_replace(strip_text(t), '^"+|"+$', ""),
+    topics = F.when(loose, F.coalesce(listed, F.array(F.lit(DEFAULT_TOPIC)))).otherwise(
+        F.coalesce(got("topics", "array<string>"), none)
     )
-    df = df.withColumn("_value", value)
-
-    def text(part: Column, name: str, default: str) -> Column:
-        return F.when(loose, F.coalesce(_found(F.col(raw), LOOSE_TEXT, name), F.lit(default))).otherwise(
-            F.coalesce(F.expr(f"try_variant_get(_doc, '$.{name}', 'string')"), F.lit(default))
-        )
-
-    def wrong(value: Column, kind: str) -> Column:
-        return F.coalesce(value.isNotNull() & ~_kind(value).startswith(kind), F.lit(False))
-
     problem = (
-        F.when(F.col(raw).isNull(), "no reply")
-        .when(~loose & ~F.col("_object"), "not an object")
-        .when(wrong(topics, "ARRAY"), "topics not a list")
-        .when(wrong(facts, "ARRAY"), "key_facts not a list")
-        .when(wrong(summary, "STRING"), "summary not text")
-        .when(wrong(sentiment, "STRING"), "sentiment not text")
+        F.when(raw.isNull(), "no reply")
+        .when(~loose & ~is_object, "not an object")
+        .when(wrong("topics", "ARRAY"), "topics not a list")
+        .when(wrong("key_facts", "ARRAY"), "key_facts not a list")
+        .when(wrong("summary", "STRING"), "summary not text")
+        .when(wrong("sentiment", "STRING"), "sentiment not text")
         .when(score.isNull() | F.isnan(score), "importance not a number")
         .when((score < 0) | (score > 1), "importance out of range")
     )
-    return df.select(
-        *[c for c in df.columns if c not in ("_doc", "_object", "_value")],
+    return [
+        route.alias("route"),
         problem.alias("problem"),
-        text(summary, "summary", DEFAULT_SUMMARY).alias("summary"),
-        F.when(
-            loose, F.slice(F.coalesce(loose_list, F.array(F.lit(DEFAULT_TOPIC))), 1, max_topics)
-        ).otherwise(_list_or_empty(doc, "topics", max_topics)).alias("topics"),
-        F.when(loose, F.array().cast("array<string>"))
-        .otherwise(_list_or_empty(doc, "key_facts", max_facts))
-        .alias("key_facts"),
-        text(sentiment, "sentiment", DEFAULT_SENTIMENT).alias("sentiment"),
+        text("summary", DEFAULT_SUMMARY).alias("summary"),
+        F.slice(topics, 1, max_topics).alias("topics"),
+        F.slice(F.coalesce(got("key_facts", "array<string>"), none), 1, max_facts).alias("key_facts"),
+        text("sentiment", DEFAULT_SENTIMENT).alias("sentiment"),
         score.alias("importance"),
+    ]
+
+
+def parse_replies(df: DataFrame, raw: str = "raw", max_topics: int = 5, max_facts: int = 5) -> DataFrame:
+    """Add ``route`` (json, fenced, loose), ``problem`` (NULL when usable) and the typed fields."""
+    reply = F.struct(
+        F.col(raw).alias("raw"),
+        F.try_parse_json(F.col(raw)).alias("direct"),
+        F.try_parse_json(_unfenced(F.col(raw))).alias("fenced"),
     )
+    return computed(df, reply, lambda r: _typed(r["raw"], r["direct"], r["fenced"], max_topics, max_facts))
 
 
 def ingest_responses(df: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame, DataFrame]:

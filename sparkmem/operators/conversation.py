@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import computed
 from ..functions.expr import new_id, strip_text, truncate_marked
 from ..options import SummaryOptions
 from .ordering import number_rows
@@ -60,22 +61,23 @@ def last_user_message(lines: DataFrame) -> DataFrame:
     Content is a string, or a list whose first text part counts; meta lines, broken
     lines and lines without text are passed over.
     """
-    doc = F.try_parse_json("value")
-    parts = F.expr("try_variant_get(_doc, '$.message.content', 'array<variant>')")
-    texts = F.filter(
-        parts, lambda p: F.expr("true") & (F.try_variant_get(p, "$.type", "string") == "text")
-    )
-    kind = F.schema_of_variant(F.expr("variant_get(_doc, '$.message.content', 'variant')"))
-    said = F.when(kind == "STRING", F.expr("try_variant_get(_doc, '$.message.content', 'string')")).when(
-        kind.startswith("ARRAY"), F.try_variant_get(F.get(texts, F.lit(0)), "$.text", "string")
-    )
-    meta = F.coalesce(F.expr("try_variant_get(_doc, '$.isMeta', 'string')"), F.lit("false"))
+
+    def user_text(doc):
+        content = F.try_variant_get(doc, "$.message.content", "variant")
+        kind = F.schema_of_variant(content)
+        parts = F.filter(
+            F.try_variant_get(doc, "$.message.content", "array<variant>"),
+            lambda p: F.try_variant_get(p, "$.type", "string") == "text",
+        )
+        said = F.when(kind == "STRING", F.try_variant_get(doc, "$.message.content", "string")).when(
+            kind.startswith("ARRAY"), F.try_variant_get(F.get(parts, F.lit(0)), "$.text", "string")
+        )
+        meta = F.coalesce(F.try_variant_get(doc, "$.isMeta", "string"), F.lit("false"))
+        of_user = (F.try_variant_get(doc, "$.type", "string") == "user") & meta.isin("false", "0", "")
+        return [F.when(of_user, strip_text(said)).alias("text")]
+
     return (
-        lines.withColumn("_doc", doc)
-        .where(F.schema_of_variant("_doc").startswith("OBJECT"))
-        .where(F.expr("try_variant_get(_doc, '$.type', 'string')") == "user")
-        .where(meta.isin("false", "0", "", "null"))
-        .withColumn("text", strip_text(said))
+        computed(lines, F.try_parse_json("value"), user_text)
         .where(F.col("text") != "")
         .groupBy("transcript")
         .agg(F.max_by("text", "line_no").alias("last_user"))

@@ -96,15 +96,16 @@ def settle(
 ) -> Settlement:
     """Roll faded members up into one summary per period; originals go to the archive.
 
-    Only member rows meet the groups; the other tiers pass through on a filter, so a
-    table split by tier is read once. ``archive_band="below_shield"`` also copies the
+    The groups that settle and their targets, one small row each, are found first and
+    written down, so Spark knows their size when it joins them. Only member rows meet
+    them; the other tiers pass through on a filter. ``archive_band="below_shield"`` also copies the
     unsettled members below the shield to the archive.
     """
     reducer = reducer or concatenating_reducer()
     embedder = embedder or hashing_embedder()
     members, rest, summaries = _split(memories, rule)
     scored = _scored(members, rule, now, decay_opts)
-    groups = _groups(scored, rule)
+    groups = stage(_groups(scored, rule), "settle-groups")
     in_group = F.col("n_low").isNotNull()
     flagged = scored.join(groups.select(*GROUP, "n_low"), GROUP, "left")
     settled = in_group & (F.col("importance") < rule.threshold)
@@ -114,6 +115,7 @@ def settle(
     if text is not None:
         text = text.withColumn("text", F.substring("text", 1, 500))
     target = find_merge_target(groups, memories, rule.target_tier, rule.period, now, text, embedder)
+    target = stage(target, "settle-targets")
 
     existing = target.select(
         *GROUP,

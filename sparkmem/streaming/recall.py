@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 
 from ..options import DecayOptions, RecallOptions
 from ..plans.recall import recall, recall_updates
-from ..sources.staging import stage
 
 
 def stream_recall(
