@@ -90,7 +90,8 @@ def stream_round_batches(
     """Emit the rounds of a batch when its last one arrives, or when the conversation goes idle.
 
     Rounds count in order of arrival (by time inside one trigger). State that is not
-    touched for ``ttl_days`` expires. Needs the RocksDB state store.
+    touched for ``ttl_days`` expires. Needs the RocksDB state store, and a processing-time
+    trigger: its timers follow the clock, so ``availableNow`` would not end.
     """
     ttl = None if ttl_days is None else int(ttl_days * 86_400_000)
     batcher = RoundBatcher(every, int(idle_seconds * 1000), ttl)

@@ -1,4 +1,5 @@
 import json
+import os
 import time
 from datetime import datetime, timedelta
 
@@ -20,18 +21,27 @@ def log_lines(n, conv="c", user=1, start=datetime(2024, 1, 1), step=timedelta(mi
 
 
 def write_file(folder, name, lines):
+    """One log file; files arrive in the order of their numbers."""
     folder.mkdir(exist_ok=True)
     (folder / name).write_text("\n".join(json.dumps(x) for x in lines) + "\n{broken\n\n")
+    at = time.time() - 1000 + 10 * int(name.split(".")[0])
+    os.utime(folder / name, (at, at))
 
 
-def run_batches(spark, src, out, ckpt, every=3, idle=3600.0):
+def run_batches(spark, src, out, ckpt, rounds_in, every=3, idle=3600.0):
+    """Run until ``rounds_in`` rounds are taken in, then stop: timers keep such a query alive."""
     stream = sm.stream_round_batches(sm.stream_rounds(spark, str(src), files_per_trigger=1), every, idle)
     q = (
         stream.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(ckpt))
-        .outputMode("append").trigger(availableNow=True).start()
+        .outputMode("append").trigger(processingTime="3 seconds").start()
     )
-    q.awaitTermination(240)
-    assert q.exception() is None
+    end = time.time() + 90
+    while time.time() < end and sum(p["numInputRows"] for p in q.recentProgress) < rounds_in:
+        assert q.exception() is None
+        time.sleep(0.2)
+    while q.status["isTriggerActive"]:
+        time.sleep(0.1)
+    q.stop()
 
 
 COLUMNS = ["user_id", "conv_id", "round_id", "user_text", "round", "batch_no", "batch_size", "flush"]
@@ -41,10 +51,10 @@ def test_full_batches_equal_the_batch_job_across_a_restart(spark, tmp_path):
     src, out, ckpt = tmp_path / "in", tmp_path / "out", tmp_path / "ckpt"
     a, b = list(log_lines(8, "a")), list(log_lines(4, "b", user=2))
     write_file(src, "1.json", a[:4] + b[:1])
-    run_batches(spark, src, out, ckpt)
+    run_batches(spark, src, out, ckpt, 5)
     write_file(src, "2.json", a[4:5])
     write_file(src, "3.json", a[5:] + b[1:])
-    run_batches(spark, src, out, ckpt)
+    run_batches(spark, src, out, ckpt, 7)
     got = spark.read.parquet(str(out)).select(*COLUMNS)
     want = sm.round_batches(sm.read_rounds(spark, str(src)), 3).where("not flush").select(*COLUMNS)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
