@@ -164,6 +164,18 @@ def new_id(prefix: str, *key, digits: int = 32) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(text, 256), 1, digits))
 
 
+def whole_json(text) -> Column:
+    """The JSON value a text consists of, or NULL if it is anything else or more than that.
+
+    ``try_parse_json`` stops after the first value. Only a single value is valid both
+    as the element of a list and as the value of a field.
+    """
+    t = _col(text)
+    as_field = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}")))
+    as_item = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
+    return F.when(as_field.isNotNull(), F.try_variant_get(as_item, "$[0]", "variant"))
+
+
 def capped(items, n: int) -> Column:
     return F.slice(_col(items), 1, n)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .binding import computed
-from .expr import strip_text
+from .expr import strip_text, whole_json
 
 # What a reply without the field gets.
 DEFAULT_SUMMARY = "Conversation record"
@@ -84,8 +84,8 @@ def parse_replies(df: DataFrame, raw: str = "raw", max_topics: int = 5, max_fact
     """Add ``route`` (json, fenced, loose), ``problem`` (NULL when usable) and the typed fields."""
     reply = F.struct(
         F.col(raw).alias("raw"),
-        F.try_parse_json(F.col(raw)).alias("direct"),
-        F.try_parse_json(_unfenced(F.col(raw))).alias("fenced"),
+        whole_json(raw).alias("direct"),
+        whole_json(_unfenced(F.col(raw))).alias("fenced"),
     )
     return computed(df, reply, lambda r: _typed(r["raw"], r["direct"], r["fenced"], max_topics, max_facts))
 

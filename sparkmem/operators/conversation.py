@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binding import computed
-from ..functions.expr import new_id, strip_text, truncate_marked
+from ..functions.expr import new_id, strip_text, truncate_marked, whole_json
 from ..options import SummaryOptions
 from .ordering import number_rows
 
@@ -77,7 +77,7 @@ def last_user_message(lines: DataFrame) -> DataFrame:
         return [F.when(of_user, strip_text(said)).alias("text")]
 
     return (
-        computed(lines, F.try_parse_json("value"), user_text)
+        computed(lines, whole_json("value"), user_text)
         .where(F.col("text") != "")
         .groupBy("transcript")
         .agg(F.max_by("text", "line_no").alias("last_user"))
