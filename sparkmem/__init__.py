@@ -1,6 +1,13 @@
 """Long-term conversation memory as Spark jobs: DataFrames in, DataFrames out."""
 
-from .functions.models import (
+import sys
+
+from pyspark import cloudpickle
+
+# Tasks carry the functions they need, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+from .functions.models import (  # noqa: E402
     extractive_summarizer,
     hashing_embedder,
     model_embedder,
@@ -61,4 +68,4 @@ from .sources.transcripts import read_transcript_lines
 from .streaming.recall import stream_recall
 from .streaming.rounds import session_rounds, stream_round_batches, stream_sessions
 
-__all__ = [name for name in dir() if not name.startswith("_")]
+__all__ = [name for name in dir() if not name.startswith("_") and name not in ("sys", "cloudpickle")]

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..options import TOPIC_LABEL, DecayOptions
 
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
-_SPACE = r"[\s\x1c-\x1f]"
 
 
 def _col(c) -> Column:
@@ -63,9 +62,16 @@ def parse_created(text, now) -> Column:
     return F.coalesce(parsed, instant(now))
 
 
+# Every character that counts as whitespace at the ends of a text.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip_text(text) -> Column:
     """Remove whitespace of every kind at both ends."""
-    return F.regexp_replace(_col(text), rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
+    return F.btrim(_col(text), F.lit(WHITESPACE))
 
 
 # The block kinds that tools leave in an assistant message.

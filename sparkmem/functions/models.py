@@ -1,20 +1,19 @@
 """The two pluggable model calls, text → reply and text → vector, and their built-in defaults.
 
-A summarizer is ``DataFrame(batch_id, text) → DataFrame(batch_id, raw)``; an embedder is
-``(DataFrame, text column, output column) → DataFrame``. The defaults are deterministic
+A summarizer adds the column ``raw``, one reply per row, to a DataFrame with ``text``; an
+embedder is ``(DataFrame, text column, output column) → DataFrame``. The defaults are deterministic
 and need no Python worker.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.ordering import top_rows
 from .binding import computed
 from .expr import l2_normalize
 
@@ -27,44 +26,53 @@ def extractive_summarizer(
 ):
     """First sentences of the user's messages, their most frequent words as topics.
 
-    Text without user lines (a note) counts line by line.
+    Text without user lines (a note) counts line by line. One pass over the rows: words
+    are counted inside the row, as runs of a sorted list.
     """
     mark = f"[{user_label} | "
 
-    def summarize(batches: DataFrame) -> DataFrame:
-        def messages(text):
-            lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-            said = F.filter(lines, lambda x: x.startswith(mark))
-            spoken = F.transform(said, lambda x: F.substring(x, F.locate("] - ", x) + F.lit(4), F.length(x)))
-            return F.when(F.size(said) > 0, spoken).otherwise(lines)
-
-        def sentences(said):
-            first = F.transform(said, lambda m: F.regexp_extract(m, _FIRST_SENTENCE, 0))
-            return [
-                F.substring(F.array_join(first, " "), 1, max_chars).alias("summary"),
-                F.slice(first, 1, max_facts).alias("key_facts"),
-            ]
-
-        read = batches.select("batch_id", messages(F.col("text")).alias("messages"))
-        text = computed(read, F.col("messages"), sentences).drop("messages")
-        words = read.select(
-            "batch_id",
-            F.explode(F.regexp_extract_all(F.lower(F.array_join("messages", "\n")), F.lit(_WORD), 0)).alias("word"),
-        )
-        counted = words.groupBy("batch_id", "word").agg(F.count("*").alias("n"))
-        topics = (
-            top_rows(counted, ["batch_id"], [F.desc("n"), "word"], max_topics)
-            .groupBy("batch_id")
-            .agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).getField("word").alias("topics"))
+    def messages(lines):
+        said = F.filter(lines, lambda x: x.startswith(mark))
+        spoken = F.transform(said, lambda x: F.substring(x, F.locate("] - ", x) + F.lit(4), F.length(x)))
+        return [F.when(F.size(said) > 0, spoken).otherwise(lines).alias("_said")]
+
+    def words(said):
+        first = F.transform(said, lambda m: F.regexp_extract(m, _FIRST_SENTENCE, 0))
+        text = F.lower(F.array_join(said, "\n"))
+        return [
+            F.substring(F.array_join(first, " "), 1, max_chars).alias("_summary"),
+            F.slice(first, 1, max_facts).alias("_facts"),
+            F.array_sort(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))).alias("_words"),
+        ]
+
+    def runs(found):
+        at = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1))
+        starts = F.filter(at, lambda i: ~F.get(found, i).eqNullSafe(F.get(found, i - 1)))
+        return [F.coalesce(starts, F.array().cast("array<int>")).alias("_starts")]
+
+    def topics(starts):
+        counted = F.transform(
+            starts,
+            lambda i, k: F.struct(
+                (i - F.coalesce(F.get(starts, k + 1), F.size("_words"))).alias("less"), F.get("_words", i).alias("word")
+            ),
         )
+        return [F.slice(F.array_sort(counted), 1, max_topics).getField("word").alias("_topics")]
+
+    def summarize(batches: DataFrame) -> DataFrame:
+        lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+        df = computed(batches, lines, messages)
+        df = computed(df, F.col("_said"), words)
+        df = computed(df, F.col("_words"), runs)
+        df = computed(df, F.col("_starts"), topics)
         reply = F.struct(
-            "summary",
-            F.coalesce("topics", F.array().cast("array<string>")).alias("topics"),
-            "key_facts",
+            F.col("_summary").alias("summary"),
+            F.col("_topics").alias("topics"),
+            F.col("_facts").alias("key_facts"),
             F.lit("neutral").alias("sentiment"),
             F.lit(0.5).alias("importance"),
         )
-        return text.join(topics, "batch_id", "left").select("batch_id", F.to_json(reply).alias("raw"))
+        return df.select(*batches.columns, F.to_json(reply).alias("raw"))
 
     return summarize
 
@@ -73,16 +81,17 @@ def model_summarizer(reply_to, rows_per_call: int = 64):
     """A summarizer from a function ``list[str] → list[str | None]``, called once per chunk of rows."""
 
     def summarize(batches: DataFrame) -> DataFrame:
-        id_type = batches.schema["batch_id"].dataType
-        schema = T.StructType([T.StructField("batch_id", id_type), T.StructField("raw", T.StringType())])
+        schema = T.StructType([*batches.schema.fields, T.StructField("raw", T.StringType())])
 
         def task(frames):
-            for frame in frames:
-                for lo in range(0, len(frame), rows_per_call):
-                    part = frame.iloc[lo : lo + rows_per_call]
-                    yield pd.DataFrame({"batch_id": part["batch_id"], "raw": reply_to(part["text"].tolist())})
-
-        return batches.select("batch_id", "text").mapInPandas(task, schema)
+            for batch in frames:
+                texts = batch.column("text").to_pylist()
+                replies = []
+                for lo in range(0, len(texts), rows_per_call):
+                    replies += reply_to(texts[lo : lo + rows_per_call])
+                yield batch.append_column("raw", pa.array(replies, pa.string()))
+
+        return batches.mapInArrow(task, schema)
 
     return summarize
 

@@ -21,10 +21,10 @@ LOOSE_NUMBER = r'"{}"\s*:\s*([0-9.]+)'
 
 
 def _unfenced(raw: Column) -> Column:
-    text = strip_text(raw)
+    text = bare = strip_text(raw)
     for pattern in (r"\A```json\s*", r"\A```\s*", r"\s*```\n?\z"):
-        text = F.regexp_replace(text, pattern, "")
-    return text
+        bare = F.regexp_replace(bare, pattern, "")
+    return F.when(text.contains("```"), bare).otherwise(text)
 
 
 def _typed(raw: Column, direct: Column, fenced: Column, max_topics: int, max_facts: int) -> list[Column]:

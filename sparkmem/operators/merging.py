@@ -85,8 +85,7 @@ def model_reducer(summarizer, max_chars: int = 8000):
         level = members.select(*GROUP, *MEMBER_ORDER, F.coalesce("content", F.lit("")).alias("content"), "topics")
         while True:
             level = stage(_packed(level, max_chars), "merge-texts")
-            replies = parse_replies(summarizer(level.select("batch_id", "text")))
-            merged = stage(level.select("batch_id", *GROUP, "ord").join(replies, "batch_id", "left"), "merge-replies")
+            merged = stage(parse_replies(summarizer(level)), "merge-replies")
             broken = merged.where(F.col("problem").isNotNull() | F.col("summary").isNull())
             if not broken.isEmpty():
                 raise ValueError("the summarizer gave an unusable reply for a merge: " + str(broken.first().asDict()))

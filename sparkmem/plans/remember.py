@@ -55,9 +55,8 @@ def numbered_batches(rounds: DataFrame, opts: SummaryOptions) -> DataFrame:
 
 
 def summarized(texts: DataFrame, summarizer, opts: SummaryOptions = SummaryOptions()) -> DataFrame:
-    """Texts with their parsed replies; a batch without a reply has a problem, not a gap."""
-    raw = summarizer(texts.select("batch_id", "text"))
-    return parse_replies(texts.join(raw, "batch_id", "left"), "raw", opts.max_topics, opts.max_facts)
+    """Texts with their parsed replies; a text without a reply has a problem, not a gap."""
+    return parse_replies(summarizer(texts), "raw", opts.max_topics, opts.max_facts)
 
 
 def memory_rows(usable: DataFrame, session_id, source: str, now, embedder=None) -> DataFrame:
