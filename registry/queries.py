@@ -210,8 +210,7 @@ def find_merge_target_semantic(spark, d):
     vectors = embed(m.drop("embedding"), "content", "embedding")
     text = m.withColumn("period", X.period_key("created_at", "month", NOW)).groupBy("user_id", "period").agg(
         F.min_by("content", "id").alias("text"))
-    t = sm.find_merge_target(groups, vectors.where("tier is distinct from 'monthly' or user_id = 0"), "monthly", "month",
-                             NOW, text, embed, max_distance=0.9)
+    t = sm.find_merge_target(groups, vectors, "monthly", "month", NOW, text, embed, max_distance=0.9)
     return t.select("user_id", "period", F.col("target.id").alias("target_id"))
 
 

@@ -82,12 +82,15 @@ def _typed(raw: Column, direct: Column, fenced: Column, max_topics: int, max_fac
 
 def parse_replies(df: DataFrame, raw: str = "raw", max_topics: int = 5, max_facts: int = 5) -> DataFrame:
     """Add ``route`` (json, fenced, loose), ``problem`` (NULL when usable) and the typed fields."""
-    reply = F.struct(
-        F.col(raw).alias("raw"),
-        whole_json(raw).alias("direct"),
-        whole_json(_unfenced(F.col(raw))).alias("fenced"),
-    )
-    return computed(df, reply, lambda r: _typed(r["raw"], r["direct"], r["fenced"], max_topics, max_facts))
+    def read(direct: Column) -> list[Column]:
+        fenced = F.when(direct.isNull(), whole_json(_unfenced(F.col(raw))))
+        return [direct.alias("_direct"), fenced.alias("_fenced")]
+
+    docs = computed(df, whole_json(raw), read)
+    reply = F.struct(F.col(raw).alias("raw"), F.col("_direct").alias("direct"), F.col("_fenced").alias("fenced"))
+    return computed(
+        docs, reply, lambda r: _typed(r["raw"], r["direct"], r["fenced"], max_topics, max_facts)
+    ).drop("_direct", "_fenced")
 
 
 def ingest_responses(df: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame, DataFrame]:

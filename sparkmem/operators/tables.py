@@ -95,5 +95,11 @@ def find_merge_target(
         .agg(F.min_by("id", "rank").alias("id"))
     )
     matched = asked.select("query_id", "user_id", "period").join(near, "query_id").drop("query_id")
-    rows = memories.where(F.col("tier") == tier).select(F.struct(*keep).alias("target"), "id")
-    return dated.unionByName(rows.join(matched, "id").select("user_id", "period", "target"))
+    # A summary takes in one group: the earliest of those near it, unless its own period asks.
+    free = (
+        matched.join(dated.select(F.col("target.id").alias("id")), "id", "left_anti")
+        .groupBy("user_id", "id")
+        .agg(F.min("period").alias("period"))
+    )
+    rows = memories.where(F.col("tier") == tier).select("id", F.struct(*keep).alias("target"))
+    return dated.unionByName(rows.join(free, "id").select("user_id", "period", "target"))

@@ -96,9 +96,10 @@ def settle(
 ) -> Settlement:
     """Roll faded members up into one summary per period; originals go to the archive.
 
-    The groups that settle and their targets, one small row each, are found first and
-    written down, so Spark knows their size when it joins them. Only member rows meet
-    them; the other tiers pass through on a filter. ``archive_band="below_shield"`` also copies the
+    What is small, one row per settling group, is worked out at once and written down: the
+    groups, their targets and the new summaries. So model calls run once, and Spark knows
+    the sizes it joins. ``hot`` and ``archived`` stay lazy: only member rows meet the
+    groups, the other tiers pass through on a filter. ``archive_band="below_shield"`` also copies the
     unsettled members below the shield to the archive.
     """
     reducer = reducer or concatenating_reducer()
@@ -158,7 +159,7 @@ def settle(
             F.col("period"),
         )
     )
-    merged = conform(embedder(merged, "content", "embedding"))
+    merged = stage(conform(embedder(merged, "content", "embedding")), "settle-merged")
     replaced = target.select(F.col("target.id").alias("id"))
     hot = (
         conform(flagged.where(~F.coalesce(settled, F.lit(False))))
@@ -207,17 +208,21 @@ def session_end(
 ) -> SessionEnd:
     """Flush the rounds, age everything, settle days into months, then months into years.
 
-    Each step writes its table once; the yearly step reads the months just written.
+    The yearly step sees the months of the monthly step. Only new rows and the summary tiers
+    are written on the way; the daily rows, the bulk of the table, pass straight through.
     """
     remembered = summarize_batches(rounds, now, summarizer, embedder, summary_opts)
-    start = conform(memories).unionByName(stage(remembered.memories, "remembered"))
-    start = stage(decay(start, now, decay_opts), "decayed")
+    new = stage(remembered.memories, "remembered")
+    start = decay(conform(memories).unionByName(new), now, decay_opts)
     monthly = settle(start, DAILY_TO_MONTHLY, now, reducer, embedder, decay_opts=decay_opts)
-    daily_archive = stage(monthly.archived, "archive-daily")
-    yearly = settle(
-        stage(monthly.hot, "settled-monthly"), MONTHLY_TO_YEARLY, now, reducer, embedder, decay_opts=decay_opts
+    is_summary = F.coalesce(F.col("tier").isin("monthly", "yearly"), F.lit(False))
+    summaries = stage(monthly.hot.where(is_summary), "summaries")
+    yearly = settle(summaries, MONTHLY_TO_YEARLY, now, reducer, embedder, decay_opts=decay_opts)
+    return SessionEnd(
+        monthly.hot.where(~is_summary).unionByName(yearly.hot),
+        monthly.archived.unionByName(yearly.archived),
+        remembered._replace(memories=new),
     )
-    return SessionEnd(yearly.hot, daily_archive.unionByName(yearly.archived), remembered)
 
 
 def merge_plan(groups: DataFrame, summaries: DataFrame, archive: DataFrame, rule: SettleRule, now,

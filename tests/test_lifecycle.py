@@ -190,3 +190,28 @@ def test_forget_keeps_rows_it_cannot_judge(spark):
     rows = [daily(0, importance=0.1), daily(1, importance=0.3), daily(2, importance=None), daily(3, importance=0.1, day=datetime(2024, 6, 20))]
     kept, dropped = sm.forget(memory_rows(spark, rows), NOW)
     assert ids(kept) == ["m001", "m002", "m003"] and dropped.first().dropped == 1
+
+
+def test_a_summary_is_the_target_of_one_group_only(spark):
+    embed = sm.hashing_embedder(64)
+    rows = [daily(i, content="alpha beta", day=datetime(2024, 1 + i // 3, 1 + i % 3)) for i in range(6)]
+    rows.append(daily(30, tier="monthly", day=datetime(2023, 11, 1), content="alpha beta", id="a030"))
+    m = memory_rows(spark, rows)
+    m = embed(m.drop("embedding"), "content", "embedding").select(*m.columns)
+    s = sm.settle(m, DAY, NOW, embedder=embed, semantic_target=True)
+    made = {r.session_id: r.id for r in s.merged.collect()}
+    assert made["settle-2024-01"] == "a030" != made["settle-2024-02"]
+    assert len(ids(s.hot)) == len(set(ids(s.hot))) == 2
+
+
+def test_plans_shuffle_only_what_settles(spark, tmp_path):
+    path = str(tmp_path / "m")
+    sm.write_memories(memories(spark, SF), path)
+    m = sm.read_memories(spark, path)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(sm.decay(m, NOW)) and "Python" not in plan(sm.decay(m, NOW))
+    hot = plan(sm.settle(m, DAY, NOW).hot)
+    assert "CartesianProduct" not in hot and "Nested" not in hot and "MapInArrow" not in hot
+    assert hot.count("BroadcastExchange") >= 2  # groups and targets: written tables of known size
+    recent = plan(sm.recent(m.drop("content", "embedding"), 20))
+    assert recent.count("WindowGroupLimit") >= 2
