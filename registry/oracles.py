@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sparkmem as sm
 
-from .oracle_inputs import ACCESSES, MEMORIES, NOTES, NOW, PROMPTS, REPLIES, ROUNDS
+from .oracle_inputs import ACCESSES, MEMORIES, NOTES, NOW, PROMPTS, REPLIES, ROUNDS, owner
 
 GUIDE = sm.ContextOptions().guide.replace("'", "''")
 BUDGET = sm.ContextOptions().budget
@@ -187,9 +187,6 @@ def batches(every):
       count(*) OVER (PARTITION BY user_id, conv_id) AS n FROM rounds) x) y)"""
 
 
-CLEAN_ROUNDS = ROUNDS  # the texts hold no tool-call blocks
-
-
 def conv_line(label, c):
     said = strip(f"replace({c}, chr(10), ' ')")
     return (
@@ -242,7 +239,7 @@ def remembered(src, session, source, p="x", name="remembered"):
 
 
 SUMMARIES = ",\n".join([
-    CLEAN_ROUNDS, batches(2), TEXTS,
+    ROUNDS, batches(2), TEXTS,
     "ready AS (SELECT * FROM texts WHERE batch_size >= 2)",
     extractive("ready"),
     remembered("ready", "'session-' || strftime(first_ts, '%Y-%m-%d') || '-' || substr(sha256(batch_id), 1, 8)", "auto_summary"),
@@ -331,6 +328,23 @@ ENDED = with_(
 TALLY = "tally AS (SELECT id, count(*) AS hits, max(hit_at) AS last_hit FROM accesses GROUP BY id)"
 
 ORACLES = {
+    "memories_table": with_(MEMORIES) + flat("memories"),
+    "rounds_log": with_(ROUNDS) + f"SELECT user_id, conv_id, round_id, user_text, {strip('assistant_text')} AS assistant_text, {stamp('ts')} AS ts FROM rounds",
+    "archive_files": with_(MEMORIES, settle(DAY, "memories", "d")) + """SELECT id, content, merged_into, session_id,
+  'tier=' || tier || '/period=' || period AS folder FROM d_archived""",
+    "summarize_with_model": with_(ROUNDS, batches(2), TEXTS) + """SELECT 'mem-' || substr(sha256(batch_id), 1, 32) AS id,
+  string_split(text, chr(10))[1] AS content, 'm' AS topics, 0.75e0 AS importance, 1e0 AS x, 2 AS dim
+FROM texts WHERE batch_size >= 2""",
+    "stream_recall": with_(MEMORIES, PROMPTS, LOW) + "SELECT query_id, id, rank, round(score, 6) AS score FROM hits",
+    "stream_sessions": f"""WITH turns AS (
+  SELECT {owner("conv_id")} AS user_id, CAST(conv_id AS VARCHAR) AS conv_id,
+    TIMESTAMP '2024-01-01 00:00:00' + conv_id * INTERVAL 1 HOUR + turn * INTERVAL 1 MINUTE AS ts FROM conversations),
+gaps AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 20 MINUTE THEN 0 ELSE 1 END AS opens FROM turns
+  WINDOW w AS (PARTITION BY user_id, conv_id ORDER BY ts)),
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY user_id, conv_id ORDER BY ts) AS s FROM gaps)
+SELECT user_id, conv_id, count(*) AS rounds, {stamp("min(ts)")} AS first_ts, {stamp("max(ts)")} AS last_ts
+FROM numbered GROUP BY user_id, conv_id, s
+HAVING max(ts) + INTERVAL 40 MINUTE <= (SELECT max(ts) FROM turns)""",
     "memories_scan": with_(MEMORIES) + flat("memories"),
     "effective_importance": with_(MEMORIES) + f"SELECT id, {eff()} AS effective FROM memories",
     "parse_created": f"""SELECT doc_id, {stamp("CASE doc_id % 6 WHEN 0 THEN day WHEN 1 THEN moment WHEN 2 THEN moment - INTERVAL 2 HOUR WHEN 3 THEN moment ELSE " + NOW + " END")} AS created_at

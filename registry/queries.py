@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from functools import partial
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,11 +16,11 @@ from sparkmem.operators.conversation import with_batch_id
 from sparkmem.operators.corpus import chunk_corpus
 from sparkmem.operators.merging import concatenating_reducer
 from sparkmem.plans.ingest import note_chunks
-from sparkmem.plans.lifecycle import _as_members, _groups, _scored, _split
+from sparkmem.plans.lifecycle import _as_members, _scored, _split
 from sparkmem.plans.recall import score
-from sparkmem.plans.remember import numbered_batches
+from sparkmem.sources.staging import shared_dir
 
-from .inputs import NOW, accesses, memories, notes, prompts, replies, rounds, table, transcript_lines
+from .inputs import NOW, accesses, memories, notes, owner, prompts, replies, rounds, table, transcript_lines
 
 # The test vectors are nearly orthogonal, so most queries use lower bars than the defaults.
 LOW_BARS = sm.RecallOptions(min_score=0.2, min_cosine=0.2)
@@ -383,7 +386,81 @@ def last_user_message(spark, d):
     return sm.last_user_message(transcript_lines(spark, d))
 
 
+def _fresh(spark, name):
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def memories_table(spark, d):
+    path = _fresh(spark, "memories")
+    sm.write_memories(memories(spark, d), path)
+    return _flat(sm.read_memories(spark, path, vectors=False))
+
+
+def rounds_log(spark, d):
+    path = _fresh(spark, "rounds")
+    sm.append_rounds(rounds(spark, d), path)
+    return sm.read_rounds(spark, path).select(
+        "user_id", "conv_id", "round_id", "user_text", "assistant_text", _stamp("ts").alias("ts"))
+
+
+def archive_files(spark, d):
+    """Write the archive, read it back, and find each row's file through the index."""
+    path = _fresh(spark, "archive")
+    sm.write_archive(sm.settle(memories(spark, d), sm.DAILY_TO_MONTHLY, NOW).archived, path)
+    archive = sm.read_archive(spark, path)
+    found = sm.lookup_archive(archive, archive, sm.archive_index(spark, path))
+    return found.select("id", "content", "merged_into", F.col("metadata.session_id").alias("session_id"),
+                        F.regexp_extract("path", "(tier=[^/]*/period=[^/]*)/", 1).alias("folder"))
+
+
+def summarize_with_model(spark, d):
+    def reply(texts):
+        return [json.dumps({"summary": t.split("\n")[0], "topics": ["m"], "importance": 0.75}) for t in texts]
+
+    def load():
+        return lambda texts: np.array([[len(t), 0.0] for t in texts], dtype=np.float32)
+
+    m = sm.summarize_batches(rounds(spark, d), NOW, sm.model_summarizer(reply), sm.model_embedder(load, 256), SHORT).memories
+    return m.select("id", "content", _joined("topics").alias("topics"), "importance",
+                    F.round(F.col("embedding")[0].cast("double"), 5).alias("x"), F.size("embedding").alias("dim"))
+
+
+def _stream(spark, d, name):
+    schema = table(spark, d, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+def stream_recall(spark, d):
+    """Prompts arrive as a stream; the answers are those of the batch job."""
+    asked = _stream(spark, d, "embeddings").select(
+        F.col("vec_id").alias("query_id"), owner("vec_id").alias("user_id"), F.col("embedding").alias("q_embedding"))
+    hits = _fresh(spark, "hits")
+    sm.stream_recall(asked, memories(spark, d), NOW, hits, _fresh(spark, "updates"), _fresh(spark, "stream"),
+                     LOW_BARS).awaitTermination()
+    return spark.read.parquet(hits).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+def stream_sessions(spark, d):
+    """Every turn of every conversation as a stream; sessions that closed by its end."""
+    turns = _stream(spark, d, "conversations").select(
+        owner("conv_id").alias("user_id"), F.col("conv_id").cast("string").alias("conv_id"),
+        (F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+         + F.make_dt_interval(hours=F.col("conv_id").cast("int"), mins=F.col("turn").cast("int"))).alias("ts"))
+    closed = _fresh(spark, "sessions")
+    (sm.stream_sessions(turns, "20 minutes").writeStream.format("parquet").option("path", closed)
+     .option("checkpointLocation", _fresh(spark, "stream")).outputMode("append").trigger(availableNow=True)
+     .start().awaitTermination())
+    return spark.read.parquet(closed).select("user_id", "conv_id", "rounds", _stamp("first_ts").alias("first_ts"),
+                                             _stamp("last_ts").alias("last_ts"))
+
+
 QUERIES = {
+    "memories_table": memories_table,
+    "rounds_log": rounds_log,
+    "archive_files": archive_files,
+    "summarize_with_model": summarize_with_model,
+    "stream_recall": stream_recall,
+    "stream_sessions": stream_sessions,
     "memories_scan": memories_scan,
     "effective_importance": effective_importance,
     "parse_created": parse_created,

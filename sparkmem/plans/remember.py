@@ -13,7 +13,6 @@ from ..functions.responses import parse_replies
 from ..operators.conversation import CONVERSATION, assemble_conversation, round_batches, with_batch_id
 from ..options import SummaryOptions
 from ..schema import MEMORY, conform
-from ..sources.staging import stage
 
 
 class Remembered(NamedTuple):
@@ -78,11 +77,3 @@ def memory_rows(usable: DataFrame, session_id, source: str, now, embedder=None)
     )
     return conform((embedder or hashing_embedder())(rows, "content", "embedding"), MEMORY)
 
-
-def stage_replies(summarizer):
-    """A summarizer whose replies are written once, for model calls too dear to repeat."""
-
-    def summarize(batches: DataFrame) -> DataFrame:
-        return stage(summarizer(batches), "replies")
-
-    return summarize
