@@ -42,7 +42,7 @@ def extractive_summarizer(
         return [
             F.substring(F.array_join(first, " "), 1, max_chars).alias("_summary"),
             F.slice(first, 1, max_facts).alias("_facts"),
-            F.array_sort(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))).alias("_words"),
+            F.sort_array(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))).alias("_words"),
         ]
 
     def runs(found):
@@ -57,7 +57,7 @@ def extractive_summarizer(
                 (i - F.coalesce(F.get(starts, k + 1), F.size("_words"))).alias("less"), F.get("_words", i).alias("word")
             ),
         )
-        return [F.slice(F.array_sort(counted), 1, max_topics).getField("word").alias("_topics")]
+        return [F.slice(F.sort_array(counted), 1, max_topics).getField("word").alias("_topics")]
 
     def summarize(batches: DataFrame) -> DataFrame:
         lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")

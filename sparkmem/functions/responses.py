@@ -27,70 +27,71 @@ def _unfenced(raw: Column) -> Column:
     return F.when(text.contains("```"), bare).otherwise(text)
 
 
-def _typed(raw: Column, direct: Column, fenced: Column, max_topics: int, max_facts: int) -> list[Column]:
-    none = F.array().cast("array<string>")
-    route = F.when(direct.isNotNull(), "json").when(fenced.isNotNull(), "fenced").otherwise("loose")
-    doc = F.coalesce(direct, fenced)
-    is_object = F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False))
-    loose = doc.isNull()
-
-    def got(name: str, kind: str) -> Column:
-        return F.when(is_object, F.try_variant_get(doc, f"$.{name}", kind))
-
-    def found(pattern: str, name: str) -> Column:
-        return F.nullif(F.regexp_extract(raw, pattern.format(name), 1), F.lit(""))
-
-    def text(name: str, default: str) -> Column:
-        return F.when(loose, F.coalesce(found(LOOSE_TEXT, name), F.lit(default))).otherwise(
-            F.coalesce(got(name, "string"), F.lit(default))
-        )
-
-    def wrong(name: str, kind: str) -> Column:
-        value = got(name, "variant")
-        return value.isNotNull() & ~F.schema_of_variant(value).startswith(kind)
-
-    number = F.when(loose, found(LOOSE_NUMBER, "importance")).otherwise(strip_text(got("importance", "string")))
-    number = F.when(number == "true", "1").when(number == "false", "0").otherwise(number)
-    stated = F.when(loose, number.isNotNull()).otherwise(got("importance", "variant").isNotNull())
-    score = F.when(stated, number.try_cast("double")).otherwise(F.lit(DEFAULT_IMPORTANCE))
-    listed = F.transform(
-        F.split(found(LOOSE_LIST, "topics"), ","), lambda t: F.regexp_replace(strip_text(t), '^"+|"+$', "")
-    )
-    topics = F.when(loose, F.coalesce(listed, F.array(F.lit(DEFAULT_TOPIC)))).otherwise(
-        F.coalesce(got("topics", "array<string>"), none)
-    )
-    problem = (
-        F.when(raw.isNull(), "no reply")
-        .when(~loose & ~is_object, "not an object")
-        .when(wrong("topics", "ARRAY"), "topics not a list")
-        .when(wrong("key_facts", "ARRAY"), "key_facts not a list")
-        .when(wrong("summary", "STRING"), "summary not text")
-        .when(wrong("sentiment", "STRING"), "sentiment not text")
-        .when(score.isNull() | F.isnan(score), "importance not a number")
-        .when((score < 0) | (score > 1), "importance out of range")
-    )
-    return [
-        route.alias("route"),
-        problem.alias("problem"),
-        text("summary", DEFAULT_SUMMARY).alias("summary"),
-        F.slice(topics, 1, max_topics).alias("topics"),
-        F.slice(F.coalesce(got("key_facts", "array<string>"), none), 1, max_facts).alias("key_facts"),
-        text("sentiment", DEFAULT_SENTIMENT).alias("sentiment"),
-        score.alias("importance"),
-    ]
+def _found(raw: Column, pattern: str, name: str) -> Column:
+    return F.nullif(F.regexp_extract(raw, pattern.format(name), 1), F.lit(""))
 
 
 def parse_replies(df: DataFrame, raw: str = "raw", max_topics: int = 5, max_facts: int = 5) -> DataFrame:
     """Add ``route`` (json, fenced, loose), ``problem`` (NULL when usable) and the typed fields."""
-    def read(direct: Column) -> list[Column]:
-        fenced = F.when(direct.isNull(), whole_json(_unfenced(F.col(raw))))
+    text, none = F.col(raw), F.array().cast("array<string>")
+    loose = F.col("route") == "loose"
+
+    def documents(direct: Column) -> list[Column]:
+        fenced = F.when(direct.isNull(), whole_json(_unfenced(text)))
         return [direct.alias("_direct"), fenced.alias("_fenced")]
 
-    docs = computed(df, whole_json(raw), read)
-    reply = F.struct(F.col(raw).alias("raw"), F.col("_direct").alias("direct"), F.col("_fenced").alias("fenced"))
-    return computed(
-        docs, reply, lambda r: _typed(r["raw"], r["direct"], r["fenced"], max_topics, max_facts)
-    ).drop("_direct", "_fenced")
+    def routes(doc: Column) -> list[Column]:
+        is_object = F.schema_of_variant(doc).startswith("OBJECT")
+        return [
+            F.when(F.col("_direct").isNotNull(), "json").when(doc.isNotNull(), "fenced").otherwise("loose").alias("route"),
+            F.when(is_object, doc).alias("_doc"),
+        ]
+
+    def scores(number: Column) -> list[Column]:
+        value = F.when(number == "true", "1").when(number == "false", "0").otherwise(number)
+        given = number.isNotNull() | F.try_variant_get("_doc", "$.importance", "variant").isNotNull()
+        return [F.when(given, value.try_cast("double")).otherwise(F.lit(DEFAULT_IMPORTANCE)).alias("_score")]
+
+    def fields(doc: Column) -> list[Column]:
+        def got(name: str, kind: str) -> Column:
+            return F.try_variant_get(doc, f"$.{name}", kind)
+
+        def string(name: str, default: str) -> Column:
+            said = F.when(loose, _found(text, LOOSE_TEXT, name)).otherwise(got(name, "string"))
+            return F.coalesce(said, F.lit(default)).alias(name)
+
+        def wrong(name: str, kind: str) -> Column:
+            return ~F.schema_of_variant(got(name, "variant")).startswith(kind)
+
+        listed = F.transform(
+            F.split(_found(text, LOOSE_LIST, "topics"), ","), lambda t: F.regexp_replace(strip_text(t), '^"+|"+$', "")
+        )
+        topics = F.when(loose, F.coalesce(listed, F.array(F.lit(DEFAULT_TOPIC)))).otherwise(got("topics", "array<string>"))
+        score = F.col("_score")
+        problem = (
+            F.when(text.isNull(), "no reply")
+            .when(~loose & doc.isNull(), "not an object")
+            .when(wrong("topics", "ARRAY"), "topics not a list")
+            .when(wrong("key_facts", "ARRAY"), "key_facts not a list")
+            .when(wrong("summary", "STRING"), "summary not text")
+            .when(wrong("sentiment", "STRING"), "sentiment not text")
+            .when(score.isNull() | F.isnan(score), "importance not a number")
+            .when((score < 0) | (score > 1), "importance out of range")
+        )
+        return [
+            problem.alias("problem"),
+            string("summary", DEFAULT_SUMMARY),
+            F.slice(F.coalesce(topics, none), 1, max_topics).alias("topics"),
+            F.slice(F.coalesce(got("key_facts", "array<string>"), none), 1, max_facts).alias("key_facts"),
+            string("sentiment", DEFAULT_SENTIMENT),
+            score.alias("importance"),
+        ]
+
+    df = computed(df, whole_json(raw), documents)
+    df = computed(df, F.coalesce("_direct", "_fenced"), routes)
+    in_doc = strip_text(F.try_variant_get("_doc", "$.importance", "string"))
+    df = computed(df, F.when(loose, _found(text, LOOSE_NUMBER, "importance")).otherwise(in_doc), scores)
+    return computed(df, F.col("_doc"), fields).drop("_direct", "_fenced", "_doc", "_score")
 
 
 def ingest_responses(df: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -47,7 +47,7 @@ def assemble_conversation(batches: DataFrame, opts: SummaryOptions = SummaryOpti
     lines = F.concat_ws("\n", line(opts.user_label, "user_text"), line(opts.assistant_label, "assistant_text"))
     rows = batches.select("batch_id", *CONVERSATION, "batch_no", "batch_size", "flush", "ts", "round",
                           F.nullif(lines, F.lit("")).alias("lines"))
-    ordered = F.array_sort(F.collect_list(F.struct("round", "lines"))).getField("lines")
+    ordered = F.sort_array(F.collect_list(F.struct("round", "lines"))).getField("lines")
     return rows.groupBy("batch_id").agg(
         *[F.any_value(c).alias(c) for c in (*CONVERSATION, "batch_no", "batch_size", "flush")],
         F.min("ts").alias("first_ts"),

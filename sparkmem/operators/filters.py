@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import computed
 from ..functions.expr import instant, strip_text
 
 _COMPARE = {
@@ -69,16 +70,22 @@ def min_importance(df: DataFrame, x: float = 0.3) -> DataFrame:
 
 def exclude_notes(notes: DataFrame, file_names=(), patterns=()) -> DataFrame:
     """Drop notes by file name, and notes whose text contains a pattern in any letter case."""
-    return notes.where(~excluded_by_name(file_names) & ~excluded_by_content(patterns))
+    kept = notes.where(~F.col("file_name").isin(list(file_names))) if file_names else notes
+    if not patterns:
+        return kept
+    flagged = computed(kept, F.lower("content"), lambda text: [_contains_any(text, patterns).alias("_excluded")])
+    return flagged.where(~F.col("_excluded")).drop("_excluded")
 
 
-def excluded_by_name(file_names) -> Column:
-    return F.col("file_name").isin(list(file_names)) if file_names else F.lit(False)
+def _contains_any(lowered: Column, patterns) -> Column:
+    found = [lowered.contains(F.lower(F.lit(p))) for p in patterns]
+    return F.coalesce(reduce(operator.or_, found), F.lit(False))
 
 
-def excluded_by_content(patterns) -> Column:
-    text = F.lower("content")
-    return reduce(operator.or_, [text.contains(F.lower(F.lit(p))) for p in patterns], F.lit(False))
+def excluded(file_names=(), patterns=()) -> Column:
+    """Whether ``exclude_notes`` drops a note."""
+    by_name = F.col("file_name").isin(list(file_names)) if file_names else F.lit(False)
+    return by_name | (_contains_any(F.lower("content"), patterns) if patterns else F.lit(False))
 
 
 def long_enough(df: DataFrame, column: str, n: int) -> DataFrame:

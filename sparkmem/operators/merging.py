@@ -25,7 +25,7 @@ def leading_text(members: DataFrame, budget: int, joiner: str = "\n") -> DataFra
     rows = members.select(*GROUP, *MEMBER_ORDER, F.coalesce("content", F.lit("")).alias("content"))
     size = F.length("content") + len(joiner)
     head = leading_rows(rows, GROUP, MEMBER_ORDER, size, budget + 1, ["id"])
-    ordered = F.array_sort(F.collect_list(F.struct(*MEMBER_ORDER, "content"))).getField("content")
+    ordered = F.sort_array(F.collect_list(F.struct(*MEMBER_ORDER, "content"))).getField("content")
     return head.groupBy(*GROUP).agg(F.array_join(ordered, joiner).alias("text"))
 
 
@@ -61,7 +61,7 @@ def concatenating_reducer(
 
         def gathered(kind: str, n: int):
             mine = F.when((F.col("kind") == kind) & (F.col("rank") <= n), F.struct("rank", "item"))
-            return F.array_sort(F.collect_list(mine)).getField("item").alias(kind)
+            return F.sort_array(F.collect_list(mine)).getField("item").alias(kind)
 
         lists = kept.groupBy(*GROUP).agg(gathered("topics", max_topics), gathered("key_facts", max_facts))
         none = F.array().cast("array<string>")
@@ -116,7 +116,7 @@ def _packed(rows: DataFrame, max_chars: int) -> DataFrame:
     # Two rows at least share a text, so each level halves a part whatever the lengths.
     packed = sized.withColumn("_pair", pair).withColumn("_size", by_size)
     packed = packed.withColumn("_pack", F.min("_size").over(Window.partitionBy(*GROUP, "_part", "_pair")))
-    ordered = F.array_sort(F.collect_list(F.struct(*MEMBER_ORDER, "line"))).getField("line")
+    ordered = F.sort_array(F.collect_list(F.struct(*MEMBER_ORDER, "line"))).getField("line")
     return (
         packed.groupBy(*GROUP, "_part", "_pack")
         .agg(F.min("ord").alias("ord"), F.min("id").alias("first_id"), F.array_join(ordered, "\n").alias("text"))

@@ -31,7 +31,7 @@ def pack_context(memories: DataFrame, opts: ContextOptions = ContextOptions()) -
     fitted = F.when(
         F.length("line") > budget, F.regexp_replace(F.substring("line", 1, budget), r"(?U)\s+\z", "")
     ).otherwise(F.col("line"))
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("_before")).alias("at"), fitted.alias("line"))))
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("_before")).alias("at"), fitted.alias("line"))))
     text = F.array_join(ordered.getField("line"), "\n\n")
     return kept.groupBy("user_id").agg(F.count("*").alias("memories"), text.alias("text")).select(
         "user_id",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import instant, new_id
 from ..functions.models import extractive_summarizer
 from ..operators.corpus import chunk_corpus
-from ..operators.filters import exclude_notes, excluded_by_content, excluded_by_name, long_enough
+from ..operators.filters import exclude_notes, excluded, long_enough
 from ..options import SummaryOptions
 from .remember import memory_rows, summarized
 
@@ -43,7 +43,9 @@ def ingest_notes(
     min_chars: int = 50,
     opts: SummaryOptions = SummaryOptions(),
 ) -> Ingested:
-    """Notes (user_id, file_name, content) → chunks → summaries → memory rows, with counts."""
+    """Notes (user_id, file_name, content) → chunks → summaries → memory rows, with counts.
+
+    The summarizer runs once, at the call."""
     if "user_id" not in notes.columns:
         notes = notes.withColumn("user_id", F.lit(0).cast("long"))
     chunks = note_chunks(notes, file_names, patterns, max_chars, min_chars)
@@ -56,9 +58,7 @@ def ingest_notes(
         F.substring(F.sha2("batch_id", 256), 1, 8),
     )
     imported = usable.groupBy("user_id", "file_name").agg(F.count("*").alias("imported"))
-    files = notes.select(
-        "user_id", "file_name", (excluded_by_name(file_names) | excluded_by_content(patterns)).alias("excluded")
-    ).join(imported, ["user_id", "file_name"], "left").withColumn("imported", F.coalesce("imported", F.lit(0)))
+    files = notes.select("user_id", "file_name", excluded(file_names, patterns).alias("excluded")).join(imported, ["user_id", "file_name"], "left").withColumn("imported", F.coalesce("imported", F.lit(0)))
     totals = files.agg(
         F.count("*").alias("found"), F.count_if("excluded").alias("excluded"), F.sum("imported").alias("imported")
     )
@@ -66,7 +66,7 @@ def ingest_notes(
         memory_rows(usable, session, "manual", now, embedder),
         files,
         totals,
-        replies.where(F.col("problem").isNotNull()).select("batch_id", "user_id", "file_name", "pos", "raw", "problem"),
+        replies.where(F.col("problem").isNotNull()).select("batch_id", "user_id", "file_name", "pos", "text", "raw", "problem"),
     )
 
 

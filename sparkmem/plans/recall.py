@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import effective_importance, instant, recall_line, recall_score, truncate_marked
+from ..functions.models import hashing_embedder
 from ..operators.ordering import top_rows
 from ..operators.search import knn
 from ..options import DecayOptions, RecallOptions
@@ -26,12 +27,18 @@ def recall(
     now,
     opts: RecallOptions = RecallOptions(),
     decay_opts: DecayOptions = DecayOptions(),
+    embedder=None,
 ) -> Recall:
     """Best memories per prompt by similarity and faded importance, and the updates they cause.
 
+    ``queries``: query_id, user_id and q_embedding, or the text ``prompt`` to embed; an
+    empty prompt recalls nothing.
+
     Candidates are the nearest by cosine, before scoring. All prompts see one state of
     the table; a memory hit n times gains n accesses.
     """
+    if "q_embedding" not in queries.columns:
+        queries = (embedder or hashing_embedder())(queries.where(F.col("prompt") != ""), "prompt", "q_embedding")
     near = knn(queries, memories, opts.candidates, min_cosine=opts.min_cosine, carry=_CARRY)
     hits = rerank(score(near, now, opts, decay_opts), opts)
     return Recall(hits, recall_updates(hits, now))
@@ -75,7 +82,7 @@ def recall_context(hits: DataFrame, opts: RecallOptions = RecallOptions()) -> Da
         opts.weight_similarity, opts.weight_importance,
     )
     head, tail = opts.template.split("{memories}")
-    ordered = F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).getField("line")
+    ordered = F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).getField("line")
     block = F.concat(F.lit(head), F.array_join(ordered, "\n"), F.lit(tail))
     return hits.groupBy("query_id").agg(truncate_marked(block, opts.max_chars, opts.cut_marker).alias("context"))
 

@@ -13,6 +13,7 @@ from ..functions.responses import parse_replies
 from ..operators.conversation import CONVERSATION, assemble_conversation, round_batches, with_batch_id
 from ..options import SummaryOptions
 from ..schema import MEMORY, conform
+from ..sources.staging import stage
 
 
 class Remembered(NamedTuple):
@@ -28,7 +29,7 @@ def summarize_batches(
     embedder=None,
     opts: SummaryOptions = SummaryOptions(),
 ) -> Remembered:
-    """Rounds → batches → texts → summaries → vectors → memory rows."""
+    """Rounds → batches → texts → summaries → vectors → memory rows. The summarizer runs once, at the call."""
     batches = numbered_batches(rounds, opts)
     ready = F.col("batch_size") >= opts.min_rounds
     texts = assemble_conversation(batches.where(ready), opts)
@@ -54,8 +55,15 @@ def numbered_batches(rounds: DataFrame, opts: SummaryOptions) -> DataFrame:
 
 
 def summarized(texts: DataFrame, summarizer, opts: SummaryOptions = SummaryOptions()) -> DataFrame:
-    """Texts with their parsed replies; a text without a reply has a problem, not a gap."""
-    return parse_replies(summarizer(texts), "raw", opts.max_topics, opts.max_facts)
+    """The parsed replies to the texts, written once so that no model call is repeated.
+
+    A text without a reply has a problem, not a gap; texts and raw replies are kept only
+    where there is one.
+    """
+    replies = parse_replies(summarizer(texts), "raw", opts.max_topics, opts.max_facts)
+    failed = F.col("problem").isNotNull()
+    slim = {c: F.when(failed, F.col(c)) for c in ("text", "raw")}
+    return stage(replies.withColumns(slim), "replies")
 
 
 def memory_rows(usable: DataFrame, session_id, source: str, now, embedder=None) -> DataFrame:

@@ -74,3 +74,27 @@ def test_model_calls_and_unusable_replies(spark):
     assert abs(np.linalg.norm(m.embedding) - 1) < 1e-6 and len(m.embedding) == 2
     (q,) = out.quarantined.collect()
     assert q.problem == "not an object" and q.batch_no == 1 and q.text.startswith("[user")
+
+
+def test_prompts_as_text_find_their_memories(spark):
+    m = sm.summarize_batches(rounds(spark, 20), NOW).memories.select("*")
+    q = spark.createDataFrame([("a", 1, "Tell me about the garden."), ("b", 1, ""), ("c", 1, "zzz qqq")],
+                              "query_id string, user_id long, prompt string")
+    hits = sm.recall(q, m, NOW).hits.collect()
+    assert {(r.query_id, r["rank"]) for r in hits} == {("a", 1), ("a", 2)}
+
+
+def test_each_text_reaches_the_model_once(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def reply(texts):
+        import os
+        import uuid
+
+        for _ in texts:
+            open(os.path.join(folder, uuid.uuid4().hex), "w").close()
+        return ['{"summary":"s"}' for _ in texts]
+
+    out = sm.summarize_batches(rounds(spark, 40), NOW, sm.model_summarizer(reply))
+    assert out.memories.count() == 4 and out.memories.count() == 4 and out.quarantined.isEmpty()
+    assert len(list(tmp_path.iterdir())) == 4
