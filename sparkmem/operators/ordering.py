@@ -11,27 +11,32 @@ def spread_of(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def number_rows(df: DataFrame, keys: list[str], ts: str, tie: list[str], bucket: str = "hour") -> DataFrame:
+def number_rows(df: DataFrame, keys: list[str], ts: str, tie: list[str]) -> DataFrame:
     """Add ``position`` (1, 2, … per group, ordered by ts and tie) and ``group_rows``.
 
-    Rows are numbered inside (group, time bucket) and shifted by the sizes of the
-    earlier buckets, so no task ever sorts a whole group.
+    Rows are numbered inside (group, second) and shifted by the sizes of the earlier
+    seconds of the hour and of the earlier hours, so no task ever sorts a whole group.
     """
-    df = df.withColumn("_bucket", F.coalesce(F.date_trunc(bucket, ts), F.timestamp_seconds(F.lit(0))))
-    buckets = df.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
-    whole = Window.partitionBy(*keys)
-    earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = buckets.select(
-        *keys,
-        "_bucket",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_n").over(whole).alias("group_rows"),
+    start = F.timestamp_seconds(F.lit(0))
+    df = df.withColumns({f"_{u}": F.coalesce(F.date_trunc(u, ts), start) for u in ("hour", "second")})
+    hour, second = [*keys, "_hour"], [*keys, "_hour", "_second"]
+
+    def earlier(size: str, group: list[str], order: str):
+        w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(size).over(w), F.lit(0))
+
+    seconds = df.groupBy(*second).agg(F.count("*").alias("_n"))
+    hours = seconds.groupBy(*hour).agg(F.sum("_n").alias("_n")).select(
+        *hour,
+        earlier("_n", keys, "_hour").alias("_hours_before"),
+        F.sum("_n").over(Window.partitionBy(*keys)).alias("group_rows"),
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(ts, *tie)
+    offsets = seconds.withColumn("_before", earlier("_n", hour, "_second")).drop("_n").join(hours, hour)
+    inside = Window.partitionBy(*second).orderBy(ts, *tie)
     return (
-        df.join(offsets, [*keys, "_bucket"])
-        .withColumn("position", F.col("_before") + F.row_number().over(inside))
-        .drop("_bucket", "_before")
+        df.join(offsets, second)
+        .withColumn("position", F.col("_hours_before") + F.col("_before") + F.row_number().over(inside))
+        .drop("_hour", "_second", "_hours_before", "_before")
     )
 
 

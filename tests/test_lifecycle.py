@@ -79,7 +79,7 @@ def test_semantic_target_takes_a_near_summary_of_another_period(spark):
     rows.append(daily(30, tier="monthly", day=datetime(2023, 11, 1), content="alpha beta gamma"))
     rows.append(daily(31, tier="monthly", day=datetime(2023, 10, 1), content="something else entirely"))
     m = embed(memory_rows(spark, rows).drop("embedding"), "content", "embedding").select(*memory_rows(spark, rows).columns)
-    # The three members are nearest but one place of three is open when one of them is the summary's equal by id.
+    # Of four equal vectors the three with the smallest ids are nearest, so the summary needs a small one.
     m = m.withColumn("id", F.when(F.col("id") == "m030", "a030").otherwise(F.col("id")))
     assert "a030" not in ids(sm.settle(m, DAY, NOW).merged)
     s = sm.settle(m, DAY, NOW, embedder=embed, semantic_target=True)
