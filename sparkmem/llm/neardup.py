@@ -14,15 +14,15 @@ from .words import mix, pieces, word_hashes
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
-#: Document frequencies are kept for so many word buckets (4 MB a task), whatever the vocabulary.
-BUCKETS = 1 << 20
+#: Document frequencies are kept for so many word buckets (2 MB a task), whatever the vocabulary.
+BUCKETS = 1 << 18
 _POOL = 1 << 12
 _TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _drawn: dict[int, tuple[np.ndarray, ...]] = {}
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1)
+    return (hashes >> np.uint64(44)).astype(np.int64) & (BUCKETS - 1)
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
@@ -45,11 +45,11 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
             [pa.array(np.append(there, -1)), pa.array(np.append(seen[there], rows))], ["bucket", "n"]
         )
 
-    got = docs.select(whole()).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = docs.select(whole()).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    bucket, n = (got.column(c).to_numpy() for c in ("bucket", "n"))
     df = np.zeros(BUCKETS)
-    known = got.bucket >= 0
-    df[got.bucket[known].to_numpy()] = got.n[known].to_numpy()
-    return (np.log((got.n[~known].sum() + 1) / (df + 1)) + 1).astype(np.float32)
+    df[bucket[bucket >= 0]] = n[bucket >= 0]
+    return (np.log((n[bucket < 0].sum() + 1) / (df + 1)) + 1).astype(np.float32)
 
 
 def weighted_shingles(data: np.ndarray, at: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
