@@ -19,7 +19,8 @@ from .tokens import END_OF_DOCUMENT, PieceEncoder, vocabulary_path
 from .words import mix
 
 LENGTH = 1024
-SEQUENCES_PER_SHARD = 4096
+#: Text of about so many bytes goes to one shard.
+SHARD_BYTES = 16 << 20
 
 
 def sequences(docs: DataFrame, vocabulary: str, length: int) -> DataFrame:
@@ -141,55 +142,71 @@ def read_shard(path: str, length: int = LENGTH, first: int = 0):
 
 
 def materialised(
-    docs: DataFrame, folder: str, key: int = 17, length: int = LENGTH, per_shard: int = SEQUENCES_PER_SHARD, vocabulary: str | None = None,
+    docs: DataFrame, folder: str, key: int = 17, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, vocabulary: str | None = None,
 ) -> DataFrame:
     """Write all token sequences of ``docs`` under ``folder`` in a keyed random order; one row per sequence comes back.
 
-    (slot, shard, offset in the file, n_tokens, ids_crc32 of the 16-bit ids, doc_ids). Slots 0 … n - 1 are a Feistel permutation of the
-    sequences' numbers in input order, so a slot's place follows from key and number alone, and a run resumes at
-    any slot: file slot // per_shard, byte (slot % per_shard) × stride. One exchange deals sequences to shards by
-    range of slot; a task writes its shards front to back and renames each when complete.
+    (slot, shard, offset in the file, n_tokens, ids_crc32 of the 16-bit ids, doc_ids). A first pass sums rows and bytes per input
+    task. A token has at least one byte, so these bound a task's sequences and give each task a range of numbers of its own;
+    a sequence's number goes through a Feistel permutation of all n numbers, walked until inside n. Equal ranges of the permuted
+    numbers are the shards: one exchange deals the sequences out, and a task writes its shards front to back and
+    renames each when complete. As bounds leave unused numbers, ``slot`` counts the used ones: 0, 1, … over the shards in
+    order. A run resumes at any slot: a shard's first slot is the records before it, a record lies at its place × stride.
 
     NULL and empty texts are one end mark; repeated rows are written as often as they occur; an empty table writes
-    no file; other columns are not read.
+    no file; other columns are not read. ``docs`` should be a stored table or one step from it: both passes
+    must see the same input tasks, and the second raises if a task outgrows its range.
     """
-    cut = stage(sequences(docs, vocabulary or vocabulary_path(), length), "sequences")
-    blocks = cut.groupBy("_block").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = stage(blocks.select("_block", "_n", before.alias("_base")), "blocks")
-    n = blocks.agg(F.sum("_n")).first()[0] or 0
-    numbered = cut.join(blocks.select("_block", "_base"), "_block").select((F.col("_base") + F.col("_index")).alias("slot"), "n_tokens", "doc_ids", "ids")
+    sizes = docs.groupBy(F.spark_partition_id().alias("block")).agg(F.count("*").alias("rows"), F.sum(F.octet_length(whole())).alias("bytes")).collect()
+    rooms = np.zeros(max((r.block for r in sizes), default=-1) + 1, np.int64)
+    for r in sizes:
+        rooms[r.block] = -(-(r.rows + r.bytes) // length)
+    bases, n = np.append(0, np.cumsum(rooms)), int(rooms.sum())
+    shards = max(1, -(-sum(r.bytes for r in sizes) // shard_bytes))
+    width = -(-max(1, n) // shards)
 
     def permute(batches):
         for batch in batches:
-            yield batch.set_column(0, "slot", pa.array(feistel(batch.column(0).to_numpy(), n, key)))
+            block, index = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if len(block) and (block.max() >= len(rooms) or (index >= rooms[block]).any()):
+                raise ValueError("the input tasks of the two passes differ; store the documents first")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(feistel(bases[block] + index, n, key)), *batch.columns[2:]], ["_number", "n_tokens", "doc_ids", "ids"]
+            )
 
+    cut = sequences(docs, vocabulary or vocabulary_path(), length)
     kind = cut.schema["doc_ids"].dataType.simpleString()
-    placed = numbered.mapInArrow(permute, f"slot long, n_tokens long, doc_ids {kind}, ids binary")
-    placed = placed.withColumn("shard", F.floor(F.col("slot") / per_shard)).repartition("shard").sortWithinPartitions("slot")
+    placed = cut.mapInArrow(permute, f"_number long, n_tokens long, doc_ids {kind}, ids binary")
+    placed = placed.withColumn("shard", F.floor(F.col("_number") / width)).repartition("shard").sortWithinPartitions("_number")
     stride = 4 + 2 * length
 
     def write(batches):
-        sink, current = None, None
+        sink, current, place = None, None, 0
         for batch in batches:
-            slots = batch.column(0).to_numpy()
-            crc = []
-            for shard, ids in zip((slots // per_shard).tolist(), batch.column(3)):
+            shards_, places, crc = (batch.column(0).to_numpy() // width).tolist(), [], []
+            for shard, ids in zip(shards_, batch.column(3)):
                 if shard != current:
                     if sink:
                         sink.close()
-                    sink, current = _Sink(folder, f"shard-{shard:08d}.bin"), shard
+                    sink, current, place = _Sink(folder, f"shard-{shard:08d}.bin"), shard, 0
                 ids = ids.as_py()
                 sink.file.write(record(ids, length))
                 crc.append(zlib.crc32(ids))
+                places.append(place)
+                place += 1
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(slots // per_shard), pa.array(slots % per_shard * stride), batch.column(1), pa.array(crc, pa.int64()), batch.column(2)],
-                ["slot", "shard", "offset", "n_tokens", "ids_crc32", "doc_ids"],
+                [pa.array(shards_, pa.int64()), pa.array(places, pa.int64()), batch.column(1), pa.array(crc, pa.int64()), batch.column(2)],
+                ["shard", "_place", "n_tokens", "ids_crc32", "doc_ids"],
             )
         if sink:
             sink.close()
 
-    return stage(placed.mapInArrow(write, f"slot long, shard long, offset long, n_tokens long, ids_crc32 long, doc_ids {kind}"), "training-order")
+    written = stage(placed.mapInArrow(write, f"shard long, _place long, n_tokens long, ids_crc32 long, doc_ids {kind}"), "training-order")
+    counts = written.groupBy("shard").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return written.join(counts.select("shard", before.alias("_before")), "shard").select(
+        (F.col("_before") + F.col("_place")).alias("slot"), "shard", (F.col("_place") * stride).alias("offset"), "n_tokens", "ids_crc32", "doc_ids",
+    )
 
 
 def op5_training_order(spark, sf_dir):
