@@ -48,7 +48,7 @@ ENTITY = re.compile(
     r"|(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)\s*[=:]\s*[\"']?)(?P<secret>(?=[^\s\"']*\d)[A-Za-z0-9+/_.-]{5,}[A-Za-z0-9])"
     rf"|(?<![\d.])(?P<ip>{_OCTET}(?:\.{_OCTET}){{3}})(?![\d.]*\d)"
     r"|(?<![\d-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d-]*\d)"
-    r"|(?<![\w.+-])(?P<card>\d(?:[ -]?\d){12,18})(?![\d-]*\d)"
+    r"|(?<![\w.+-])(?P<card>\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-]*\d)"
     r"|(?<![\w.-])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-]*\d)"
 )
 # A text without any of these holds no such entity; most texts have none.
