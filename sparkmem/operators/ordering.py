@@ -11,11 +11,20 @@ def spread_of(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` where NULL meets NULL; the keys appear once."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(other[f"_right_{k}"])
+    return left.join(other, same).drop(*[f"_right_{k}" for k in keys])
+
+
 def number_rows(df: DataFrame, keys: list[str], ts: str, tie: list[str]) -> DataFrame:
     """Add ``position`` (1, 2, … per group, ordered by ts and tie) and ``group_rows``.
 
     Rows are numbered inside (group, second) and shifted by the sizes of the earlier
-    seconds of the hour and of the earlier hours, so no task ever sorts a whole group.
+    seconds of the hour and of the earlier hours, so no task ever sorts a whole group. NULL keys form groups too.
     """
     start = F.timestamp_seconds(F.lit(0))
     df = df.withColumns({f"_{u}": F.coalesce(F.date_trunc(u, ts), start) for u in ("hour", "second")})
@@ -31,10 +40,10 @@ def number_rows(df: DataFrame, keys: list[str], ts: str, tie: list[str]) -> Data
         earlier("_n", keys, "_hour").alias("_hours_before"),
         F.sum("_n").over(Window.partitionBy(*keys)).alias("group_rows"),
     )
-    offsets = seconds.withColumn("_before", earlier("_n", hour, "_second")).drop("_n").join(hours, hour)
+    offsets = null_safe_join(seconds.withColumn("_before", earlier("_n", hour, "_second")).drop("_n"), hours, hour)
     inside = Window.partitionBy(*second).orderBy(ts, *tie)
     return (
-        df.join(offsets, second)
+        null_safe_join(df, offsets, second)
         .withColumn("position", F.col("_hours_before") + F.col("_before") + F.row_number().over(inside))
         .drop("_hour", "_second", "_hours_before", "_before")
     )

@@ -9,10 +9,15 @@ from ..functions.expr import null_empty, period_key
 from .search import knn
 
 
+def _one_per_id(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """One row per id with the fields as ``_new_*``; grouped by the key of the join that follows, so no shuffle of its own."""
+    return null_empty(rows).groupBy("id").agg(*[F.max(c).alias(f"_new_{c}") for c in fields])
+
+
 def update_metadata(memories: DataFrame, updates: DataFrame) -> DataFrame:
-    """Per id (unique in ``updates``), non-empty fields overwrite; unknown ids are ignored."""
+    """Per id, non-empty fields overwrite; unknown ids are ignored. Of several updates of an id, each field's largest value counts."""
     fields = [c for c in updates.columns if c != "id"]
-    new = null_empty(updates).select("id", *[F.col(c).alias(f"_new_{c}") for c in fields])
+    new = _one_per_id(updates, fields)
     joined = memories.join(new, "id", "left")
     return joined.select(
         *[
@@ -25,9 +30,9 @@ def update_metadata(memories: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def upsert(memories: DataFrame, rows: DataFrame) -> DataFrame:
-    """Insert rows, or overwrite the non-empty fields of those whose id exists."""
+    """Insert rows, or overwrite the non-empty fields of those whose id exists. Of several rows of an id, each field's largest value counts."""
     fields = [c for c in rows.columns if c != "id"]
-    new = null_empty(rows).select("id", *[F.col(c).alias(f"_new_{c}") for c in fields])
+    new = _one_per_id(rows, fields)
     joined = memories.join(new, "id", "full_outer")
     return joined.select(
         *[

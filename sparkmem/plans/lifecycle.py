@@ -16,8 +16,6 @@ from ..schema import MEMORY, conform
 from ..sources.staging import stage
 from .remember import Remembered, summarize_batches
 
-INLINE_PARENTS = 10_000  # larger groups keep their lineage in the archive's merged_into only
-
 
 def aged(now, opts: DecayOptions = DecayOptions()):
     return effective_importance(stored_base(), F.col("access_count"), F.col("created_at"), now, opts)
@@ -130,7 +128,7 @@ def settle(
         F.col("target.sentiment").alias("sentiment"),
     )
     reduced = reducer(existing.unionByName(_as_members(low)))
-    few = low.where(F.col("n_low") <= INLINE_PARENTS).groupBy(*GROUP).agg(
+    parents = low.groupBy(*GROUP).agg(
         F.sort_array(F.collect_list("id")).alias("_members")
     )
     none = F.array().cast("array<string>")
@@ -138,7 +136,7 @@ def settle(
     born = F.concat(F.col("period"), F.lit("-01" if rule.period == "month" else "-01-01"))
     merged = (
         reduced.join(target, GROUP, "left")
-        .join(few, GROUP, "left")
+        .join(parents, GROUP, "left")
         .select(
             F.coalesce("target.id", _summary_id(rule)).alias("id"),
             "user_id",
@@ -154,7 +152,7 @@ def settle(
             instant(now).alias("last_accessed"),
             F.try_to_timestamp(born).alias("created_at"),
             F.concat(F.lit("settle-"), "period").alias("session_id"),
-            F.when(F.col("_members").isNotNull(), F.array_union(known, F.col("_members"))).alias("parent_ids"),
+            F.array_union(known, F.coalesce("_members", none)).alias("parent_ids"),
             (F.coalesce("target.merge_count", F.lit(0)) + 1).alias("merge_count"),
             F.col("period"),
         )

@@ -50,6 +50,6 @@ def archive_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lookup_archive(archive: DataFrame, ids: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """The archived originals of ``ids``; with the index, also the file of each."""
-    found = archive.join(ids.select("id").distinct(), "id")
-    return found if index is None else found.join(index, "id")
+    """The archived originals of ``ids``, one row each even if a repeated write left several; with the index, also a file of each."""
+    found = archive.join(ids.select("id").distinct(), "id").dropDuplicates(["id"])
+    return found if index is None else found.join(index.groupBy("id").agg(F.min("path").alias("path")), "id")

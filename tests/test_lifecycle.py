@@ -118,11 +118,21 @@ def test_hot_group_is_merged_like_a_small_one(spark):
     assert len(new.parent_ids) == low == 4000 - sum(1 for r in s.hot.collect() if r.tier == "daily")
 
 
-def test_lineage_of_a_very_big_group_is_in_the_archive(spark, monkeypatch):
-    monkeypatch.setattr("sparkmem.plans.lifecycle.INLINE_PARENTS", 3)
-    s = sm.settle(memory_rows(spark, [daily(i) for i in range(4)]), DAY, NOW)
-    (new,) = s.merged.collect()
-    assert new.parent_ids is None and s.archived.where(F.col("merged_into") == new.id).count() == 4
+def test_lineage_is_kept_over_several_merges(spark):
+    first = sm.settle(memory_rows(spark, [daily(i) for i in range(4)]), DAY, NOW)
+    later = [daily(i, id=f"late{i}") for i in range(10, 13)]
+    second = sm.settle(first.hot.unionByName(memory_rows(spark, later)), DAY, NOW)
+    (one,), (two,) = first.merged.collect(), second.merged.collect()
+    assert len(one.parent_ids) == first.archived.count() == 4
+    assert set(two.parent_ids) == {*one.parent_ids, "late10", "late11", "late12"}
+
+
+def test_several_updates_of_one_memory_give_one_row(spark):
+    table = memory_rows(spark, [daily(1), daily(2)])
+    name = daily(1)["id"]
+    updates = spark.createDataFrame([(name, 3, "positive"), (name, 5, None), ("other", 9, None)], "id string, access_count int, sentiment string")
+    got = {r.id: (r.access_count, r.sentiment) for r in sm.update_metadata(table, updates).collect()}
+    assert len(got) == 2 and got[name] == (5, "positive")
 
 
 def test_model_reducer_shows_every_member_to_the_model(spark):

@@ -98,3 +98,12 @@ def test_each_text_reaches_the_model_once(spark, tmp_path):
     out = sm.summarize_batches(rounds(spark, 40), NOW, sm.model_summarizer(reply))
     assert out.memories.count() == 4 and out.memories.count() == 4 and out.quarantined.isEmpty()
     assert len(list(tmp_path.iterdir())) == 4
+
+
+def test_rounds_without_conversation_or_user_are_numbered(spark):
+    from sparkmem.operators.ordering import number_rows
+
+    rows = [(None, "u", 3, "a"), (None, "u", 1, "b"), ("c", None, 2, "d"), (None, None, None, "e")]
+    df = spark.createDataFrame(rows, "conv_id string, user_id string, at int, round_id string").withColumn("ts", F.timestamp_seconds("at"))
+    got = {r.round_id: (r.position, r.group_rows) for r in number_rows(df, ["conv_id", "user_id"], "ts", ["round_id"]).collect()}
+    assert got == {"b": (1, 2), "a": (2, 2), "d": (1, 1), "e": (1, 1)}
