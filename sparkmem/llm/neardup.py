@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
@@ -17,6 +17,8 @@ BANDS, ROWS = 16, 4
 #: Document frequencies are kept for so many word buckets (2 MB a task), whatever the vocabulary.
 BUCKETS = 1 << 18
 _POOL = 1 << 12
+#: Room for rounding in the bounds of ``prefix_pairs``.
+_SLACK = 1e-4
 _TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _drawn: dict[int, tuple[np.ndarray, ...]] = {}
 
@@ -207,16 +209,69 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def _between_components(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """Rows of (_band, _node, …) with their ``_component``, of the bands that hold more than one."""
+    placed = rows.join(linked, "_node", "left").withColumn("_component", F.coalesce("_component", "_node"))
+    mixed = placed.groupBy("_band").agg(F.min("_component").alias("_low"), F.max("_component").alias("_high"))
+    return placed.join(mixed.where("_low <> _high").select("_band"), "_band")
+
+
+def prefix_pairs(bodies: DataFrame, nodes: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
+    """Pairs (_a > _b) of ``nodes`` (_node, _component) in different components, without any that are not similar by
+    an exact bound.
+
+    Shingles are ordered by rarity among the nodes. Similar texts share a weight of ``similarity`` times the heavier
+    one's, so the first shingle they share begins within the first 1 - similarity of each text's weight, and what
+    follows it in both is heavy enough. Edits come first in that order: a copy with many of its own has no
+    shared shingle there and meets nobody.
+    """
+    def shingled(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for first, last, data, at in pieces(batch.column(1)):
+                owner, shingle, weight = weighted_shingles(data, at, idf)
+                weight = weight.astype(np.float64)
+                total = np.bincount(owner, weight, last - first)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[first + owner]), pa.array(shingle.view(np.int64)), pa.array(weight), pa.array(total[owner])],
+                    ["_node", "_shingle", "_weight", "_total"],
+                )
+
+    texts = bodies.join(nodes.select("_node"), "_node").dropDuplicates(["_node"])
+    rows = stage(texts.mapInArrow(shingled, "_node long, _shingle long, _weight double, _total double"), "shingles")
+    shared = rows.groupBy("_shingle").agg(F.count("*").alias("_df")).where("_df > 1")
+    text = Window.partitionBy("_node")
+    earlier = text.orderBy("_df", "_shingle").rowsBetween(Window.unboundedPreceding, -1)
+    alone = F.col("_total") - F.sum("_weight").over(text)  # weight of the shingles no other node has: they come first
+    prefix = (
+        rows.join(shared, "_shingle")
+        .withColumn("_before", alone + F.coalesce(F.sum("_weight").over(earlier), F.lit(0.0)))
+        .where(F.col("_before") <= (1 - similarity + _SLACK) * F.col("_total"))
+        .join(nodes, "_node")
+        .select("_shingle", "_node", "_component", "_total", (F.col("_total") - F.col("_before")).alias("_after"))
+    )
+    prefix = stage(prefix, "prefixes")
+    mixed = prefix.groupBy("_shingle").agg(F.min("_component").alias("_low"), F.max("_component").alias("_high"))
+    prefix = prefix.join(mixed.where("_low <> _high").select("_shingle"), "_shingle")
+    other = prefix.withColumnsRenamed({c: f"{c}_b" for c in ("_node", "_component", "_total", "_after")})
+    least = (similarity / (1 + similarity) - _SLACK) * (F.col("_total") + F.col("_total_b"))
+    return prefix.join(other, "_shingle").where(
+        (F.col("_node") > F.col("_node_b")) & (F.col("_component") != F.col("_component_b"))
+        & (F.least("_after", "_after_b") >= least)
+    ).select(F.col("_node").alias("_a"), F.col("_node_b").alias("_b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (smallest doc_id of its class), n_links, class_rows, text_hash.
 
     Equal texts are one node. Nodes that share a band key are candidates; links are candidates whose weighted Jaccard
-    similarity is at least ``similarity``; classes are connected nodes. ``n_links`` counts a text's verified links.
+    similarity is at least ``similarity``; classes are connected nodes. ``n_links`` counts a text's
+    verified links; two texts that others have already put into one class are not compared.
 
-    No bucket is expanded into all its pairs. First every member is compared with the bucket's smallest node, and what
-    is linked becomes one component. Pairs that are then still in different components are compared
-    too, except where they cannot be similar: 1 - similarity is a metric, so two texts whose distances to the
-    bucket's smallest node differ by more than the allowed distance are farther apart than that.
+    No bucket is expanded into all its pairs. Every member is compared with the bucket's smallest node, then with that
+    node's nearest member, which in a group of edited copies lies close to what they were copied from. What is linked
+    becomes one component. Members of buckets that still hold several components are compared where ``prefix_pairs``
+    cannot rule out a link.
 
     NULL and empty texts, and texts without words, are alike only if equal. A NULL doc_id takes its class from its
     text; class_id is NULL if all ids of a class are. Only doc_id and text are read.
@@ -237,19 +292,26 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     links = compared.where(F.col("_similarity") >= similarity)
     linked = components(links.select("_a", "_b"))
 
-    far = compared.select(F.col("_a").alias("_node"), F.col("_b").alias("_lead"), (1 - F.col("_similarity")).alias("_far"))
-    members = buckets.join(linked, "_node", "left").withColumn("_component", F.coalesce("_component", "_node"))
-    mixed = members.groupBy("_band").agg(F.min("_component").alias("_low"), F.max("_component").alias("_high")).where("_low <> _high").select("_band")
-    members = members.join(mixed, "_band").where("_node <> _lead").join(far, ["_node", "_lead"])
-    members = stage(members.select("_band", "_node", "_component", "_far"), "members")
-    other = members.select("_band", F.col("_node").alias("_b"), F.col("_component").alias("_other"), F.col("_far").alias("_far_b"))
-    rest = members.withColumnRenamed("_node", "_a").join(other, "_band").where(
-        (F.col("_a") < F.col("_b")) & (F.col("_component") != F.col("_other"))
-        & (F.abs(F.col("_far") - F.col("_far_b")) <= 1 - similarity + 1e-9)
-    ).select("_a", "_b").distinct()
-    second = stage(similarities(rest, bodies, idf).where(F.col("_similarity") >= similarity), "compared-rest")
-    links = links.select("_a", "_b").unionByName(second.select("_a", "_b")).distinct()
-    linked = components(links.unionByName(linked.select(F.col("_node").alias("_a"), F.col("_component").alias("_b"))))
+    members = _between_components(buckets.where("_node <> _lead"), linked)
+    far = compared.select(F.col("_a").alias("_node"), F.col("_b").alias("_lead"), F.col("_similarity").alias("_near"))
+    members = stage(members.join(far, ["_node", "_lead"]).select("_band", "_node", "_component", "_near"), "members")
+    nearest = F.struct((-F.col("_near")).alias("far"), "_node")
+    pivots = members.groupBy("_band").agg(
+        F.min_by("_node", nearest).alias("_pivot"), F.min_by("_component", nearest).alias("_pivot_component")
+    )
+    pairs = members.join(pivots, "_band").where("_component <> _pivot_component").select(
+        F.greatest("_node", "_pivot").alias("_a"), F.least("_node", "_pivot").alias("_b")
+    ).distinct()
+    second = stage(similarities(pairs, bodies, idf).where(F.col("_similarity") >= similarity).select("_a", "_b").distinct(), "compared-pivots")
+    known = linked.select(F.col("_node").alias("_a"), F.col("_component").alias("_b"))
+    linked = components(second.unionByName(known))
+
+    open_nodes = _between_components(members.select("_band", "_node"), linked).select("_node", "_component").distinct()
+    pairs = prefix_pairs(bodies, stage(open_nodes, "open"), idf, similarity)
+    third = stage(similarities(pairs, bodies, idf).where(F.col("_similarity") >= similarity).select("_a", "_b").distinct(), "compared-rest")
+    known = linked.select(F.col("_node").alias("_a"), F.col("_component").alias("_b"))
+    linked = components(third.unionByName(known))
+    links = links.select(F.greatest("_a", "_b").alias("_a"), F.least("_a", "_b").alias("_b")).unionByName(second).unionByName(third).distinct()
 
     degree = links.select(F.explode(F.array("_a", "_b")).alias("_node")).groupBy("_node").agg(F.count("*").alias("n_links"))
     placed = table.select("doc_id", "_node").join(linked, "_node", "left").join(degree, "_node", "left")

@@ -327,6 +327,35 @@ def test_near_duplicates_equal_brute_force(spark, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_prefix_pairs_lose_no_similar_pair(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for i in range(120):  # copies with few and with many edits, some cut short, and a passage all of them share
+        w = prose(i % 3, 90).split()
+        for _ in range(rng.integers(0, 6)):
+            w[rng.integers(len(w))] = f"new{rng.integers(300)}"
+        texts.append(" ".join([*w[:rng.integers(82, 91)], *["shared passage of seven words in all"] * (i % 2)]))
+    texts = [*dict.fromkeys(texts), "", "two words"]
+    bodies = spark.createDataFrame([*enumerate(texts), (5, texts[5])], "_node long, _text string")
+    idf = neardup.inverse_frequencies(bodies.withColumnRenamed("_text", "text"))
+    sets = [_weighted(t, idf) for t in texts]
+    want, pairs = set(), 0
+    for a in range(len(texts)):
+        for b in range(a):
+            x, y = sets[a], sets[b]
+            pairs += 1
+            high = sum(max(x.get(k, 0), y.get(k, 0)) for k in x.keys() | y.keys())
+            if a % 7 != b % 7 and high and sum(min(x.get(k, 0), y.get(k, 0)) for k in x.keys() | y.keys()) / high >= 0.8:
+                want.add((a, b))
+    nodes = spark.createDataFrame([(i, i % 7) for i in range(len(texts))], "_node long, _component long")
+    found = neardup.prefix_pairs(bodies, nodes, idf, 0.8)
+    got = {(r._a, r._b) for r in found.collect()}
+    assert len(want) > 50 and want <= got and len(got) < pairs / 2
+    similar = neardup.similarities(found, bodies, idf).where("_similarity >= 0.8").select("_a", "_b").distinct().collect()
+    assert {(r._a, r._b) for r in similar} == want
+    assert neardup.prefix_pairs(bodies.limit(0), nodes, idf, 0.8).count() == 0
+
+
 def test_samples_agree_as_often_as_the_weights_overlap():
     rng = np.random.default_rng(4)
     shingle = rng.integers(0, 1 << 63, 300).astype(np.uint64)
