@@ -77,8 +77,12 @@ def extractive_summarizer(
     return summarize
 
 
-def model_summarizer(reply_to, rows_per_call: int = 64):
-    """A summarizer from a function ``list[str] → list[str | None]``, called once per chunk of rows."""
+def model_summarizer(reply_to, rows_per_call: int = 64, tasks: int | None = None):
+    """A summarizer from a function ``list[str] → list[str | None]``, called once per chunk of rows.
+
+    A chunk whose call fails has no replies, which quarantines its texts and no others. ``tasks`` sets how many
+    calls may run side by side; without it they follow the partitions of the texts.
+    """
 
     def summarize(batches: DataFrame) -> DataFrame:
         schema = T.StructType([*batches.schema.fields, T.StructField("raw", T.StringType())])
@@ -88,10 +92,15 @@ def model_summarizer(reply_to, rows_per_call: int = 64):
                 texts = batch.column("text").to_pylist()
                 replies = []
                 for lo in range(0, len(texts), rows_per_call):
-                    replies += reply_to(texts[lo : lo + rows_per_call])
+                    asked = texts[lo : lo + rows_per_call]
+                    try:
+                        given = list(reply_to(asked))
+                    except Exception:  # the model's own errors, of any kind
+                        given = []
+                    replies += given if len(given) == len(asked) else [None] * len(asked)
                 yield batch.append_column("raw", pa.array(replies, pa.string()))
 
-        return batches.mapInArrow(task, schema)
+        return (batches if tasks is None else batches.repartition(tasks)).mapInArrow(task, schema)
 
     return summarize
 

@@ -37,9 +37,10 @@ def knn(
     """Exact top-k memories of the same user per prompt, by cosine, then id.
 
     ``queries``: query_id, user_id, q_embedding. ``min_cosine`` is applied inside the
-    blocks; it commutes with top-k. ``carry`` names memory columns to keep.
+    blocks; it commutes with top-k. ``carry`` names memory columns to keep. A prompt without a
+    user finds nothing.
     """
-    queries = _vectors(queries, "q_embedding").select("user_id", "query_id", "q_embedding")
+    queries = _vectors(queries, "q_embedding").where(F.col("user_id").isNotNull()).select("user_id", "query_id", "q_embedding")
     memories = _vectors(where_metadata(memories, where or {}), "embedding").select(
         "user_id", "id", "embedding", *carry
     )

@@ -12,6 +12,7 @@ from ..functions.models import hashing_embedder
 from ..operators.ordering import top_rows
 from ..operators.search import knn
 from ..options import DecayOptions, RecallOptions
+from ..sources.staging import stage
 
 _CARRY = ("content", "topics", "importance", "base_importance", "access_count", "created_at", "tier")
 
@@ -38,7 +39,8 @@ def recall(
     the table; a memory hit n times gains n accesses.
     """
     if "q_embedding" not in queries.columns:
-        queries = (embedder or hashing_embedder())(queries.where(F.col("prompt") != ""), "prompt", "q_embedding")
+        # Written once: the search reads the prompts several times, and each reading would call the model again.
+        queries = stage((embedder or hashing_embedder())(queries.where(F.col("prompt") != ""), "prompt", "q_embedding"), "prompts")
     near = knn(queries, memories, opts.candidates, min_cosine=opts.min_cosine, carry=_CARRY)
     hits = rerank(score(near, now, opts, decay_opts), opts)
     return Recall(hits, recall_updates(hits, now))

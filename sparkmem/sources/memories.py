@@ -15,5 +15,10 @@ def read_memories(spark: SparkSession, path: str, vectors: bool = True) -> DataF
 
 
 def write_memories(df: DataFrame, path: str) -> None:
-    """Write a new version to a fresh path; empty values become NULL."""
-    null_empty(conform(df)).write.mode("errorifexists").partitionBy("tier").parquet(path)
+    """Write a new version to a fresh path; empty values become NULL.
+
+    Rows of a tier lie by user and time, so readers that ask for some users skip the rest.
+    """
+    order = ["tier", "user_id", "created_at"]
+    rows = null_empty(conform(df)).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.write.mode("errorifexists").partitionBy("tier").parquet(path)
