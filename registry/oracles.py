@@ -98,8 +98,8 @@ SUFFIX = {"month": "-01", "year": "-01-01"}
 FORMAT = {"month": "%Y-%m", "year": "%Y"}
 
 
-def sid(rule):
-    return f"'mem-' || substr(sha256('settle' || chr(31) || user_id || chr(31) || '{rule.target_tier}' || chr(31) || period), 1, 32)"
+def sid(rule, rel, first):
+    return f"'mem-' || substr(sha256('settle' || chr(31) || {rel}.user_id || chr(31) || '{rule.target_tier}' || chr(31) || {rel}.period || chr(31) || {first}), 1, 32)"
 
 
 def settle(rule: sm.SettleRule, src: str, p: str) -> str:
@@ -129,7 +129,7 @@ def settle(rule: sm.SettleRule, src: str, p: str) -> str:
   SELECT user_id, period, 0, created_at, id, content, topics, key_facts, coalesce(base_importance, 0.5), sentiment FROM {p}_target),
 {merge_ctes(p)},
 {p}_merged AS (
-  SELECT coalesce(t.id, {sid(rule).replace("user_id", "r.user_id").replace("period", "r.period")}) AS id, r.user_id, r.summary AS content,
+  SELECT coalesce(t.id, {sid(rule, "r", "l.ids[1]")}) AS id, r.user_id, r.summary AS content,
     r.topics, r.key_facts, r.importance, r.importance AS base_importance, r.sentiment, 'settlement' AS source,
     '{rule.target_tier}' AS tier, 0 AS access_count, {NOW} AS last_accessed,
     CAST(r.period || '{SUFFIX[rule.period]}' AS TIMESTAMP) AS created_at, 'settle-' || r.period AS session_id,
@@ -144,7 +144,7 @@ def settle(rule: sm.SettleRule, src: str, p: str) -> str:
   SELECT {cols} FROM {src} WHERE id NOT IN (SELECT id FROM {p}_members) AND id NOT IN (SELECT id FROM {p}_target)
   UNION ALL SELECT {cols} FROM {p}_merged),
 {p}_archived AS (
-  SELECT l.*, coalesce(t.id, {sid(rule).replace("user_id", "l.user_id").replace("period", "l.period")}) AS merged_into, {NOW} AS archived_at
+  SELECT l.*, coalesce(t.id, {sid(rule, "l", "min(l.id) OVER (PARTITION BY l.user_id, l.period)")}) AS merged_into, {NOW} AS archived_at
   FROM {p}_low l LEFT JOIN {p}_target t ON l.user_id = t.user_id AND l.period = t.period)"""
 
 
@@ -181,10 +181,12 @@ def batches(every):
     size = f"least({every}, n - batch_no * {every})"
     return f"""batches AS (
   SELECT *, CAST({size} AS INTEGER) AS batch_size, {size} < {every} AS flush,
-    'batch-' || substr(sha256(user_id || chr(31) || conv_id || chr(31) || batch_no), 1, 32) AS batch_id
+    'batch-' || substr(sha256(user_id || chr(31) || conv_id || chr(31) || batch_no || chr(31)
+      || first_value(round_id) OVER b || chr(31) || last_value(round_id) OVER b), 1, 32) AS batch_id
   FROM (SELECT *, (round - 1) // {every} AS batch_no FROM (
     SELECT *, row_number() OVER (PARTITION BY user_id, conv_id ORDER BY ts, round_id) AS round,
-      count(*) OVER (PARTITION BY user_id, conv_id) AS n FROM rounds) x) y)"""
+      count(*) OVER (PARTITION BY user_id, conv_id) AS n FROM rounds) x) y
+  WINDOW b AS (PARTITION BY user_id, conv_id, batch_no ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
 
 
 def conv_line(label, c):
@@ -335,6 +337,9 @@ ORACLES = {
     "summarize_with_model": with_(ROUNDS, batches(2), TEXTS) + """SELECT 'mem-' || substr(sha256(batch_id), 1, 32) AS id,
   string_split(text, chr(10))[1] AS content, 'm' AS topics, 0.75e0 AS importance, 1e0 AS x, 2 AS dim
 FROM texts WHERE batch_size >= 2""",
+    "stream_recall_increments": with_(MEMORIES, PROMPTS, LOW) + f"""SELECT m.id, CAST(m.access_count + coalesce(h.n, 0) AS INTEGER) AS access_count,
+  {stamp(f"CASE WHEN h.n IS NULL THEN m.last_accessed ELSE greatest(m.last_accessed, {NOW}) END")} AS last_accessed
+FROM memories m LEFT JOIN (SELECT id, count(*) AS n FROM hits GROUP BY id) h ON m.id = h.id""",
     "stream_recall": with_(MEMORIES, PROMPTS, LOW) + "SELECT query_id, id, rank, round(score, 6) AS score FROM hits",
     "stream_sessions": f"""WITH turns AS (
   SELECT {owner("conv_id")} AS user_id, CAST(conv_id AS VARCHAR) AS conv_id,
@@ -441,6 +446,7 @@ UNION ALL SELECT id, user_id, tier, TRUE, merged_into FROM d_archived""",
     "session_end": ENDED + flat("y_hot"),
     "session_end_archive": ENDED + """SELECT id, user_id, tier, period, merged_into FROM d_archived
 UNION ALL SELECT id, user_id, tier, period, merged_into FROM y_archived""",
+    "session_end_twice": ENDED + "SELECT id, count(*) AS versions FROM (SELECT id FROM y_hot UNION ALL SELECT id FROM d_archived UNION ALL SELECT id FROM y_archived) a GROUP BY id",
     "reset_base": with_(MEMORIES) + flat("memories", base_importance="CASE WHEN strftime(created_at, '%Y-%m') = '2024-04' THEN 0.75e0 ELSE base_importance END"),
     "embedding_text": with_(MEMORIES) + "SELECT id, substr(lang || ' ' || source_tag || ' ' || key_facts[1], 1, 150) AS embedding_text FROM memories",
     "merge_plan": with_(MEMORIES, settle(DAY, "memories", "d")) + """SELECT user_id, period, m.id AS target_id,

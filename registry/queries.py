@@ -366,6 +366,16 @@ def session_end(spark, d, part="hot"):
     return _flat(s.hot) if part == "hot" else s.archived.select("id", "user_id", "tier", "period", "merged_into")
 
 
+def session_end_twice(spark, d):
+    """A second call over the same log, with the archive and the consumed rounds of the first: nothing is new."""
+    first = sm.session_end(memories(spark, d), rounds(spark, d), NOW, summary_opts=SHORT)
+    hot, archived = sm.stage(first.hot, "first-hot"), sm.stage(first.archived, "first-archive")
+    second = sm.session_end(hot, rounds(spark, d), NOW, summary_opts=SHORT, archive=archived,
+                            consumed=sm.stage(first.remembered.consumed, "first-consumed"))
+    return second.hot.unionByName(second.archived, allowMissingColumns=True).unionByName(
+        archived, allowMissingColumns=True).groupBy("id").agg(F.count("*").alias("versions"))
+
+
 def reset_base(spark, d):
     april = X.period_key("created_at", "month", NOW) == "2024-04"
     return _flat(sm.reset_base(memories(spark, d), april, 0.75))
@@ -430,14 +440,27 @@ def _stream(spark, d, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
+def _streamed_recall(spark, d):
+    """All prompts in three files, one a micro-batch: (hits, increments)."""
+    asked, path = prompts(spark, d), _fresh(spark, "prompts")
+    asked.repartition(3, "query_id").write.parquet(path)
+    stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    hits, increments = _fresh(spark, "hits"), _fresh(spark, "increments")
+    sm.stream_recall(stream, memories(spark, d), NOW, hits, increments, _fresh(spark, "stream"), LOW_BARS).awaitTermination()
+    return spark.read.parquet(hits), spark.read.parquet(increments)
+
+
 def stream_recall(spark, d):
     """Prompts arrive as a stream; the answers are those of the batch job."""
-    asked = _stream(spark, d, "embeddings").select(
-        F.col("vec_id").alias("query_id"), owner("vec_id").alias("user_id"), F.col("embedding").alias("q_embedding"))
-    hits = _fresh(spark, "hits")
-    sm.stream_recall(asked, memories(spark, d), NOW, hits, _fresh(spark, "updates"), _fresh(spark, "stream"),
-                     LOW_BARS).awaitTermination()
-    return spark.read.parquet(hits).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    hits, _ = _streamed_recall(spark, d)
+    return hits.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+def stream_recall_increments(spark, d):
+    """The increments of all micro-batches, applied together."""
+    _, increments = _streamed_recall(spark, d)
+    after = sm.apply_increments(memories(spark, d), increments)
+    return after.select("id", "access_count", _stamp("last_accessed").alias("last_accessed"))
 
 
 def stream_sessions(spark, d):
@@ -460,6 +483,7 @@ QUERIES = {
     "archive_files": archive_files,
     "summarize_with_model": summarize_with_model,
     "stream_recall": stream_recall,
+    "stream_recall_increments": stream_recall_increments,
     "stream_sessions": stream_sessions,
     "memories_scan": memories_scan,
     "effective_importance": effective_importance,
@@ -523,6 +547,7 @@ QUERIES = {
     "response_routes": response_routes,
     "session_end": session_end,
     "session_end_archive": partial(session_end, part="archived"),
+    "session_end_twice": session_end_twice,
     "reset_base": reset_base,
     "embedding_text": embedding_text,
     "merge_plan": merge_plan,

@@ -14,7 +14,13 @@ from .functions.models import (  # noqa: E402
     model_summarizer,
 )
 from .functions.responses import ingest_responses, parse_replies
-from .operators.conversation import assemble_conversation, last_user_message, round_batches
+from .operators.conversation import (
+    assemble_conversation,
+    last_user_message,
+    round_batches,
+    with_batch_id,
+    without_consumed,
+)
 from .operators.corpus import chunk_corpus
 from .operators.filters import (
     by_tier_and_period,
@@ -30,6 +36,7 @@ from .operators.search import knn, knn_approx, knn_min_importance
 from .operators.tables import (
     access_tally,
     all_memories,
+    apply_increments,
     count_memories,
     delete_ids,
     find_merge_target,
@@ -57,8 +64,8 @@ from .plans.lifecycle import (
     settle,
     settlement_groups,
 )
-from .plans.recall import recall, recall_context, recall_updates, rerank, tier_weighted_rank
-from .plans.remember import summarize_batches
+from .plans.recall import recall, recall_context, recall_increments, recall_updates, rerank, tier_weighted_rank
+from .plans.remember import remember, summarize_batches
 from .sources.archive import archive_index, lookup_archive, read_archive, write_archive
 from .sources.memories import read_memories, write_memories
 from .sources.notes import read_notes
@@ -66,6 +73,6 @@ from .sources.rounds import append_rounds, read_rounds, stream_rounds
 from .sources.staging import stage
 from .sources.transcripts import read_transcript_lines
 from .streaming.recall import stream_recall
-from .streaming.rounds import session_rounds, stream_round_batches, stream_sessions
+from .streaming.rounds import session_rounds, stream_remember, stream_round_batches, stream_sessions
 
 __all__ = [name for name in dir() if not name.startswith("_") and name not in ("sys", "cloudpickle")]

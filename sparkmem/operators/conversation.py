@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binding import computed
@@ -30,13 +30,26 @@ def round_batches(rounds: DataFrame, every: int = 10) -> DataFrame:
 
 
 def with_batch_id(batches: DataFrame) -> DataFrame:
-    return batches.withColumn("batch_id", new_id("batch-", *CONVERSATION, "batch_no"))
+    """Key the batches by their place, first and last round: one that has grown since, or is numbered anew, is another."""
+    batch = Window.partitionBy(*CONVERSATION, "batch_no")
+    ends = {"_first": F.min_by("round_id", "round").over(batch), "_last": F.max_by("round_id", "round").over(batch)}
+    key = new_id("batch-", *CONVERSATION, "batch_no", "_first", "_last")
+    return batches.withColumns(ends).withColumn("batch_id", key).drop(*ends)
+
+
+def without_consumed(rounds: DataFrame, consumed: DataFrame) -> DataFrame:
+    """The rounds not listed in ``consumed`` (user_id, conv_id, round_id). Rounds without an id are never listed."""
+    done = consumed.select(*[F.col(c).alias(f"_done_{c}") for c in (*CONVERSATION, "round_id")])
+    same = rounds["round_id"] == done["_done_round_id"]
+    for c in CONVERSATION:
+        same = same & rounds[c].eqNullSafe(done[f"_done_{c}"])
+    return rounds.join(done, same, "left_anti")
 
 
 def assemble_conversation(batches: DataFrame, opts: SummaryOptions = SummaryOptions()) -> DataFrame:
     """One text per batch, rounds in order, one line per non-empty message.
 
-    Grouped by batch_id alone, so later steps per batch find their rows in place.
+    Grouped by what numbered the batches as well, so the rounds are not dealt out again.
     """
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
 
@@ -48,8 +61,8 @@ def assemble_conversation(batches: DataFrame, opts: SummaryOptions = SummaryOpti
     rows = batches.select("batch_id", *CONVERSATION, "batch_no", "batch_size", "flush", "ts", "round",
                           F.nullif(lines, F.lit("")).alias("lines"))
     ordered = F.sort_array(F.collect_list(F.struct("round", "lines"))).getField("lines")
-    return rows.groupBy("batch_id").agg(
-        *[F.any_value(c).alias(c) for c in (*CONVERSATION, "batch_no", "batch_size", "flush")],
+    return rows.groupBy("batch_id", *CONVERSATION, "batch_no").agg(
+        *[F.any_value(c).alias(c) for c in ("batch_size", "flush")],
         F.min("ts").alias("first_ts"),
         truncate_marked(F.array_join(ordered, "\n"), opts.max_chars, opts.cut_marker).alias("text"),
     )

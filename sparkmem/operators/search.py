@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.staging import stage
 from .filters import where_metadata
 from .ordering import top_rows
 
@@ -33,23 +34,24 @@ def knn(
     where: dict | None = None,
     min_cosine: float | None = None,
     carry: tuple[str, ...] = (),
+    few_prompts: bool = False,
 ) -> DataFrame:
     """Exact top-k memories of the same user per prompt, by cosine, then id.
 
     ``queries``: query_id, user_id, q_embedding. ``min_cosine`` is applied inside the
-    blocks; it commutes with top-k. ``carry`` names memory columns to keep. A prompt without a
-    user finds nothing.
+    blocks; it commutes with top-k. ``carry`` names memory columns to keep: they stay out of the search and are
+    joined to the hits. A prompt without a user finds nothing; vectors of another
+    length than the prompt's do not match. ``few_prompts``: the caller knows that the prompts fit into a task closure (at most
+    SMALL_QUERIES rows and SMALL_BYTES, else ValueError); the memories are then read where they lie, with the same result.
     """
-    queries = _vectors(queries, "q_embedding").where(F.col("user_id").isNotNull()).select("user_id", "query_id", "q_embedding")
-    memories = _vectors(where_metadata(memories, where or {}), "embedding").select(
-        "user_id", "id", "embedding", *carry
-    )
-    small = _fetch_small(queries)
-    if small is not None:
-        parts = _scan(small, queries, memories, k, min_cosine, carry)
+    queries = _vectors(queries, "q_embedding").where(F.col("user_id").isNotNull()).select("user_id", "_dim", "query_id", "q_embedding")
+    stored = where_metadata(memories, where or {})
+    vectors = _vectors(stored, "embedding").select("user_id", "_dim", "id", "embedding")
+    if few_prompts:
+        parts = _scan(_fetch_small(queries), queries, vectors, k, min_cosine)
     else:
-        parts = _grid(queries, memories, ["user_id"], k, min_cosine, carry)
-    return _ranked(parts, k)
+        parts = _grid(queries, vectors, ["user_id", "_dim"], k, min_cosine)
+    return _with_columns(_ranked(parts, k), stored, carry)
 
 
 def knn_min_importance(queries: DataFrame, memories: DataFrame, k: int, min_importance: float = 0.3) -> DataFrame:
@@ -79,17 +81,25 @@ def knn_approx(
     The directions are fixed by the seed, so filing needs no training pass. A list
     that outgrows a block is searched block by block like any other group.
     """
-    queries = _vectors(queries, "q_embedding").select("user_id", "query_id", "q_embedding")
-    memories = _vectors(where_metadata(memories, where or {}), "embedding").select(
-        "user_id", "id", "embedding", *carry
-    )
-    filed = _file_under(memories, "embedding", lists, 1, seed)
+    queries = _vectors(queries, "q_embedding").select("user_id", "_dim", "query_id", "q_embedding")
+    stored = where_metadata(memories, where or {})
+    vectors = _vectors(stored, "embedding").select("user_id", "_dim", "id", "embedding")
+    filed = _file_under(vectors, "embedding", lists, 1, seed)
     asked = _file_under(queries, "q_embedding", lists, probes, seed)
-    return _ranked(_grid(asked, filed, ["user_id", "_list"], k, None, carry), k)
+    best = _ranked(_grid(asked, filed, ["user_id", "_dim", "_list"], k, None), k)
+    return _with_columns(best, stored, carry)
 
 
 def _vectors(df: DataFrame, column: str) -> DataFrame:
-    return df.where(F.col(column).isNotNull() & (F.size(column) > 0))
+    """Rows with a vector; only vectors of one length (``_dim``) are compared."""
+    return df.where(F.col(column).isNotNull() & (F.size(column) > 0)).withColumn("_dim", F.size(column))
+
+
+def _with_columns(best: DataFrame, stored: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """The hits, written down so that Spark knows their size, with ``carry`` columns of their memories."""
+    if not carry:
+        return best
+    return stage(best, "nearest").join(stored.select("user_id", "id", *carry), ["user_id", "id"])
 
 
 def _ranked(parts: DataFrame, k: int) -> DataFrame:
@@ -97,10 +107,12 @@ def _ranked(parts: DataFrame, k: int) -> DataFrame:
     return best.withColumn("distance", F.lit(1.0) - F.col("cosine"))
 
 
-def _fetch_small(queries: DataFrame) -> pa.Table | None:
-    """The prompts, if at most SMALL_QUERIES of them exist; never reads more than one row beyond."""
+def _fetch_small(queries: DataFrame) -> pa.Table:
+    """The prompts, which must be at most SMALL_QUERIES; never reads more than one row beyond."""
     head = queries.limit(SMALL_QUERIES + 1).toArrow()
-    return head if head.num_rows <= SMALL_QUERIES and head.nbytes <= SMALL_BYTES else None
+    if head.num_rows > SMALL_QUERIES or head.nbytes > SMALL_BYTES:
+        raise ValueError(f"few_prompts takes at most {SMALL_QUERIES} prompts of {SMALL_BYTES} bytes together")
+    return head
 
 
 def _unit(column) -> np.ndarray:
@@ -137,25 +149,25 @@ def _block_best(q: np.ndarray, m: np.ndarray, k: int, floor: float | None):
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _hit_schema(queries: DataFrame, memories: DataFrame, carry) -> T.StructType:
+def _hit_schema(queries: DataFrame, memories: DataFrame) -> T.StructType:
     return T.StructType(
         [
             T.StructField("user_id", memories.schema["user_id"].dataType),
             T.StructField("query_id", queries.schema["query_id"].dataType),
             T.StructField("id", memories.schema["id"].dataType),
             T.StructField("cosine", T.DoubleType()),
-            *[memories.schema[c] for c in carry],
         ]
     )
 
 
-def _scan(small: pa.Table, queries, memories, k, floor, carry) -> DataFrame:
+def _scan(small: pa.Table, queries, memories, k, floor) -> DataFrame:
     """Few prompts: read the memories once, where they lie, and keep a running top-k per task."""
-    users = np.asarray(small.column("user_id").to_pylist())
     ids = small.column("query_id").combine_chunks()
-    vectors = _unit(small.column("q_embedding")) if small.num_rows else np.zeros((0, 1))
-    mine = {u: np.nonzero(users == u)[0] for u in set(users.tolist())}
-    kept = ["user_id", "id", *carry]
+    mine: dict = {}  # by user, then by vector length: the positions of the prompts and their unit vectors
+    keys = list(zip(small.column("user_id").to_pylist(), small.column("_dim").to_pylist()))
+    for user, dim in sorted(set(keys)):
+        at = np.array([i for i, key in enumerate(keys) if key == (user, dim)])
+        mine.setdefault(user, {})[dim] = at, _unit(small.column("q_embedding").take(pa.array(at)))
 
     def best_of(held: list[pa.Table]) -> pa.Table:
         t = pa.concat_tables(held)
@@ -168,34 +180,35 @@ def _scan(small: pa.Table, queries, memories, k, floor, carry) -> DataFrame:
         held, rows = [], 0
         for batch in batches:
             for user in pc.unique(batch.column("user_id")).to_pylist():
-                asked = mine.get(user)
-                if asked is None:
-                    continue
-                block = pa.Table.from_batches([batch]).filter(pc.equal(batch.column("user_id"), user))
-                block = block.sort_by("id")
-                r, c, cos = _block_best(vectors[asked], _unit(block.column("embedding")), k, floor)
-                hit = block.select(kept).take(pa.array(c))
-                hit = hit.append_column("_q", pa.array(asked[r])).append_column("cosine", pa.array(cos))
-                held.append(hit)
-                rows += hit.num_rows
+                for dim, (asked, vectors) in mine.get(user, {}).items():
+                    here = pc.and_(pc.equal(batch.column("user_id"), user), pc.equal(batch.column("_dim"), dim))
+                    block = pa.Table.from_batches([batch]).filter(here).sort_by("id")
+                    if not block.num_rows:
+                        continue
+                    r, c, cos = _block_best(vectors, _unit(block.column("embedding")), k, floor)
+                    hit = block.select(["user_id", "id"]).take(pa.array(c))
+                    hit = hit.append_column("_q", pa.array(asked[r])).append_column("cosine", pa.array(cos))
+                    held.append(hit)
+                    rows += hit.num_rows
                 if rows > 4 * k * len(ids) + 100_000:
                     held = [best_of(held)]
                     rows = held[0].num_rows
         if held:
             t = best_of(held)
             t = t.append_column("query_id", ids.take(t.column("_q").combine_chunks()))
-            yield from t.select(["user_id", "query_id", "id", "cosine", *carry]).to_batches()
+            yield from t.select(["user_id", "query_id", "id", "cosine"]).to_batches()
 
     # Reaches the scan: only the users who ask are read.
     memories = memories.where(F.col("user_id").isin(sorted(mine)))
-    return memories.mapInArrow(task, _hit_schema(queries, memories, carry))
+    return memories.mapInArrow(task, _hit_schema(queries, memories))
 
 
-def _grid(queries, memories, keys, k, floor, carry) -> DataFrame:
+def _grid(queries, memories, keys, k, floor) -> DataFrame:
     """Many prompts: a grid of (prompt block, memory block) cells per group, one task call per cell."""
     asked = queries.groupBy(*keys).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("_nq"))
     stored = memories.groupBy(*keys).agg(F.ceil(F.count("*") / MEMORY_BLOCK).cast("int").alias("_nm"))
-    blocks = asked.join(stored, keys)  # groups without a prompt drop out here
+    # Written down, so that Spark knows how small it is; groups without a prompt drop out here.
+    blocks = stage(asked.join(stored, keys), "search-blocks")
     cells = [*keys, "_qb", "_mb"]
     left = (
         queries.join(blocks, keys)
@@ -207,9 +220,9 @@ def _grid(queries, memories, keys, k, floor, carry) -> DataFrame:
         memories.join(blocks, keys)
         .withColumn("_mb", F.pmod(F.xxhash64("id"), F.col("_nm")).cast("int"))
         .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)))
-        .select(*cells, "id", "embedding", *carry)
+        .select(*cells, "id", "embedding")
     )
-    schema = _hit_schema(queries, memories, carry)
+    schema = _hit_schema(queries, memories)
     names = schema.names
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -218,7 +231,7 @@ def _grid(queries, memories, keys, k, floor, carry) -> DataFrame:
                              if n != "cosine" else pa.array([], pa.float64()) for n in names})
         right = right.sort_by("id")
         r, c, cos = _block_best(_unit(left.column("q_embedding")), _unit(right.column("embedding")), k, floor)
-        hit = right.select(["user_id", "id", *carry]).take(pa.array(c))
+        hit = right.select(["user_id", "id"]).take(pa.array(c))
         hit = hit.append_column("query_id", left.column("query_id").take(pa.array(r)))
         return hit.append_column("cosine", pa.array(cos)).select(names)
 
@@ -230,17 +243,17 @@ def _file_under(df: DataFrame, column: str, lists: int, n: int, seed: int) -> Da
     schema = T.StructType([*df.schema.fields, T.StructField("_list", T.IntegerType())])
 
     def task(batches):
-        directions = None
+        directions = {}  # by vector length
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _unit(batch.column(column))
-            if directions is None:
-                directions = np.random.default_rng(seed).standard_normal((lists, x.shape[1]))
-                directions /= np.linalg.norm(directions, axis=1, keepdims=True)
-            near = np.argsort(-np.round(x @ directions.T, _DIGITS), axis=1, kind="stable")[:, :n]
-            t = pa.Table.from_batches([batch]).take(pa.array(np.repeat(np.arange(len(x)), near.shape[1])))
-            t = t.append_column("_list", pa.array(near.ravel().astype(np.int32)))
-            yield from t.to_batches()
+            for dim in pc.unique(batch.column("_dim")).to_pylist():
+                part = pa.Table.from_batches([batch]).filter(pc.equal(batch.column("_dim"), dim))
+                if dim not in directions:
+                    drawn = np.random.default_rng(seed).standard_normal((lists, dim))
+                    directions[dim] = drawn / np.linalg.norm(drawn, axis=1, keepdims=True)
+                x = _unit(part.column(column))
+                near = np.argsort(-np.round(x @ directions[dim].T, _DIGITS), axis=1, kind="stable")[:, :n]
+                t = part.take(pa.array(np.repeat(np.arange(len(x)), near.shape[1])))
+                t = t.append_column("_list", pa.array(near.ravel().astype(np.int32)))
+                yield from t.to_batches()
 
     return df.mapInArrow(task, schema)

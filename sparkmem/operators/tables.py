@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import null_empty, period_key
+from ..sources.staging import stage
 from .search import knn
 
 
@@ -63,6 +64,26 @@ def access_tally(hits: DataFrame, hit_at: str = "hit_at") -> DataFrame:
     return hits.groupBy("id").agg(F.count("*").alias("hits"), F.max(hit_at).alias("last_hit"))
 
 
+def apply_increments(memories: DataFrame, increments: DataFrame) -> DataFrame:
+    """Add up increments (id, hits, last_hit, importance) of any number of batches; unknown ids are ignored.
+
+    Importance is what the latest hit saw, of several at one time the largest.
+    """
+    latest = F.struct("last_hit", "importance")
+    gained = increments.groupBy("id").agg(F.sum("hits").alias("_hits"), F.max(latest).alias("_last"))
+    hit = F.col("_hits").isNotNull()
+    count = (F.coalesce("access_count", F.lit(0)) + F.col("_hits")).cast(memories.schema["access_count"].dataType)
+    return (
+        memories.join(gained, "id", "left")
+        .withColumns({
+            "access_count": F.when(hit, count).otherwise(F.col("access_count")),
+            "last_accessed": F.greatest("last_accessed", "_last.last_hit"),
+            "importance": F.coalesce("_last.importance", "importance"),
+        })
+        .select(*memories.columns)
+    )
+
+
 def find_merge_target(
     groups: DataFrame,
     memories: DataFrame,
@@ -93,6 +114,7 @@ def find_merge_target(
     asked = embedder(query_text.join(open_groups, ["user_id", "period"]), "text", "q_embedding").withColumn(
         "query_id", F.concat_ws("/", F.col("user_id").cast("string"), "period")
     )
+    asked = stage(asked, "asked")  # read several times: the model is called once
     near = (
         knn(asked, memories, 3, carry=("tier",))
         .where((F.col("tier") == tier) & (F.col("distance") < max_distance))

@@ -70,7 +70,11 @@ def _scored(members: DataFrame, rule: SettleRule, now, opts: DecayOptions) -> Da
 def _groups(scored: DataFrame, rule: SettleRule) -> DataFrame:
     return (
         scored.groupBy(*GROUP)
-        .agg(F.count_if(F.col("importance") < rule.threshold).alias("n_low"), F.count("*").alias("n_members"))
+        .agg(
+            F.count_if(F.col("importance") < rule.threshold).alias("n_low"),
+            F.count("*").alias("n_members"),
+            F.min(F.when(F.col("importance") < rule.threshold, F.col("id"))).alias("first_id"),
+        )
         .where(F.col("n_low") >= rule.min_members)
     )
 
@@ -79,7 +83,7 @@ def settlement_groups(
     memories: DataFrame, rule: SettleRule, now, opts: DecayOptions = DecayOptions()
 ) -> DataFrame:
     """Per user and period how many members have faded, where that is enough to settle."""
-    return _groups(_scored(_split(memories, rule)[0], rule, now, opts), rule)
+    return _groups(_scored(_split(memories, rule)[0], rule, now, opts), rule).drop("first_id")
 
 
 def settle(
@@ -106,7 +110,7 @@ def settle(
     scored = _scored(members, rule, now, decay_opts)
     groups = stage(_groups(scored, rule), "settle-groups")
     in_group = F.col("n_low").isNotNull()
-    flagged = scored.join(groups.select(*GROUP, "n_low"), GROUP, "left")
+    flagged = scored.join(groups.select(*GROUP, "n_low", "first_id"), GROUP, "left")
     settled = in_group & (F.col("importance") < rule.threshold)
     low = flagged.where(settled)
 
@@ -129,7 +133,7 @@ def settle(
     )
     reduced = reducer(existing.unionByName(_as_members(low)))
     parents = low.groupBy(*GROUP).agg(
-        F.sort_array(F.collect_list("id")).alias("_members")
+        F.sort_array(F.collect_list("id")).alias("_members"), F.any_value("first_id").alias("first_id")
     )
     none = F.array().cast("array<string>")
     known = F.coalesce("target.parent_ids", none)
@@ -179,7 +183,8 @@ def settle(
 
 
 def _summary_id(rule: SettleRule):
-    return new_id("mem-", F.lit("settle"), "user_id", F.lit(rule.target_tier), "period")
+    """Named by the first member as well: late members of a period whose summary has moved on get one of their own."""
+    return new_id("mem-", F.lit("settle"), "user_id", F.lit(rule.target_tier), "period", "first_id")
 
 
 def _as_members(low: DataFrame) -> DataFrame:
@@ -203,13 +208,21 @@ def session_end(
     reducer=None,
     summary_opts: SummaryOptions = SummaryOptions(),
     decay_opts: DecayOptions = DecayOptions(),
+    archive: DataFrame | None = None,
+    consumed: DataFrame | None = None,
 ) -> SessionEnd:
     """Flush the rounds, age everything, settle days into months, then months into years.
 
+    Over the append-only log, pass the ``archive`` and the ``consumed`` rounds of the earlier calls, and add
+    ``remembered.consumed`` to the latter: what is already remembered, hot or archived, is not condensed again.
+
     The yearly step sees the months of the monthly step. Only new rows and the summary tiers
     are written on the way; the daily rows, the bulk of the table, pass straight through.
     """
-    remembered = summarize_batches(rounds, now, summarizer, embedder, summary_opts)
+    known = memories.select("id")
+    if archive is not None:
+        known = known.unionByName(archive.select("id"))
+    remembered = summarize_batches(rounds, now, summarizer, embedder, summary_opts, consumed, known)
     new = stage(remembered.memories, "remembered")
     start = decay(conform(memories).unionByName(new), now, decay_opts)
     monthly = settle(start, DAILY_TO_MONTHLY, now, reducer, embedder, decay_opts=decay_opts)

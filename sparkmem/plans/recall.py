@@ -77,6 +77,13 @@ def recall_updates(hits: DataFrame, now) -> DataFrame:
     )
 
 
+def recall_increments(hits: DataFrame, now) -> DataFrame:
+    """What ``hits`` add to each hit memory. Unlike ``recall_updates`` these add up over any number of batches."""
+    return hits.groupBy("id").agg(
+        F.count("*").alias("hits"), instant(now).alias("last_hit"), F.any_value("effective").alias("importance")
+    )
+
+
 def recall_context(hits: DataFrame, opts: RecallOptions = RecallOptions()) -> DataFrame:
     """Per prompt with hits, the text to show, cut to the limit."""
     line = recall_line(

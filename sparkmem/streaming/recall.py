@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..options import DecayOptions, RecallOptions
-from ..plans.recall import recall, recall_updates
+from ..plans.recall import recall, recall_increments
 
 
 def stream_recall(
     prompts: DataFrame,
-    memories: DataFrame,
+    memories,
     now,
     hits_path: str,
-    updates_path: str,
+    increments_path: str,
     checkpoint: str,
     opts: RecallOptions = RecallOptions(),
     decay_opts: DecayOptions = DecayOptions(),
@@ -21,17 +21,19 @@ def stream_recall(
 ):
     """Start a query that answers each micro-batch of prompts from the memory table.
 
-    Hits and updates land under ``batch_id=N``; a replayed batch overwrites its own folder.
-    ``now`` may be a function of the batch id.
+    Hits and increments land under ``batch_id=N``; a replayed batch overwrites its own folder. Increments of
+    all batches add up (``apply_increments``). ``now`` and ``memories`` may be functions of the batch id, so that
+    later batches see a later version of the table.
     """
 
     def answer(batch: DataFrame, batch_id: int) -> None:
         at = now(batch_id) if callable(now) else now
-        hits = recall(batch, memories, at, opts, decay_opts).hits
+        table = memories(batch_id) if callable(memories) else memories
+        hits = recall(batch, table, at, opts, decay_opts).hits
         target = f"{hits_path}/batch_id={batch_id}"
         hits.write.mode("overwrite").parquet(target)
         written = batch.sparkSession.read.schema(hits.schema).parquet(target)
-        recall_updates(written, at).write.mode("overwrite").parquet(f"{updates_path}/batch_id={batch_id}")
+        recall_increments(written, at).write.mode("overwrite").parquet(f"{increments_path}/batch_id={batch_id}")
 
     return (
         prompts.writeStream.foreachBatch(answer)

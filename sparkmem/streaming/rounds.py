@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.conversation import CONVERSATION
+from ..functions.expr import strip_tool_calls
+from ..operators.conversation import CONVERSATION, with_batch_id
+from ..options import SummaryOptions
+from ..plans.remember import remember
+from ..sources.staging import stage
 
 _ROUND = T.StructType(
     [
@@ -24,7 +28,7 @@ _COUNT = T.StructType([T.StructField("seen", T.LongType()), T.StructField("batch
 class RoundBatcher(StatefulProcessor):
     """Holds the rounds of the open batch of one conversation: never more than every - 1."""
 
-    def __init__(self, every: int, idle_ms: int, ttl_ms: int | None):
+    def __init__(self, every: int, idle_ms: int | None, ttl_ms: int | None):
         self.every, self.idle_ms, self.ttl_ms = every, idle_ms, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -56,6 +60,8 @@ class RoundBatcher(StatefulProcessor):
         if held:
             self.open.put([_plain(r) for r in held])
         self.count.update((int(seen), int(batches)))
+        if self.idle_ms is None:
+            return
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
         if held:
@@ -85,20 +91,59 @@ BATCHED = (
 
 
 def stream_round_batches(
-    rounds: DataFrame, every: int = 10, idle_seconds: float = 1800, ttl_days: float | None = 30
+    rounds: DataFrame, every: int = 10, idle_seconds: float | None = 1800, ttl_days: float | None = 30
 ) -> DataFrame:
     """Emit the rounds of a batch when its last one arrives, or when the conversation goes idle.
 
     Rounds count in order of arrival (by time inside one trigger). State that is not
-    touched for ``ttl_days`` expires. Needs the RocksDB state store, and a processing-time
-    trigger: its timers follow the clock, so ``availableNow`` would not end.
+    touched for ``ttl_days`` expires; counting then starts anew, and ``with_batch_id`` still tells the batches
+    apart by their rounds. Needs the RocksDB state store, and a processing-time
+    trigger: its timers follow the clock, so ``availableNow`` would not end. With ``idle_seconds=None`` only full
+    batches leave, nothing follows the clock (no expiry either), and ``availableNow`` ends.
     """
-    ttl = None if ttl_days is None else int(ttl_days * 86_400_000)
-    batcher = RoundBatcher(every, int(idle_seconds * 1000), ttl)
+    timed = idle_seconds is not None
+    ttl = int(ttl_days * 86_400_000) if timed and ttl_days is not None else None
+    batcher = RoundBatcher(every, int(idle_seconds * 1000) if timed else None, ttl)
     return (
         rounds.select("user_id", F.col("conv_id").cast("string").alias("conv_id"), *_ROUND.names)
         .groupBy(*CONVERSATION)
-        .transformWithStateInPandas(batcher, BATCHED, outputMode="append", timeMode="processingTime")
+        .transformWithStateInPandas(batcher, BATCHED, outputMode="append", timeMode="processingTime" if timed else "none")
+    )
+
+
+def stream_remember(
+    rounds: DataFrame,
+    now,
+    memories_path: str,
+    checkpoint: str,
+    summarizer=None,
+    embedder=None,
+    opts: SummaryOptions = SummaryOptions(),
+    idle_seconds: float | None = 1800,
+    ttl_days: float | None = 30,
+    trigger: dict | None = None,
+):
+    """Start a query that condenses rounds into memory rows as their batches leave the stream.
+
+    Rows land under ``batch_id=N``; a replayed micro-batch overwrites its own folder. ``now`` may be a function of the
+    batch id. Idle batches shorter than ``opts.min_rounds`` and unusable replies
+    leave no memory; ``summarize_batches`` over the log with the ids of these memories as ``known`` meets them again.
+    """
+
+    def condense(batch: DataFrame, batch_id: int) -> None:
+        at = now(batch_id) if callable(now) else now
+        rows = batch.withColumn("assistant_text", strip_tool_calls("assistant_text"))
+        rows = stage(with_batch_id(rows), "stream-rounds")  # the state is read once
+        out = remember(rows, at, summarizer, embedder, opts)
+        out.memories.write.mode("overwrite").parquet(f"{memories_path}/batch_id={batch_id}")
+
+    return (
+        stream_round_batches(rounds, opts.every, idle_seconds, ttl_days)
+        .writeStream.foreachBatch(condense)
+        .outputMode("append")
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or ({"availableNow": True} if idle_seconds is None else {"processingTime": "1 minute"})))
+        .start()
     )
 
 

@@ -100,6 +100,31 @@ def test_each_text_reaches_the_model_once(spark, tmp_path):
     assert len(list(tmp_path.iterdir())) == 4
 
 
+def test_a_growing_log_is_condensed_once(spark):
+    """Consumed rounds stay away, short rests and the next day's rounds come; known batches reach no model."""
+    opts = sm.SummaryOptions(every=10, min_rounds=3)
+    first = sm.summarize_batches(rounds(spark, 22), NOW, opts=opts)
+    assert first.memories.count() == 2 and first.consumed.count() == 20
+    again = sm.summarize_batches(rounds(spark, 22), NOW, opts=opts, consumed=first.consumed)
+    assert again.memories.isEmpty() and again.consumed.isEmpty() and again.leftover.count() == 2
+    later = sm.summarize_batches(rounds(spark, 35), NOW, opts=opts, consumed=first.consumed)
+    assert later.memories.count() == 2 and later.consumed.select("round_id").distinct().count() == 15
+    ids = first.memories.select("id").unionByName(later.memories.select("id"))
+    assert ids.distinct().count() == 4
+
+    def no_call(texts):
+        raise AssertionError("condensed again")
+
+    known = sm.summarize_batches(rounds(spark, 22), NOW, sm.model_summarizer(no_call), opts=opts, known=first.memories)
+    assert known.memories.isEmpty() and known.quarantined.isEmpty()
+
+
+def test_a_consumed_round_of_no_conversation_is_known(spark):
+    r = rounds(spark, 3).withColumns({"conv_id": F.lit(None).cast("string"), "user_id": F.lit(None).cast("long")})
+    done = sm.summarize_batches(r, NOW)
+    assert done.memories.count() == 1 and sm.without_consumed(r, done.consumed).isEmpty()
+
+
 def test_rounds_without_conversation_or_user_are_numbered(spark):
     from sparkmem.operators.ordering import number_rows
 

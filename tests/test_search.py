@@ -46,19 +46,17 @@ def crowd(spark):
     return q, m, rows
 
 
-@pytest.mark.parametrize("small", [1024, 0])
+@pytest.mark.parametrize("few", [True, False])
 @pytest.mark.parametrize("k,floor", [(7, None), (120, None), (20, 0.58), (5, 1.1)])
-def test_scan_and_grid_equal_brute_force(spark, crowd, monkeypatch, small, k, floor):
-    monkeypatch.setattr(search, "SMALL_QUERIES", small)
+def test_scan_and_grid_equal_brute_force(spark, crowd, monkeypatch, few, k, floor):
     monkeypatch.setattr(search, "MEMORY_BLOCK", 16)
     monkeypatch.setattr(search, "QUERY_BLOCK", 4)
     q, m, _ = crowd
-    same(result(sm.knn(q, m, k, min_cosine=floor)), brute_force(q.collect(), m.collect(), k, floor))
+    same(result(sm.knn(q, m, k, min_cosine=floor, few_prompts=few)), brute_force(q.collect(), m.collect(), k, floor))
 
 
 def test_grid_cells_stay_small_for_a_hot_user(spark, crowd, monkeypatch):
     """The blocks of the user who owns most rows are of bounded size and cover each pair once."""
-    monkeypatch.setattr(search, "SMALL_QUERIES", 0)
     monkeypatch.setattr(search, "MEMORY_BLOCK", 16)
     q, m, rows = crowd
     hits = sm.knn(q, m, 1000)
@@ -95,11 +93,10 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_plans_have_no_cross_join_and_cut_before_the_shuffle(spark, crowd, monkeypatch):
+def test_plans_have_no_cross_join_and_cut_before_the_shuffle(spark, crowd):
     q, m, _ = crowd
-    for small in (1024, 0):
-        monkeypatch.setattr(search, "SMALL_QUERIES", small)
-        text = plan(sm.knn(q, m, 5))
+    for few in (True, False):
+        text = plan(sm.knn(q, m, 5, few_prompts=few))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
         assert text.count("WindowGroupLimit") >= 2
 
@@ -107,10 +104,30 @@ def test_plans_have_no_cross_join_and_cut_before_the_shuffle(spark, crowd, monke
 def test_scan_reads_only_the_users_who_ask(spark, tmp_path):
     path = str(tmp_path / "m")
     sm.write_memories(memories(spark, SF), path)
-    text = plan(sm.knn(prompts(spark, SF).where("user_id = 4"), sm.read_memories(spark, path), 3))
+    text = plan(sm.knn(prompts(spark, SF).where("user_id = 4"), sm.read_memories(spark, path), 3, few_prompts=True))
     assert "EqualTo(user_id,4)" in text or "In(user_id, [4])" in text
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_vectors_of_another_length_and_users_unknown_do_not_match(spark, few):
+    rows = [{"id": "two", "user_id": 1, "embedding": [1.0, 0.0]}, {"id": "four", "user_id": 1, "embedding": [1.0, 0.0, 0.0, 0.0]},
+            {"id": "six", "user_id": 1, "embedding": [1.0] * 6}, {"id": "nobody", "embedding": [1.0, 0.0, 0.0, 0.0]}]
+    m = memory_rows(spark, rows).repartition(1)
+    q = spark.createDataFrame([("a", 1, [1.0, 0.0, 0.0, 0.0]), ("b", 1, [0.0, 1.0]), ("c", None, [1.0, 0.0])],
+                              "query_id string, user_id long, q_embedding array<float>")
+    want = {("a", 1): "four", ("b", 1): "two"}
+    assert {k: v[0] for k, v in result(sm.knn(q, m, 3, few_prompts=few)).items()} == want
+    if not few:
+        assert {k: v[0] for k, v in result(sm.knn_approx(q.where("query_id <> 'c'"), m, 3, lists=2, probes=2)).items()} == want
+
+
+def test_more_prompts_than_a_closure_takes_are_refused(spark, crowd, monkeypatch):
+    q, m, _ = crowd
+    monkeypatch.setattr(search, "SMALL_QUERIES", 30)
+    with pytest.raises(ValueError, match="at most 30"):
+        sm.knn(q, m, 3, few_prompts=True)
+
+
 def test_recall_checklist(spark):
     """A greeting-like prompt recalls and changes nothing; an exact one finds its memory."""
     rows = [{"id": f"m{i}", "user_id": 1, "content": f"c{i}", "embedding": [float(i == j) for j in range(4)],

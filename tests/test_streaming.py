@@ -117,8 +117,30 @@ def test_stream_recall_equals_batch_recall(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "hits")).select(*columns)
     want = sm.recall(asked, m, NOW, opts).hits.select(*columns)
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and not want.isEmpty()
-    gained = spark.read.parquet(str(tmp_path / "updates")).join(m.select("id", F.col("access_count").alias("old")), "id")
-    assert gained.agg(F.sum(F.col("access_count") - F.col("old"))).first()[0] == want.count()
+    gained = spark.read.parquet(str(tmp_path / "updates"))
+    assert gained.select("batch_id").distinct().count() == 3
+    assert gained.agg(F.sum("hits")).first()[0] == want.count()
+    after = sm.apply_increments(m, gained).select("id", "access_count", "last_accessed")
+    at_once = sm.update_metadata(m, sm.recall(asked, m, NOW, opts).updates).select("id", "access_count", "last_accessed")
+    assert after.exceptAll(at_once).isEmpty() and at_once.exceptAll(after).isEmpty()
+
+
+def test_streamed_rounds_become_the_memories_of_the_batch_job(spark, tmp_path):
+    src = tmp_path / "in"
+    write_file(src, "1.json", list(log_lines(4, "a")) + list(log_lines(3, "b", user=2)))
+    write_file(src, "2.json", log_lines(3, "c"))
+    opts = sm.SummaryOptions(every=3, min_rounds=2)
+    q = sm.stream_remember(sm.stream_rounds(spark, str(src), 1), NOW, str(tmp_path / "out"), str(tmp_path / "ckpt"), opts=opts,
+                           idle_seconds=None)
+    q.awaitTermination(240)
+    assert q.exception() is None and not q.isActive
+    columns = ["id", "user_id", "content", "session_id"]
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(*columns).collect()))
+    log = sm.read_rounds(spark, str(src))
+    want = sm.summarize_batches(log, NOW, opts=opts)
+    assert got == sorted(map(tuple, want.memories.select(*columns).collect())) and len(got) == 3
+    # The log then holds nothing new but what the stream still waits for.
+    assert sm.summarize_batches(log, NOW, opts=opts, known=spark.read.parquet(str(tmp_path / "out"))).memories.isEmpty()
 
 
 def test_streamed_rounds_are_the_read_rounds(spark, tmp_path):
