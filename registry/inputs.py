@@ -106,7 +106,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == 0, around('{"summary":"', '","topics":["a","b","c","d","e","f"],"importance":0.7}'))
         .when(kind == 1, around('```json\n{"summary":"', '","key_facts":["k"],"sentiment":"positive"}\n```'))
         .when(kind == 2, around('note: "summary": "', '", "importance": 0.3, "topics": ["x", "y z"]'))
-        .when(kind == 3, F.lit("[1,2]"))
+        .when(kind == 3, around('["', '"]'))
         .when(kind == 4, around('{"summary":"', '","topics":null}'))
         .when(kind == 5, around('{"summary":"', '","importance":1.5}'))
         .when(kind == 6, around('{"summary":"', '","importance":"0.25"}'))

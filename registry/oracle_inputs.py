@@ -48,7 +48,7 @@ REPLIES = r"""replies AS (
     WHEN 0 THEN '{"summary":"' || t || '","topics":["a","b","c","d","e","f"],"importance":0.7}'
     WHEN 1 THEN '```json' || chr(10) || '{"summary":"' || t || '","key_facts":["k"],"sentiment":"positive"}' || chr(10) || '```'
     WHEN 2 THEN 'note: "summary": "' || t || '", "importance": 0.3, "topics": ["x", "y z"]'
-    WHEN 3 THEN '[1,2]'
+    WHEN 3 THEN '["' || t || '"]'
     WHEN 4 THEN '{"summary":"' || t || '","topics":null}'
     WHEN 5 THEN '{"summary":"' || t || '","importance":1.5}'
     WHEN 6 THEN '{"summary":"' || t || '","importance":"0.25"}'

@@ -335,7 +335,8 @@ ORACLES = {
     "archive_files": with_(MEMORIES, settle(DAY, "memories", "d")) + """SELECT id, content, merged_into, session_id,
   'tier=' || tier || '/period=' || period AS folder FROM d_archived""",
     "summarize_with_model": with_(ROUNDS, batches(2), TEXTS) + """SELECT 'mem-' || substr(sha256(batch_id), 1, 32) AS id,
-  string_split(text, chr(10))[1] AS content, 'm' AS topics, 0.75e0 AS importance, 1e0 AS x, 2 AS dim
+  md5(text) || ' ' || length(text) AS content, 'm' AS topics, 0.75e0 AS importance,
+  round(CAST('0x' || substr(md5(text), 1, 2) AS INTEGER) / sqrt(CAST('0x' || substr(md5(text), 1, 2) AS INTEGER) ^ 2 + 1e4), 5) AS x, 2 AS dim
 FROM texts WHERE batch_size >= 2""",
     "stream_recall_increments": with_(MEMORIES, PROMPTS, LOW) + f"""SELECT m.id, CAST(m.access_count + coalesce(h.n, 0) AS INTEGER) AS access_count,
   {stamp(f"CASE WHEN h.n IS NULL THEN m.last_accessed ELSE greatest(m.last_accessed, {NOW}) END")} AS last_accessed

@@ -14,7 +14,7 @@ import sparkmem as sm
 from sparkmem.functions import expr as X
 from sparkmem.operators.conversation import with_batch_id
 from sparkmem.operators.corpus import chunk_corpus
-from sparkmem.operators.merging import concatenating_reducer
+from sparkmem.operators.merging import concatenating_reducer, leading_text
 from sparkmem.plans.ingest import note_chunks
 from sparkmem.plans.lifecycle import _as_members, _scored, _split
 from sparkmem.plans.recall import score
@@ -211,8 +211,8 @@ def find_merge_target_semantic(spark, d):
     groups = sm.settlement_groups(m, sm.DAILY_TO_MONTHLY, NOW)
     embed = sm.hashing_embedder(128)
     vectors = embed(m.drop("embedding"), "content", "embedding")
-    text = m.withColumn("period", X.period_key("created_at", "month", NOW)).groupBy("user_id", "period").agg(
-        F.min_by("content", "id").alias("text"))
+    members = _scored(_split(m, sm.DAILY_TO_MONTHLY)[0], sm.DAILY_TO_MONTHLY, NOW, sm.DecayOptions())
+    text = leading_text(_as_members(members.where(F.col("importance") < sm.DAILY_TO_MONTHLY.threshold)), 500, " ")
     t = sm.find_merge_target(groups, vectors, "monthly", "month", NOW, text, embed, max_distance=0.9)
     return t.select("user_id", "period", F.col("target.id").alias("target_id"))
 
@@ -425,10 +425,12 @@ def archive_files(spark, d):
 
 def summarize_with_model(spark, d):
     def reply(texts):
-        return [json.dumps({"summary": t.split("\n")[0], "topics": ["m"], "importance": 0.75}) for t in texts]
+        from hashlib import md5
+
+        return [json.dumps({"summary": f"{md5(t.encode()).hexdigest()} {len(t)}", "topics": ["m"], "importance": 0.75}) for t in texts]
 
     def load():
-        return lambda texts: np.array([[len(t), 0.0] for t in texts], dtype=np.float32)
+        return lambda texts: np.array([[int(t[:2], 16), 100.0] for t in texts], dtype=np.float32)
 
     m = sm.summarize_batches(rounds(spark, d), NOW, sm.model_summarizer(reply), sm.model_embedder(load, 256), SHORT).memories
     return m.select("id", "content", _joined("topics").alias("topics"), "importance",

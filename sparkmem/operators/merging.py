@@ -2,7 +2,7 @@
 
 A reducer takes the member rows (user_id, period, ord, created_at, id, content, topics,
 key_facts, base, sentiment; ord 0 is the existing summary) and returns one row per
-(user_id, period) with summary, topics, key_facts, sentiment, importance.
+(user_id, period) with summary, topics, key_facts, sentiment, importance. A group it returns no row for stays as it is.
 """
 
 from __future__ import annotations
@@ -79,21 +79,24 @@ def concatenating_reducer(
 
 def model_reducer(summarizer, max_chars: int = 8000):
     """A reducer from a summarizer. Members are merged in texts of about ``max_chars``,
-    the results merged again until one per group is left, so every member is read."""
+    the results merged again until one per group is left, so every member is read, with all its fields. A group that gets
+    an unusable reply at any level has no row; the others go on."""
 
     def reduce(members: DataFrame) -> DataFrame:
-        level = members.select(*GROUP, *MEMBER_ORDER, F.coalesce("content", F.lit("")).alias("content"), "topics")
+        level = members.select(
+            *GROUP, *MEMBER_ORDER, F.coalesce("content", F.lit("")).alias("content"), "topics", "key_facts",
+            F.col("base").alias("importance"), "sentiment",
+        )
         while True:
             level = stage(_packed(level, max_chars), "merge-texts")
-            merged = stage(parse_replies(summarizer(level)), "merge-replies")
-            broken = merged.where(F.col("problem").isNotNull() | F.col("summary").isNull())
-            if not broken.isEmpty():
-                raise ValueError("the summarizer gave an unusable reply for a merge: " + str(broken.first().asDict()))
+            replies = stage(parse_replies(summarizer(level)), "merge-replies")
+            broken = replies.where(F.col("problem").isNotNull() | F.col("summary").isNull())
+            merged = stage(replies.join(broken.select(*GROUP).distinct(), GROUP, "left_anti"), "merge-usable")
             if merged.groupBy(*GROUP).count().where("count > 1").isEmpty():
                 return merged.select(*GROUP, "summary", "topics", "key_facts", "sentiment", "importance")
             level = merged.select(
                 *GROUP, "ord", F.lit(None).cast("timestamp").alias("created_at"), F.col("batch_id").alias("id"),
-                F.col("summary").alias("content"), "topics",
+                F.col("summary").alias("content"), "topics", "key_facts", "importance", "sentiment",
             )
 
     return reduce
@@ -101,8 +104,14 @@ def model_reducer(summarizer, max_chars: int = 8000):
 
 def _packed(rows: DataFrame, max_chars: int) -> DataFrame:
     """Texts of at most max_chars, or of two rows if they are longer; a big group is packed in salted parts."""
-    line = F.concat(F.lit("- "), F.col("content"), F.lit("\n  topics: "),
-                    F.array_join(F.coalesce("topics", F.array().cast("array<string>")), ", "))
+    none = F.array().cast("array<string>")
+    line = F.concat(
+        F.when(F.col("ord") == 0, F.lit("- [existing summary] ")).otherwise(F.lit("- ")), F.col("content"),
+        F.lit("\n  topics: "), F.array_join(F.coalesce("topics", none), ", "),
+        F.lit("\n  key facts: "), F.array_join(F.coalesce("key_facts", none), "; "),
+        F.lit("\n  importance: "), F.coalesce(F.col("importance").cast("string"), F.lit("")),
+        F.lit("\n  sentiment: "), F.coalesce("sentiment", F.lit("neutral")),
+    )
     sized = rows.withColumn("line", line).withColumn("_len", F.length("line") + 1)
     totals = rows.groupBy(*GROUP).agg(F.count("*").alias("_rows"))
     parts = F.greatest(F.lit(1), F.least(F.lit(spread_of(rows)), F.floor(F.col("_rows") / 1000))).cast("int")

@@ -41,6 +41,7 @@ class Settlement(NamedTuple):
     hot: DataFrame
     archived: DataFrame
     merged: DataFrame
+    unsettled: DataFrame  # groups that would have settled but got no summary; their members stay hot
 
 
 def _split(memories: DataFrame, rule: SettleRule):
@@ -111,8 +112,7 @@ def settle(
     groups = stage(_groups(scored, rule), "settle-groups")
     in_group = F.col("n_low").isNotNull()
     flagged = scored.join(groups.select(*GROUP, "n_low", "first_id"), GROUP, "left")
-    settled = in_group & (F.col("importance") < rule.threshold)
-    low = flagged.where(settled)
+    low = flagged.where(in_group & (F.col("importance") < rule.threshold))
 
     text = leading_text(_as_members(low), 500, " ") if semantic_target else None
     if text is not None:
@@ -158,11 +158,15 @@ def settle(
             F.concat(F.lit("settle-"), "period").alias("session_id"),
             F.array_union(known, F.coalesce("_members", none)).alias("parent_ids"),
             (F.coalesce("target.merge_count", F.lit(0)) + 1).alias("merge_count"),
-            F.col("period"),
+            "period",
         )
     )
-    merged = stage(conform(embedder(merged, "content", "embedding")), "settle-merged")
-    replaced = target.select(F.col("target.id").alias("id"))
+    summaries_made = stage(embedder(merged, "content", "embedding"), "settle-merged")
+    merged, done = conform(summaries_made), summaries_made.select(*GROUP, F.col("id").alias("_target"))
+    flagged = scored.join(done, GROUP, "left")
+    in_group = F.col("_target").isNotNull()
+    settled = in_group & (F.col("importance") < rule.threshold)
+    replaced = merged.select("id")
     hot = (
         conform(flagged.where(~F.coalesce(settled, F.lit(False))))
         .unionByName(conform(rest))
@@ -174,12 +178,12 @@ def settle(
         goes = in_group & (F.col("importance") < rule.shield)
     archived = (
         flagged.where(goes)
-        .join(target.select(*GROUP, F.col("target.id").alias("_target")), GROUP, "left")
-        .withColumn("merged_into", F.when(settled, F.coalesce("_target", _summary_id(rule))))
+        .withColumn("merged_into", F.when(settled, F.col("_target")))
         .withColumn("archived_at", instant(now))
         .select(*MEMORY.names, "period", "merged_into", "archived_at")
     )
-    return Settlement(hot, archived, merged)
+    unsettled = groups.join(done.select(*GROUP), GROUP, "left_anti").drop("first_id")
+    return Settlement(hot, archived, merged, unsettled)
 
 
 def _summary_id(rule: SettleRule):
@@ -197,6 +201,7 @@ class SessionEnd(NamedTuple):
     hot: DataFrame
     archived: DataFrame
     remembered: Remembered
+    unsettled: DataFrame  # as in Settlement, of both steps, with their tier
 
 
 def session_end(
@@ -233,6 +238,7 @@ def session_end(
         monthly.hot.where(~is_summary).unionByName(yearly.hot),
         monthly.archived.unionByName(yearly.archived),
         remembered._replace(memories=new),
+        monthly.unsettled.withColumn("tier", F.lit("daily")).unionByName(yearly.unsettled.withColumn("tier", F.lit("monthly"))),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,12 +38,15 @@ def archive_records(archived: DataFrame) -> DataFrame:
     )
 
 
-def write_archive(archived: DataFrame, path: str) -> None:
-    archive_records(archived).write.mode("append").partitionBy("tier", "period").json(path)
+def write_archive(archived: DataFrame, path: str, run: str | None = None) -> None:
+    """Add the rows under ``run``, by default a new name. Writing a run again replaces its own files and no others."""
+    rows = archive_records(archived).withColumn("run", F.lit(run or uuid.uuid4().hex))
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("tier", "period", "run").json(path))
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ARCHIVE).json(path)
+    return spark.read.schema(ARCHIVE).json(path).select(*ARCHIVE.names)
 
 
 def archive_index(spark: SparkSession, path: str) -> DataFrame:

@@ -1,7 +1,6 @@
 import json
 from datetime import datetime
 
-import pytest
 from pyspark.sql import functions as F
 
 import sparkmem as sm
@@ -153,10 +152,42 @@ def test_model_reducer_shows_every_member_to_the_model(spark):
     assert got[2].content == "w0 w1 w2" and got[1].topics == ["merged"]
 
 
-def test_model_reducer_refuses_to_lose_a_group(spark):
-    reducer = sm.model_reducer(sm.model_summarizer(lambda texts: ["[]" for _ in texts]))
-    with pytest.raises(Exception, match="unusable reply"):
-        sm.settle(memory_rows(spark, [daily(i) for i in range(3)]), DAY, NOW, reducer=reducer).merged.collect()
+def test_an_unusable_reply_leaves_its_group_hot_and_no_other(spark):
+    def reply(texts):
+        return ["[]" if "broken" in t else '{"summary": "fine"}' for t in texts]
+
+    reducer = sm.model_reducer(sm.model_summarizer(reply))
+    target = daily(90, user=2, tier="monthly", id="kept", content="broken", day=datetime(2024, 1, 1))
+    rows = [daily(i, id=f"g{i}") for i in range(3)] + [daily(i, user=2, id=f"b{i}") for i in range(3)] + [target]
+    s = sm.settle(memory_rows(spark, rows), DAY, NOW, reducer=reducer)
+    assert [(r.user_id, r.content) for r in s.merged.collect()] == [(1, "fine")]
+    assert sorted(r.id for r in s.hot.where("user_id = 2").collect()) == ["b0", "b1", "b2", "kept"]
+    assert sorted(r.id for r in s.archived.collect()) == ["g0", "g1", "g2"]
+    assert [(r.user_id, r.n_low) for r in s.unsettled.collect()] == [(2, 3)]
+
+
+def test_the_model_sees_all_fields_and_which_text_is_the_existing_summary(spark):
+    def reply(texts):
+        return [json.dumps({"summary": t}) for t in texts]
+
+    rows = [daily(i, id=f"m{i}", content=f"c{i}", topics=["t"], key_facts=[f"f{i}"], sentiment="calm") for i in range(3)]
+    rows.append(daily(9, id="old", tier="monthly", content="before", day=datetime(2024, 1, 1)))
+    s = sm.settle(memory_rows(spark, rows), DAY, NOW, reducer=sm.model_reducer(sm.model_summarizer(reply)))
+    text = s.merged.first().content
+    assert text.startswith("- [existing summary] before\n") and text.count("existing") == 1
+    for i in range(3):
+        assert f"- c{i}\n  topics: t\n  key facts: f{i}\n  importance: " in text
+    assert text.count("  sentiment: calm") >= 3
+
+
+def test_late_members_never_reuse_the_id_of_an_archived_summary(spark):
+    """A month settles into its year; late days of that month settle again under an id of their own."""
+    month = sm.settle(memory_rows(spark, [daily(i, id=f"a{i}") for i in range(3)]), DAY, NOW)
+    (first,) = [r.id for r in month.merged.collect()]
+    late = sm.settle(memory_rows(spark, [daily(i, id=f"z{i}") for i in range(3)]), DAY, NOW)
+    (second,) = [r.id for r in late.merged.collect()]
+    assert first != second
+    assert {r.merged_into for r in month.archived.collect()} == {first} and {r.merged_into for r in late.archived.collect()} == {second}
 
 
 def test_session_end_flushes_ages_and_settles_both_steps(spark):

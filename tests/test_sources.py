@@ -69,6 +69,10 @@ def test_archive_index_and_lookup(spark, tmp_path):
     sm.write_archive(archived, path)
     archive, index = sm.read_archive(spark, path), sm.archive_index(spark, path)
     assert index.count() == archived.count() == archive.count()
+    sm.write_archive(archived.where("period = '2024-02'"), path, "late")
+    twice = sm.read_archive(spark, path).count()
+    sm.write_archive(archived.where("period = '2024-02'"), path, "late")  # a retry adds nothing
+    assert sm.read_archive(spark, path).count() == twice > archived.count()
     some = archived.where("period = '2024-02'").select("id")
     found = sm.lookup_archive(archive, some.union(spark.createDataFrame([("nope",)], "id string")), index)
     rows = found.collect()
