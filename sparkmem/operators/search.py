@@ -79,14 +79,19 @@ def knn_approx(
     and each prompt looks into the ``probes`` nearest lists.
 
     The directions are fixed by the seed, so filing needs no training pass. A list
-    that outgrows a block is searched block by block like any other group.
+    that outgrows a block is searched block by block like any other group. Prompts whose lists hold fewer than k
+    memories are searched exactly, so k are found wherever k exist.
     """
     queries = _vectors(queries, "q_embedding").select("user_id", "_dim", "query_id", "q_embedding")
     stored = where_metadata(memories, where or {})
     vectors = _vectors(stored, "embedding").select("user_id", "_dim", "id", "embedding")
     filed = _file_under(vectors, "embedding", lists, 1, seed)
     asked = _file_under(queries, "q_embedding", lists, probes, seed)
-    best = _ranked(_grid(asked, filed, ["user_id", "_dim", "_list"], k, None), k)
+    near = stage(_ranked(_grid(asked, filed, ["user_id", "_dim", "_list"], k, None), k), "near")
+    enough = near.groupBy("query_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= k).select("query_id")
+    short = stage(queries.join(enough, "query_id", "left_anti"), "short")
+    rest = _ranked(_grid(short, vectors, ["user_id", "_dim"], k, None), k)
+    best = near.join(enough, "query_id", "left_semi").unionByName(rest)
     return _with_columns(best, stored, carry)
 
 

@@ -89,6 +89,14 @@ def test_approximate_search_finds_most_and_all_when_it_looks_everywhere(spark):
     assert everywhere.exceptAll(exact).isEmpty() and everywhere.count() == total
 
 
+def test_approximate_search_finds_k_wherever_k_exist(spark, crowd):
+    q, m, rows = crowd
+    owned = {u: sum(1 for r in rows if r["user_id"] == u and r.get("embedding")) for u in (0, 1)}
+    found = sm.knn_approx(q, m, 50, lists=16, probes=1).groupBy("query_id").agg(F.count("*").alias("n"), F.countDistinct("id").alias("d"))
+    got = {r.query_id: (r.n, r.d) for r in found.collect()}
+    assert got == {i: (min(50, owned[i % 2]),) * 2 for i in range(30)}
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
