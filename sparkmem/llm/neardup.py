@@ -262,7 +262,7 @@ def prefix_pairs(bodies: DataFrame, nodes: DataFrame, idf: np.ndarray, similarit
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (smallest doc_id of its class), n_links, class_rows, text_hash.
+    """One row per row of ``docs``: doc_id, class_id (smallest doc_id of its class), n_links, class_rows, text_hash, class_key.
 
     Equal texts are one node. Nodes that share a band key are candidates; links are candidates whose weighted Jaccard
     similarity is at least ``similarity``; classes are connected nodes. ``n_links`` counts a text's
@@ -274,7 +274,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     cannot rule out a link.
 
     NULL and empty texts, and texts without words, are alike only if equal. A NULL doc_id takes its class from its
-    text; class_id is NULL if all ids of a class are. Only doc_id and text are read.
+    text; class_id is NULL if all ids of a class are, and different classes share it if ids are repeated: ``class_key``, the
+    smallest text_hash of a class, tells them apart. Only doc_id and text are read.
     """
     idf = inverse_frequencies(docs)
     table = stage(signed(docs, idf), "signatures")
@@ -317,7 +318,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     placed = table.select("doc_id", "_node").join(linked, "_node", "left").join(degree, "_node", "left")
     placed = placed.withColumns({"_component": F.coalesce("_component", "_node"), "n_links": F.coalesce("n_links", F.lit(0))})
     classes = placed.groupBy("_component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows"))
-    return placed.join(classes, "_component").select("doc_id", "class_id", "n_links", "class_rows", F.col("_node").alias("text_hash"))
+    return placed.join(classes, "_component").select("doc_id", "class_id", "n_links", "class_rows", F.col("_node").alias("text_hash"), F.col("_component").alias("class_key"))
 
 
 def without_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -325,7 +326,7 @@ def without_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) ->
     found = stage(near_duplicates(docs, similarity), "classes")
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
     # Of texts of one class under one id, the smallest hash stays.
-    stays = kept.groupBy("class_id", "doc_id").agg(F.min("text_hash").alias("_hash"), F.count("*").alias("_n"))
+    stays = kept.groupBy("class_key", "doc_id").agg(F.min("text_hash").alias("_hash"), F.count("*").alias("_n"))
     left = docs.withColumn("_hash", node())
     kept_rows = left.join(
         stays.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h")),

@@ -327,6 +327,13 @@ def test_near_duplicates_equal_brute_force(spark, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_unlike_texts_under_one_id_or_none_are_kept(spark):
+    table = [(None, prose(1, 90)), (None, prose(2, 90)), (None, prose(2, 90)), (7, prose(3, 90)), (7, prose(4, 90)), (8, prose(4, 90)), (9, prose(3, 90) + " end")]
+    kept = neardup.without_near_duplicates(spark.createDataFrame(table, "doc_id long, text string"))
+    want = Counter([table[0], table[1], table[3], table[4]])
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == want
+
+
 def test_prefix_pairs_lose_no_similar_pair(spark):
     rng = np.random.default_rng(11)
     texts = []
