@@ -27,17 +27,23 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == HELD_OUT, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
-    """At most ``limit`` labelled texts of each class, by order of a hash: (doc_id, text, label).
+def labelled(labels: DataFrame, label: str) -> DataFrame:
+    """All (doc_id, label) that may be learned from, one row an id.
 
-    Rows of the held-out remainder are never taken. The sampled ids are few by
-    construction (2 × limit), so they are broadcast and the texts are read in one narrow scan.
-    A doc_id labelled twice counts with its larger label.
+    Rows of the held-out remainder are never among them. A doc_id labelled twice counts with its larger label.
     """
-    known = (
+    return (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     )
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
+    """At most ``limit`` of the ``labelled`` texts of each class, by order of a hash: (doc_id, text, label).
+
+    The sampled ids are few by construction (2 × limit), so they are broadcast and the texts are read in one narrow scan.
+    """
+    known = labelled(labels, label)
     order = F.xxhash64(F.col("doc_id"), F.lit(7))
     picked = None
     for value in (0, 1):

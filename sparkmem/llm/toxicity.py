@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
-from .common import held_out, labelled_sample, read_table, whole
+from .common import held_out, labelled, labelled_sample, read_table, whole
 from .words import pieces, word_hashes
 
 #: Byte lengths of the stems that stand in for longer words, so inflected and compound forms are known by their beginning.
@@ -173,6 +173,7 @@ def fit_toxicity(
     """Token scores from one half of a bounded labelled sample, calibration from the other.
 
     A token scores its significant log-odds less ``drift``, all others -``drift``, so a clean text's running total falls.
+    Where ``rows`` cuts a class, the intercept moves the odds of the sample back to those of all labels.
     """
     sample = stage(labelled_sample(docs, labels, "toxic", rows).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2))), "toxic-sample")
     units, ratios, weight = log_odds(unit_counts(sample.where("half = 0")), prior, least_z)
@@ -194,6 +195,8 @@ def fit_toxicity(
     x, y = _features(got.best.to_numpy(float), got.total.to_numpy(float)), got.label.to_numpy(float)
     if 0 < y.sum() < len(y):
         model.weights = _logistic(x, y)
+        n = {r.label: r.n for r in labelled(labels, "toxic").groupBy("label").agg(F.count("*").alias("n")).collect()}
+        model.weights[0] += np.log(max(n[1] / rows, 1)) - np.log(max(n[0] / rows, 1))
     return model
 
 

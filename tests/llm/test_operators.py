@@ -228,6 +228,16 @@ def test_toxicity_learns_words_and_finds_passages(spark, docs, empty):
     assert toxicity.score_toxicity(docs, bare).where("score > 0.01").count() == 0
 
 
+def test_capping_one_class_leaves_toxicity_scores(spark):
+    # One text in nine is toxic; as many clean texts hold the same words, so only the odds of the classes decide.
+    table = [(i, prose(i, 60) + " vile scumbag filth" * (i % 9 in (0, 1)), int(i % 9 == 0)) for i in range(2700)]
+    corpus = spark.createDataFrame([t[:2] for t in table], "doc_id long, text string")
+    labels = spark.createDataFrame([(t[0], 1, t[2]) for t in table], "doc_id long, quality int, toxic int")
+    vile = corpus.where("text like '%vile%'")
+    full, cut = (toxicity.score_toxicity(vile, toxicity.fit_toxicity(corpus, labels, rows=n)).agg(F.avg("score")).first()[0] for n in (10_000, 250))
+    assert 0.3 < full < 0.7 and abs(full - cut) < 0.1
+
+
 def test_quality_learns_from_document_labels(spark, docs, empty):
     table = [(i, prose(i, 150) if i % 3 else prose(i, 70) + " || !! " * 40 + prose(i, 70), int(i % 3 > 0)) for i in range(450)]
     corpus = spark.createDataFrame([t[:2] for t in table], "doc_id long, text string")
