@@ -9,38 +9,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import stage
 from .common import read_table, whole
-from .words import pieces, word_hashes
+from .words import mix, pieces, word_hashes
 
-#: Words both models know, <other> included. The models are exact tables of this many squared cells at any corpus size.
-VOCABULARY = 2048
+#: Stands before the first word of a text; 0 stands for a word that is not in a given vocabulary.
+START = -1
+#: Tokens a task adds up before it hands on their bigrams.
+_RUN = 1 << 21
+#: The most frequent bigrams ride along with the tasks, at most so many; the others are joined.
+FREQUENT = 1 << 19
+_TURN = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
 class LanguageModels:
-    words: np.ndarray  # sorted hashes; the id of a word is its place + 1, of any other word 0
-    target: np.ndarray  # -log2 p(word | previous word); the last row is for the first word of a text
-    background: np.ndarray
+    """Counts of both corpora as tables (t of the target, b of the background), one row a key at any corpus size."""
 
+    words: np.ndarray | None  # sorted hashes of a given vocabulary; None: every word is in it
+    bigrams: DataFrame  # prev, word, n, t, b: -log2 p(word | prev) of every bigram of either corpus
+    contexts: DataFrame  # prev, t, b, t_kinds, b_kinds
+    singles: DataFrame  # word, t, b
+    totals: tuple[int, int, int]  # tokens of the target, of the background, distinct words and one for all unseen ones
+    frequent: tuple[np.ndarray, ...]  # keys, sorted, and both losses of the most frequent bigrams
 
-def _ids(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    if not len(words):
-        return np.zeros(len(hashes), np.int64)
-    found = hashes.view(np.int64)
-    spot = np.minimum(np.searchsorted(words, found), len(words) - 1)
-    return np.where(words[spot] == found, spot + 1, 0)
 
+def _tokens(words: np.ndarray | None, data: np.ndarray, at: np.ndarray):
+    """(previous word, word, text) of every token."""
+    hashes, text, _, _ = word_hashes(data, at)
+    ids = hashes.view(np.int64)
+    if words is not None:
+        spot = np.minimum(np.searchsorted(words, ids), len(words) - 1)
+        ids = np.where(words[spot] == ids, ids, 0) if len(words) else np.zeros(len(ids), np.int64)
+    before = np.empty_like(ids)
+    before[1:] = ids[:-1]
+    before[np.append(True, text[1:] != text[:-1])[:len(text)]] = START
+    return before, ids, text
 
-def _pairs(words: np.ndarray, column: pa.Array, size: int):
-    """Per run of texts: its first text and their number, the cell (previous, word) of every token, and its text."""
-    for first, last, data, at in pieces(column):
-        hashes, text, _, _ = word_hashes(data, at)
-        ids = _ids(words, hashes)
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        begins = np.append(True, text[1:] != text[:-1])[:len(text)]
-        before[begins] = size
-        yield first, last - first, before * size + ids, text
+
+def _key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(before.view(np.uint64) * _TURN + word.view(np.uint64))
 
 
 def shared_vocabulary(target: DataFrame, background: DataFrame, size: int) -> np.ndarray:
@@ -57,72 +65,149 @@ def shared_vocabulary(target: DataFrame, background: DataFrame, size: int) -> np
     return np.sort(top.word.to_numpy(np.int64))
 
 
-def _losses(counts: np.ndarray) -> np.ndarray:
-    """Witten-Bell interpolation with the unigram model, itself smoothed by one count a word; in bits."""
-    size = counts.shape[1]
-    single = counts.sum(0) + 1.0
-    single /= single.sum()
-    kinds = (counts > 0).sum(1, keepdims=True)
-    total = counts.sum(1, keepdims=True)
-    kinds = np.maximum(kinds, 1)
-    loss = np.empty((size + 1, size), np.float32)
-    for a in range(0, size + 1, 256):
-        part = slice(a, a + 256)
-        loss[part] = -np.log2((counts[part] + kinds[part] * single) / (total[part] + kinds[part]))
-    return loss
+def _bigrams(corpus: DataFrame, words: np.ndarray | None) -> DataFrame:
+    """(prev, word, n), added up per task over runs of tokens."""
+    def added(parts):
+        before, ids = (np.concatenate(x) for x in zip(*parts))
+        _, spot, n = np.unique(_key(before, ids), return_index=True, return_counts=True)
+        for a in range(0, len(spot), 1 << 18):
+            some = spot[a:a + (1 << 18)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(before[some]), pa.array(ids[some]), pa.array(n[a:a + (1 << 18)].astype(np.int64))], ["prev", "word", "n"]
+            )
+
+    def count(batches):
+        parts, held = [], 0
+        for batch in batches:
+            for _, _, data, at in pieces(batch.column(0)):
+                before, ids, _ = _tokens(words, data, at)
+                parts.append((before, ids))
+                held += len(ids)
+                if held >= _RUN:
+                    yield from added(parts)
+                    parts, held = [], 0
+        if held:
+            yield from added(parts)
+
+    return corpus.select(whole()).mapInArrow(count, "prev long, word long, n long")
+
+
+def _with_losses(bigrams: DataFrame, contexts: DataFrame, singles: DataFrame, totals: tuple[int, int, int]) -> DataFrame:
+    """Losses (t, b) of rows with prev, word and their counts t_n, b_n: Witten-Bell interpolation with the unigram model,
+    itself smoothed by one count a word; in bits."""
+    rows = bigrams.join(contexts.withColumnsRenamed({"t": "t_context", "b": "b_context"}), "prev", "left")
+    rows = rows.join(singles.withColumnsRenamed({"t": "t_single", "b": "b_single"}), "word", "left")
 
+    def loss(m, tokens):
+        known = lambda name: F.coalesce(F.col(f"{m}_{name}"), F.lit(0)).cast("double")
+        kinds = F.greatest(known("kinds"), F.lit(1.0))
+        single = (known("single") + 1) / float(tokens + totals[2])
+        return -F.log2((known("n") + kinds * single) / (known("context") + kinds))
 
-def fit_models(target: DataFrame, background: DataFrame, size: int = VOCABULARY) -> LanguageModels:
-    """Both models over one vocabulary, counted over all texts of each corpus.
+    return rows.withColumns({"t": loss("t", totals[0]), "b": loss("b", totals[1])})
 
-    A task adds up its pairs before the shuffle; at most size × (size + 1) sums of each model reach the driver.
+
+def fit_models(target: DataFrame, background: DataFrame, size: int | None = None) -> LanguageModels:
+    """Both models over the words of both corpora, counted over all texts; a ``size`` keeps only the most frequent words.
+
+    A task adds up its bigrams before the shuffle. Counts stay in tables that are written down; the driver gets totals and
+    the ``FREQUENT`` most frequent bigrams, which spare scoring most of its rows and change no result.
+    """
+    words = None if size is None else shared_vocabulary(target, background, size)
+    zero = F.lit(0).cast("long")
+    both = _bigrams(target, words).select("prev", "word", F.col("n").alias("t_n"), zero.alias("b_n")).unionByName(
+        _bigrams(background, words).select("prev", "word", zero.alias("t_n"), F.col("n").alias("b_n"))
+    )
+    counts = stage(both.groupBy("prev", "word").agg(F.sum("t_n").alias("t_n"), F.sum("b_n").alias("b_n")), "bigrams")
+    t, b = F.sum("t_n").alias("t"), F.sum("b_n").alias("b")
+    kinds = [F.count_if(F.col(f"{m}_n") > 0).alias(f"{m}_kinds") for m in "tb"]
+    # Written down, so that the joins below meet two plain shuffles and can split frequent words.
+    contexts = stage(counts.groupBy("prev").agg(t, b, *kinds), "contexts")
+    singles = stage(counts.groupBy("word").agg(t, b), "singles")
+    n_t, n_b, kinds_all = singles.agg(F.sum("t"), F.sum("b"), F.count_if(F.col("word") != 0)).first()
+    totals = (n_t or 0, n_b or 0, kinds_all + 1)
+    n = (F.col("t_n") + F.col("b_n")).alias("n")
+    bigrams = stage(_with_losses(counts, contexts, singles, totals).select("prev", "word", n, "t", "b"), "losses")
+    return LanguageModels(words, bigrams, contexts, singles, totals, _frequent(bigrams))
+
+
+def _frequent(bigrams: DataFrame) -> tuple[np.ndarray, ...]:
+    """Keys and losses of the bigrams with at least so many occurrences that no more than ``FREQUENT`` have them."""
+    step = F.floor(F.log2("n") * 8)
+    steps = bigrams.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).toPandas().sort_values("step", ascending=False)
+    fits = steps.step[steps.rows.cumsum() <= FREQUENT]
+    if not len(fits):
+        return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    top = bigrams.where(step >= int(fits.min())).select("prev", "word", "t", "b").toArrow()
+    before, word, t, b = (top.column(c).to_numpy() for c in ("prev", "word", "t", "b"))
+    key = _key(before, word)
+    order = np.argsort(key)
+    return key[order], t[order], b[order]
+
+
+def _bigrams_of_texts(docs: DataFrame, models: LanguageModels) -> DataFrame:
+    """Per row of ``docs`` (_row, _scored): one row with its tokens and the losses of its frequent bigrams, and a row for each other bigram.
+
+    The first kind has ``texts`` 1 and ``times`` 0, and a key that spreads it over the tasks of a join.
     """
-    words = shared_vocabulary(target, background, size)
+    words, (keys, *losses) = models.words, models.frequent
 
-    def count(batches):
-        table = np.zeros((size + 1) * size, np.int64)
+    def run(batches):
         for batch in batches:
-            for _, _, cells, _ in _pairs(words, batch.column(0), size):
-                table += np.bincount(cells, minlength=len(table))
-        there = np.flatnonzero(table)
-        for a in range(0, len(there), 1 << 18):
-            some = there[a:a + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(table[some])], ["cell", "n"])
-
-    losses = []
-    for corpus in (target, background):
-        sums = corpus.select(whole()).mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-        table = np.zeros((size + 1) * size, np.float64)
-        table[sums.column("cell").to_numpy()] = sums.column("n").to_numpy()
-        losses.append(_losses(table.reshape(size + 1, size)))
-    return LanguageModels(words, *losses)
+            rows = batch.column(0).to_numpy()
+            for first, last, data, at in pieces(batch.column(1)):
+                before, ids, text = _tokens(words, data, at)
+                key, texts = _key(before, ids), last - first
+                spot = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                near = keys[spot] == key if len(keys) else np.zeros(len(key), bool)
+                t, b = (np.bincount(text[near], x[spot[near]], texts).astype(float) for x in losses)
+                far = np.flatnonzero(~near)
+                _, where, times = np.unique(mix(key[far] + text[far].astype(np.uint64) * _TURN), return_index=True, return_counts=True)
+                far = far[where]
+                own = rows[first:last]
+                full = lambda a, fill: pa.array(np.concatenate([a, np.full(len(far), fill, a.dtype)]))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate([own, own[text[far]]])), pa.array(np.concatenate([own, before[far]])),
+                    pa.array(np.concatenate([own, ids[far]])), pa.array(np.concatenate([np.zeros(texts, np.int64), times.astype(np.int64)])),
+                    full(np.ones(texts, np.int64), 0), full(np.bincount(text, minlength=texts).astype(np.int64), 0), full(t, 0), full(b, 0),
+                ], ["_row", "prev", "word", "times", "texts", "tokens", "t_sum", "b_sum"])
+
+    return docs.select("_row", "_scored").mapInArrow(
+        run, "_row long, prev long, word long, times long, texts long, tokens long, t_sum double, b_sum double"
+    )
 
 
 def cross_entropy_difference(docs: DataFrame, models: LanguageModels) -> DataFrame:
     """Add n_tokens, loss_target, loss_background (bits a token) and ``difference``, the first less the second: low is like the target.
 
-    One narrow pass over whole texts. NULL and empty texts have no tokens and 0 in all columns; columns of these names are
-    replaced, all others are kept.
+    All words of all texts count. A text's bigrams that are not among the frequent ones are joined with the table of losses; texts
+    with bigrams of neither corpus are looked at once more, with the counts of contexts and words. Rows are told apart by
+    a 64-bit hash of their columns; equal rows have equal results. NULL and empty texts have no tokens and 0 in all columns;
+    columns of these names are replaced, all others are kept.
     """
-    def run(batches):
-        size = models.target.shape[1]
-        both = [models.target.ravel(), models.background.ravel()]
-        for batch in batches:
-            n, sums = np.zeros(batch.num_rows, np.int64), np.zeros((2, batch.num_rows))
-            for first, texts, cells, text in _pairs(models.words, batch.column(batch.num_columns - 1), size):
-                span = slice(first, first + texts)
-                n[span] = np.bincount(text, minlength=texts)
-                for k in (0, 1):
-                    sums[k, span] = np.bincount(text, both[k][cells], texts)
-            mean = sums / np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(n), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])], [*batch.schema.names[:-1], *names]
-            )
-
     names = ["n_tokens", "loss_target", "loss_background", "difference"]
-    kept = docs.drop(*names, "_scored")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "n_tokens long, loss_target double, loss_background double, difference double"])
-    return kept.withColumn("_scored", whole()).mapInArrow(run, schema)
+    kept = docs.drop(*names, "_scored", "_row")
+    plain = [F.col(f"`{c}`") for c, kind in kept.dtypes if "map<" not in kind and "variant" not in kind]
+    keyed = kept.withColumn("_row", F.xxhash64(*plain))
+    texts = keyed.select("_row", whole().alias("_scored"))
+    times = F.col("times")
+
+    def added():
+        return [F.coalesce(F.sum(F.col(f"{m}_sum") + times * F.coalesce(m, F.lit(0.0))), F.lit(0.0)).alias(f"_{m}") for m in "tb"]
+
+    found = _bigrams_of_texts(texts, models).join(models.bigrams.drop("n"), ["prev", "word"], "left")
+    missed = F.sum(F.when(F.col("t").isNull(), times).otherwise(0)).alias("_missed")
+    sums = stage(found.groupBy("_row").agg(*added(), F.sum("tokens").alias("_tokens"), F.sum("texts").alias("_texts"), missed), "scores")
+    open_rows = sums.where("_missed > 0").select("_row")
+    if open_rows.limit(1).count():
+        again = _bigrams_of_texts(texts.join(open_rows, "_row", "left_semi"), models).where("times > 0")
+        unseen = again.join(models.bigrams, ["prev", "word"], "left_anti").withColumns({"t_n": F.lit(0), "b_n": F.lit(0)})
+        more = _with_losses(unseen, models.contexts, models.singles, models.totals)
+        more = more.groupBy("_row").agg(*added()).withColumnsRenamed({"_t": "_t_more", "_b": "_b_more"})
+        sums = sums.join(more, "_row", "left").withColumns({f"_{m}": F.col(f"_{m}") + F.coalesce(f"_{m}_more", F.lit(0.0)) for m in "tb"})
+    mean = lambda m: F.col(f"_{m}") / F.greatest("_tokens", F.lit(1))
+    scores = sums.select("_row", (F.col("_tokens") / F.col("_texts")).cast("long").alias("n_tokens"), mean("t").alias("loss_target"), mean("b").alias("loss_background"))
+    return keyed.join(scores, "_row", "left").withColumn("difference", F.col("loss_target") - F.col("loss_background")).drop("_row")
 
 
 def op7_cross_entropy_difference(spark, sf_dir):

@@ -420,3 +420,33 @@ def test_cross_entropy_difference_equals_brute_force(spark, docs, rows, empty):
     assert lmscore.cross_entropy_difference(empty, models).count() == 0
     bare = lmscore.fit_models(target.limit(0), empty, size=64)
     assert lmscore.cross_entropy_difference(docs, bare).where("difference <> 0").count() == 0
+
+
+def test_all_words_count_in_cross_entropy(spark):
+    # More distinct words than any fixed table held; the texts differ only in the rarest of them.
+    common = [" ".join(f"w{(i * 40 + j) % 4000}" for j in range(400)) for i in range(60)]
+    target, other = common + ["w1 alpha beta w2"], common + ["w1 gamma delta w2"]
+    table = [(0, "w1 alpha beta w2"), (1, "w1 gamma delta w2"), (1, "w1 gamma delta w2"), (2, "new alpha W1 unseen words"), (3, None), (None, "gamma")]
+    frame = lambda texts: spark.createDataFrame([(t,) for t in texts], "text string")
+    models = lmscore.fit_models(frame(target), frame(other))
+    got = lmscore.cross_entropy_difference(spark.createDataFrame(table, "doc_id long, text string"), models).collect()
+    counts = [Counter(p for t in texts for p in zip(["<s>", *t.split()], t.split())) for texts in (target, other)]
+    size = len({w for c in counts for _, w in c}) + 1
+    want = Counter()
+    for doc, text in table:
+        x, loss = (text or "").lower().split(), []
+        for c in counts:
+            single, context, kinds = Counter(), Counter(), Counter()
+            for (a, w), n in c.items():
+                single[w] += n
+                context[a] += n
+                kinds[a] += 1
+            p = lambda a, w: (c[a, w] + max(kinds[a], 1) * (single[w] + 1) / (single.total() + size)) / (context[a] + max(kinds[a], 1))
+            loss.append(float(np.mean([-np.log2(p(a, w)) for a, w in zip(["<s>", *x], x)])) if x else 0.0)
+        want[doc, len(x), round(loss[0], 6), round(loss[1], 6)] += 1
+    assert Counter((r.doc_id, r.n_tokens, round(r.loss_target, 6), round(r.loss_background, 6)) for r in got) == want
+    by = {r.doc_id: r.difference for r in got}
+    assert by[0] < -0.5 and by[1] > 0.5
+    models.frequent = tuple(x[:0] for x in models.frequent)
+    again = lmscore.cross_entropy_difference(spark.createDataFrame(table, "doc_id long, text string"), models).collect()
+    assert Counter((r.doc_id, r.n_tokens, round(r.loss_target, 6), round(r.loss_background, 6)) for r in again) == want
