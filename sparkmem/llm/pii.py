@@ -54,7 +54,7 @@ ENTITY = re.compile(
 # A text without any of these holds no such entity; most texts have none.
 _MARKS = re.compile("[@0-9]")
 _PREFIXES = ("AKIA", "ASIA", "ghp_", "sk-")
-_NAMES = re.compile(rf"\b(?:(?:{_TITLE})\.? (?P<titled>{_NAME}(?: {_NAME})?)|(?P<given>(?:{_GIVEN}) {_NAME}))")
+_NAMES = re.compile(rf"\b(?:(?:{_TITLE})\.? (?P<titled>{_NAME}(?: {_NAME})*)|(?P<given>(?:{_GIVEN})(?: {_NAME})+))")
 
 _VOWELS, _CONSONANTS = "aeiouy", "bcdfghjklmnpqrstvwxz"
 _ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
@@ -147,12 +147,15 @@ class Surrogates:
         *labels, top = domain.split(".")
         return ".".join([f"{self.permute(local, 'local', _ALPHABETS)}@" + ".".join(self.permute(x, "label", _ALPHABETS) for x in labels), top])
 
-    def name(self, text: str, gender: str) -> str:
-        """Known given names become others of their gender and script, other names keep length, script and spoken form."""
+    def name(self, text: str, given: bool) -> str:
+        """Known given names become others of their gender and script, other names keep length, script and spoken form.
+
+        A given name is the first of several words, or a single one that is said to be ``given``.
+        """
         words = text.split(" ")
         out = []
         for i, word in enumerate(words):
-            names = next((ns for ns in GIVEN.values() if word in ns), None) if i == 0 and len(words) > 1 else None
+            names = next((ns for ns in GIVEN.values() if word in ns), None) if i == 0 and (given or len(words) > 1) else None
             if names:
                 out.append(self._ranked(names)[word])
             else:
@@ -175,8 +178,8 @@ class Surrogates:
             return self.address(value)
         if kind == "email":
             return self.email(value)
-        if kind == "name":
-            return self.name(value, "")
+        if kind in ("name", "given"):
+            return self.name(value, kind == "given")
         if kind == "key":
             head = 3 if value.startswith("sk-") else 4
             return value[:head] + self.permute(value[head:], "key", _ALPHABETS)
@@ -217,22 +220,29 @@ def normal(kind: str, value: str) -> str:
 
 
 def entities(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, type) of every entity of a text. A surname seen after a full name or title is found again alone."""
+    """(start, end, type) of every entity of a text. Every word of a full name or after a title is found again alone;
+    the first word of a full name has type given there. A word that is both in one text counts as what it is first.
+    """
     found = []
     if _MARKS.search(text) or any(p in text for p in _PREFIXES):
         found = [(m.start(m.lastgroup), m.end(m.lastgroup), m.lastgroup) for m in ENTITY.finditer(text)]
     named = [m.span(m.lastgroup) for m in _NAMES.finditer(text)]
     if named:
-        known = {text[a:b].split(" ")[-1] for a, b in named}
+        known: dict[str, str] = {}
+        for a, b in named:
+            words = text[a:b].split(" ")
+            for i, word in enumerate(words):
+                known.setdefault(word, "given" if i == 0 and len(words) > 1 else "name")
+        named = [(a, b, "name") for a, b in named]
         alone = re.compile(r"\b(?:" + "|".join(sorted(map(re.escape, known), key=len, reverse=True)) + r")\b")
         found.sort()
-        taken = sorted([*((a, b) for a, b, _ in found), *named])
+        taken = sorted((a, b) for a, b, _ in [*found, *named])
         starts = [a for a, _ in taken]
         for m in alone.finditer(text):
             i = bisect_right(starts, m.start()) - 1
             if (i < 0 or taken[i][1] <= m.start()) and (i + 1 == len(taken) or taken[i + 1][0] >= m.end()):
-                named.append(m.span())
-        apart = [(a, b, "name") for a, b in named if not any(x < b and a < y for x, y, _ in found)] if found else [(a, b, "name") for a, b in named]
+                named.append((*m.span(), known[m.group()]))
+        apart = [(a, b, kind) for a, b, kind in named if not any(x < b and a < y for x, y, _ in found)] if found else named
         found = sorted([*found, *apart])
     return found
 
@@ -241,8 +251,9 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """``docs`` with every entity in ``text`` replaced; adds ``entities``: (start, end in the new text, type, value_hash, surrogate).
 
     Types: e-mail, phone, payment card, IPv4 address, social security number, access keys and secrets, names after a
-    title or beginning with a common given name. A surrogate has its value's type, length of number, separators, script and
-    gender of given name, and a valid check digit where the value has one. NULL texts stay NULL, empty ones empty;
+    title or beginning with a listed given name, with all capitalised words that follow. A surrogate has its value's type,
+    length of number, separators and script, the gender of a listed given name (titles stay; other given names have
+    no gender), and a valid check digit where the value has one. NULL texts stay NULL, empty ones empty;
     repeated rows are treated alike; a column named entities is replaced, all others are kept.
     """
     def run(batches):
@@ -263,7 +274,7 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
                     new = memo[kind, old]
                     out += [text[last:a], new]
                     token = hashlib.blake2b(normal(kind, old).encode(), key=key, digest_size=16).hexdigest()
-                    listed.append({"start": a + shift, "end": a + shift + len(new), "type": kind, "value_hash": token, "surrogate": new})
+                    listed.append({"start": a + shift, "end": a + shift + len(new), "type": "name" if kind == "given" else kind, "value_hash": token, "surrogate": new})
                     shift += len(new) - (b - a)
                     last = b
                 texts.append("".join([*out, text[last:]]) if spans else text)

@@ -291,6 +291,25 @@ def test_personal_data_are_replaced_alike_everywhere(spark, docs, rows, empty):
     assert pii.pseudonymised(empty).count() == 0
 
 
+def test_every_word_of_a_name_is_replaced_alike():
+    def run(text):
+        s, out, last = pii.Surrogates(b"k"), [], 0
+        for a, b, kind in pii.entities(text):
+            out += [text[last:a], s.of(kind, text[a:b])]
+            last = b
+        return "".join(out) + text[last:]
+
+    text = "Mary Johnson came. Then Mary said: Johnson is here. Mary Ann Smith left; Smith, Ann. Mrs Zelda Brown; Zelda. Mr Martin; Martin."
+    got = run(text)
+    assert not any(re.search(rf"\b{w}\b", got) for w in ("Mary", "Johnson", "Ann", "Smith", "Zelda", "Brown", "Martin"))
+    m = re.fullmatch(r"(\w+) (\w+) came. Then (\w+) said: (\w+) is here. (\w+) (\w+) (\w+) left; (\w+), (\w+). Mrs (\w+) (\w+); (\w+). Mr (\w+); (\w+).", got).groups()
+    assert m[0] == m[2] == m[4] and m[1] == m[3] and m[5] == m[8] and m[6] == m[7] and m[9] == m[11] and m[12] == m[13]
+    assert m[0] in pii.GIVEN["f"]
+    both = run("John Martin met Martin Weber. Martin, Weber, John.")
+    a, b, c, d, e, f, g = re.findall(r"\b[A-Z]\w+", both)
+    assert (e, f, g) == (b, d, a) and c in pii.GIVEN["m"] and b not in pii.GIVEN["m"]
+
+
 def _weighted(text, idf):
     data = np.frombuffer((text or "").encode(), np.uint8)
     _, shingle, weight = neardup.weighted_shingles(data, np.array([0, len(data)]), idf)
