@@ -10,12 +10,14 @@ from .quality import op3_attention_quality
 from .rules import op9_adaptive_rules
 from .sharding import op1_histogram_sharding
 from .toxicity import op8_toxic_segments
+from .whitening import op11_embedding_whitening
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_histogram_sharding, op2_mixture_packing, op3_attention_quality, op4_surrogates, op5_training_order,
         op6_prefix_filtered_join, op7_cross_entropy_difference, op8_toxic_segments, op9_adaptive_rules, op10_weighted_minhash,
+        op11_embedding_whitening,
     )
 }
 ORACLES = {"op6_prefix_filtered_join": OP6_SQL}
