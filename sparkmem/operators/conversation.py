@@ -20,7 +20,7 @@ def round_batches(rounds: DataFrame, every: int = 10) -> DataFrame:
     """
     size = F.least(F.lit(every), F.col("group_rows") - F.col("batch_no") * every)
     return (
-        number_rows(rounds, CONVERSATION, "ts", ["round_id"])
+        number_rows(rounds, CONVERSATION, ["ts", "round_id"])
         .withColumnRenamed("position", "round")
         .withColumn("batch_no", F.floor((F.col("round") - 1) / every).cast("long"))
         .withColumn("batch_size", size.cast("int"))

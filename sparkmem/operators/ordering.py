@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import stage
+
 
 def spread_of(df: DataFrame) -> int:
     """How many ways to split a group: the session's shuffle parallelism."""
@@ -20,32 +22,29 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
     return left.join(other, same).drop(*[f"_right_{k}" for k in keys])
 
 
-def number_rows(df: DataFrame, keys: list[str], ts: str, tie: list[str]) -> DataFrame:
-    """Add ``position`` (1, 2, … per group, ordered by ts and tie) and ``group_rows``.
+def number_rows(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """Add ``position`` (1, 2, … per group in ``order``) and ``group_rows``; without ``keys`` all rows are one group.
 
-    Rows are numbered inside (group, second) and shifted by the sizes of the earlier
-    seconds of the hour and of the earlier hours, so no task ever sorts a whole group. NULL keys form groups too.
+    One exchange deals the rows out by ranges of (keys, order), so a group of any size, or a single moment that holds most
+    rows, is spread over tasks; ties go by a hash of the row, and only rows that are equal throughout share a
+    task for certain. Numbers inside a task are shifted by the rows of the group in the tasks before, of which there is one
+    count a task and group. The rows are written down in between, so a lost executor cannot deal them anew. NULL keys form
+    groups too.
     """
-    start = F.timestamp_seconds(F.lit(0))
-    df = df.withColumns({f"_{u}": F.coalesce(F.date_trunc(u, ts), start) for u in ("hour", "second")})
-    hour, second = [*keys, "_hour"], [*keys, "_hour", "_second"]
-
-    def earlier(size: str, group: list[str], order: str):
-        w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum(size).over(w), F.lit(0))
-
-    seconds = df.groupBy(*second).agg(F.count("*").alias("_n"))
-    hours = seconds.groupBy(*hour).agg(F.sum("_n").alias("_n")).select(
-        *hour,
-        earlier("_n", keys, "_hour").alias("_hours_before"),
-        F.sum("_n").over(Window.partitionBy(*keys)).alias("group_rows"),
-    )
-    offsets = null_safe_join(seconds.withColumn("_before", earlier("_n", hour, "_second")).drop("_n"), hours, hour)
-    inside = Window.partitionBy(*second).orderBy(ts, *tie)
+    plain = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    by = [*keys, *order, "_tie"]
+    dealt = df.withColumn("_tie", F.xxhash64(*plain)).repartitionByRange(*by).sortWithinPartitions(*by)
+    rows = stage(dealt.drop("_tie").withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    # The upper bits of such an id are the task, the lower ones the place in it.
+    rows = rows.withColumn("_task", F.shiftright("_at", 33))
+    parts = rows.groupBy(*keys, "_task").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    group = Window.partitionBy(*keys)
+    before = F.sum("_n").over(group.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = parts.withColumns({"_before": F.coalesce(before, F.lit(0)), "group_rows": F.sum("_n").over(group)}).drop("_n")
     return (
-        null_safe_join(df, offsets, second)
-        .withColumn("position", F.col("_hours_before") + F.col("_before") + F.row_number().over(inside))
-        .drop("_hour", "_second", "_hours_before", "_before")
+        null_safe_join(rows, shifts, [*keys, "_task"])
+        .withColumn("position", F.col("_before") + F.col("_at") - F.col("_first") + 1)
+        .drop("_at", "_task", "_first", "_before")
     )
 
 

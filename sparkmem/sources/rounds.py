@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expr import parse_created, strip_tool_calls
+from ..functions.expr import new_id, parse_created, strip_tool_calls
 from ..operators.ordering import number_rows
 from ..schema import ROUND_LINE
 
@@ -34,24 +36,29 @@ def rounds_from_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def append_rounds(rounds: DataFrame, path: str, existing: DataFrame | None = None) -> None:
+def append_rounds(rounds: DataFrame, path: str, existing: DataFrame | None = None, run: str | None = None) -> None:
     """Append rounds with their number in the conversation, tool-call blocks removed.
 
-    ``existing`` is what the log already holds; numbering goes on after it.
+    The rows lie under ``run``, by default a new name: writing a run again replaces its own files and no others.
+    ``existing`` is what the log holds without this run; numbering goes on after it. A round without an id gets one
+    that follows from run, conversation and number, so a repeated write gives the same.
     """
-    numbered = number_rows(rounds, ["user_id", "conv_id"], "ts", ["round_id"])
-    if existing is None:
-        offset = F.lit(0)
-    else:
+    run = run or uuid.uuid4().hex
+    numbered = number_rows(rounds, ["user_id", "conv_id"], ["ts", "round_id"])
+    number = F.col("position")
+    if existing is not None:
         held = existing.groupBy("user_id", "conv_id").agg(F.count("*").alias("_held"))
-        numbered = numbered.join(held, ["user_id", "conv_id"], "left")
-        offset = F.coalesce("_held", F.lit(0))
-    numbered.select(
-        F.coalesce("round_id", F.uuid()).alias("id"),
+        same = numbered["user_id"].eqNullSafe(held["user_id"]) & numbered["conv_id"].eqNullSafe(held["conv_id"])
+        numbered = numbered.join(held, same, "left").drop(held["user_id"], held["conv_id"])
+        number = number + F.coalesce("_held", F.lit(0))
+    lines = numbered.withColumn("round", number).select(
+        F.coalesce("round_id", new_id("round-", F.lit(run), "user_id", "conv_id", "round")).alias("id"),
         "user_id",
         F.col("conv_id").cast("string").alias("conv_id"),
-        (F.col("position") + offset).alias("round"),
+        "round",
         F.col("user_text").alias("user"),
         strip_tool_calls("assistant_text").alias("assistant"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"),
-    ).write.mode("append").json(path)
+        F.lit(run).alias("run"),
+    )
+    lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").json(path)

@@ -90,7 +90,8 @@ def test_nothing_is_lost_and_settling_again_changes_nothing(spark):
     m = sm.stage(memories(spark, SF), "m")
     for rule in (DAY, MONTH):
         s = sm.settle(m, rule, NOW)
-        hot, archived, merged = (sm.stage(x, "s") for x in s)
+        hot, archived, merged, unsettled = (sm.stage(x, "s") for x in s)
+        assert unsettled.isEmpty()
         new = merged.join(m, "id", "left_anti")
         assert ids(hot.select("id").union(archived.select("id"))) == ids(m.select("id").union(new.select("id")))
         assert archived.groupBy("id").count().where("count > 1").isEmpty()

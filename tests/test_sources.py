@@ -49,6 +49,19 @@ def test_append_rounds_numbers_on_and_strips_tool_calls(spark, tmp_path):
     assert sm.read_rounds(spark, path).select("ts").exceptAll(r.select("ts").union(r.select("ts"))).isEmpty()
 
 
+def test_a_repeated_append_of_a_run_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "log")
+    r = rounds(spark, SF).withColumn("round_id", F.when(F.col("round_id").endswith("0"), F.col("round_id")))
+    sm.append_rounds(r, path, run="monday")
+    once = sm.stage(sm.read_rounds(spark, path), "log")
+    sm.append_rounds(r, path, run="monday")
+    twice = sm.read_rounds(spark, path)
+    assert once.exceptAll(twice).isEmpty() and twice.exceptAll(once).isEmpty()
+    assert once.select("round_id").distinct().count() == r.count()
+    sm.append_rounds(r, path, existing=once, run="tuesday")
+    assert sm.read_rounds(spark, path).select("round_id").where("round_id like 'round-%'").distinct().count() == 2 * r.where("round_id is null").count()
+
+
 def test_broken_and_blank_round_lines_are_skipped(spark, tmp_path):
     f = tmp_path / "r.jsonl"
     f.write_text('{"id":"a","user":"u","timestamp":"2024-01-01T00:00:00Z"}\n\n{broken\n   \n{"id":"b"}\n')
