@@ -1,4 +1,4 @@
-"""Naming an intermediate value inside an expression."""
+"""Naming intermediate values."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,3 +11,15 @@ def computed(df: DataFrame, value, fields) -> DataFrame:
     push the whole computation below and repeat it.
     """
     return df.select("*", F.inline(F.transform(F.array(value), lambda v: F.struct(*fields(v)))))
+
+
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in stems:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import unused
 from ..sources.staging import stage
 
 
@@ -29,22 +30,24 @@ def number_rows(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     rows, is spread over tasks; ties go by a hash of the row, and only rows that are equal throughout share a
     task for certain. Numbers inside a task are shifted by the rows of the group in the tasks before, of which there is one
     count a task and group. The rows are written down in between, so a lost executor cannot deal them anew. NULL keys form
-    groups too.
+    groups too; columns of the added names are replaced.
     """
+    df = df.drop("position", "group_rows")
+    tie, at, task, first, n, before = unused(df, "_tie", "_at", "_task", "_first", "_n", "_before")
     plain = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
-    by = [*keys, *order, "_tie"]
-    dealt = df.withColumn("_tie", F.xxhash64(*plain)).repartitionByRange(*by).sortWithinPartitions(*by)
-    rows = stage(dealt.drop("_tie").withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    by = [*keys, *order, tie]
+    dealt = df.withColumn(tie, F.xxhash64(*plain)).repartitionByRange(*by).sortWithinPartitions(*by)
+    rows = stage(dealt.drop(tie).withColumn(at, F.monotonically_increasing_id()), "numbered")
     # The upper bits of such an id are the task, the lower ones the place in it.
-    rows = rows.withColumn("_task", F.shiftright("_at", 33))
-    parts = rows.groupBy(*keys, "_task").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    rows = rows.withColumn(task, F.shiftright(at, 33))
+    parts = rows.groupBy(*keys, task).agg(F.min(at).alias(first), F.count("*").alias(n))
     group = Window.partitionBy(*keys)
-    before = F.sum("_n").over(group.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
-    shifts = parts.withColumns({"_before": F.coalesce(before, F.lit(0)), "group_rows": F.sum("_n").over(group)}).drop("_n")
+    earlier = F.sum(n).over(group.orderBy(task).rowsBetween(Window.unboundedPreceding, -1))
+    shifts = parts.withColumns({before: F.coalesce(earlier, F.lit(0)), "group_rows": F.sum(n).over(group)}).drop(n)
     return (
-        null_safe_join(rows, shifts, [*keys, "_task"])
-        .withColumn("position", F.col("_before") + F.col("_at") - F.col("_first") + 1)
-        .drop("_at", "_task", "_first", "_before")
+        null_safe_join(rows, shifts, [*keys, task])
+        .withColumn("position", F.col(before) + F.col(at) - F.col(first) + 1)
+        .drop(at, task, first, before)
     )
 
 
