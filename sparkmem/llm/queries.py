@@ -1,6 +1,7 @@
 """The registered queries of this package and their SQL counterparts."""
 
 from .decontamination import OP6_SQL, op6_prefix_filtered_join
+from .importance import OP12_SQL, op12_importance_resampling
 from .lmscore import op7_cross_entropy_difference
 from .materialise import op5_training_order
 from .neardup import op10_weighted_minhash
@@ -17,7 +18,7 @@ QUERIES = {
     for f in (
         op1_histogram_sharding, op2_mixture_packing, op3_attention_quality, op4_surrogates, op5_training_order,
         op6_prefix_filtered_join, op7_cross_entropy_difference, op8_toxic_segments, op9_adaptive_rules, op10_weighted_minhash,
-        op11_embedding_whitening,
+        op11_embedding_whitening, op12_importance_resampling,
     )
 }
-ORACLES = {"op6_prefix_filtered_join": OP6_SQL}
+ORACLES = {"op6_prefix_filtered_join": OP6_SQL, "op12_importance_resampling": OP12_SQL}

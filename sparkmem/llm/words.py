@@ -26,9 +26,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTES = np.arange(256)
-_LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES)
-_IS_WORD = ((_BYTES >= 48) & (_BYTES <= 57)) | ((_LOWER >= 97) & (_LOWER <= 122)) | (_BYTES >= 128)
-_VALUE = mix((_LOWER + 1).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES)
+_IS_WORD = ((_BYTES >= 48) & (_BYTES <= 57)) | ((LOWER >= 97) & (LOWER <= 122)) | (_BYTES >= 128)
+_VALUE = mix((LOWER + 1).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
 _powers = {}
 
 
