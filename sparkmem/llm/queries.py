@@ -11,6 +11,7 @@ from .quality import op3_attention_quality
 from .rules import op9_adaptive_rules
 from .sharding import op1_histogram_sharding
 from .toxicity import op8_toxic_segments
+from .warc import op13_archive_index
 from .whitening import op11_embedding_whitening
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
         op1_histogram_sharding, op2_mixture_packing, op3_attention_quality, op4_surrogates, op5_training_order,
         op6_prefix_filtered_join, op7_cross_entropy_difference, op8_toxic_segments, op9_adaptive_rules, op10_weighted_minhash,
         op11_embedding_whitening, op12_importance_resampling,
+        op13_archive_index,
     )
 }
 ORACLES = {"op6_prefix_filtered_join": OP6_SQL, "op12_importance_resampling": OP12_SQL}
