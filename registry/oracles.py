@@ -65,6 +65,13 @@ def dot(a, b):
     return f"list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 
 
+def letters(c):
+    """Counts of the letters a to h at unit length, in the precision of a float."""
+    counts = "[" + ", ".join(f"CAST(length(s) - length(replace(s, '{x}', '')) AS DOUBLE)" for x in "abcdefgh") + "]"
+    return f"""(SELECT CAST(list_transform(l, lambda x: x / CASE WHEN list_dot_product(l, l) > 0 THEN sqrt(list_dot_product(l, l)) ELSE 1 END) AS FLOAT[])
+    FROM (SELECT {counts} AS l FROM (SELECT lower(coalesce({c}, '')) AS s)))"""
+
+
 def nearest(k, where="TRUE", floor=None, name="near"):
     q, m = "q.q_embedding", "m.embedding"
     cos = f"round({dot(q, m)} / (sqrt({dot(q, q)}) * sqrt({dot(m, m)})), 10)"
@@ -102,8 +109,17 @@ def sid(rule, rel, first):
     return f"'mem-' || substr(sha256('settle' || chr(31) || {rel}.user_id || chr(31) || '{rule.target_tier}' || chr(31) || {rel}.period || chr(31) || {first}), 1, 32)"
 
 
-def settle(rule: sm.SettleRule, src: str, p: str) -> str:
-    """CTEs that settle relation src by rule: {p}_hot, {p}_archived, {p}_groups, …"""
+def settle(rule: sm.SettleRule, src: str, p: str, archive: str | None = None) -> str:
+    """CTEs that settle relation src by rule: {p}_hot, {p}_archived, {p}_groups, …; with an archive, summaries are rebuilt from it where planned."""
+    rebuilt = f"""{p}_rebuilt AS (
+  SELECT t.user_id, t.period, t.id FROM {p}_target t JOIN {p}_groups g USING (user_id, period)
+  WHERE ((SELECT count(*) FROM {archive} a WHERE a.merged_into = t.id) + g.n_low >= 10 OR coalesce(t.merge_count, 0) >= 3)
+    AND EXISTS (SELECT 1 FROM {archive} a WHERE a.merged_into = t.id AND {sid(rule, "t", "a.id")} = t.id)),
+""" if archive else f"{p}_rebuilt AS (SELECT user_id, period, id FROM {p}_target WHERE FALSE),\n"
+    again = f"""
+  UNION ALL
+  SELECT a.user_id, r.period, 1, a.created_at, a.id, a.content, a.topics, a.key_facts, coalesce(nullif(a.base_importance, 0), a.importance, 0.5e0), a.sentiment
+  FROM {archive} a JOIN {p}_rebuilt r ON a.merged_into = r.id""" if archive else ""
     adopted = (
         f"OR (tier IS NULL AND user_id NOT IN (SELECT user_id FROM {src} WHERE tier = '{rule.source_tier}'))"
         if rule.adopt_untiered else ""
@@ -123,18 +139,19 @@ def settle(rule: sm.SettleRule, src: str, p: str) -> str:
     SELECT t.*, g.period, row_number() OVER (PARTITION BY t.user_id, g.period ORDER BY t.created_at, t.id) AS rn
     FROM {src} t JOIN {p}_groups g ON t.user_id = g.user_id AND strftime(t.created_at, '{FORMAT[rule.period]}') = g.period
     WHERE t.tier = '{rule.target_tier}') x WHERE rn = 1),
-{p}_parts AS (
+{rebuilt}{p}_parts AS (
   SELECT user_id, period, 1 AS ord, created_at, id, content, topics, key_facts, base, sentiment FROM {p}_low
   UNION ALL
-  SELECT user_id, period, 0, created_at, id, content, topics, key_facts, coalesce(base_importance, 0.5), sentiment FROM {p}_target),
+  SELECT user_id, period, 0, created_at, id, content, topics, key_facts, coalesce(base_importance, 0.5), sentiment FROM {p}_target
+  WHERE id NOT IN (SELECT id FROM {p}_rebuilt){again}),
 {merge_ctes(p)},
 {p}_merged AS (
   SELECT coalesce(t.id, {sid(rule, "r", "l.ids[1]")}) AS id, r.user_id, r.summary AS content,
     r.topics, r.key_facts, r.importance, r.importance AS base_importance, r.sentiment, 'settlement' AS source,
     '{rule.target_tier}' AS tier, 0 AS access_count, {NOW} AS last_accessed,
     CAST(r.period || '{SUFFIX[rule.period]}' AS TIMESTAMP) AS created_at, 'settle-' || r.period AS session_id,
-    list_concat(coalesce(t.parent_ids, CAST([] AS VARCHAR[])), l.ids) AS parent_ids,
-    coalesce(t.merge_count, 0) + 1 AS merge_count
+    t.parent_ids AS parent_ids,
+    CASE WHEN t.id IN (SELECT id FROM {p}_rebuilt) THEN 1 ELSE coalesce(t.merge_count, 0) + 1 END AS merge_count
   FROM {p}_reduced r LEFT JOIN {p}_target t ON r.user_id = t.user_id AND r.period = t.period
   JOIN (SELECT user_id, period, list(id ORDER BY id) AS ids FROM {p}_low GROUP BY user_id, period) l
     ON r.user_id = l.user_id AND r.period = l.period),
@@ -157,10 +174,11 @@ def merge_ctes(p):
         SELECT user_id, period, ord, created_at, id, unnest({column}) AS item, generate_subscripts({column}, 1) AS pos
         FROM {p}_parts) a) b WHERE rn = 1) c WHERE n <= 5 GROUP BY user_id, period)"""
 
-    return f"""{p}_text AS (
-  SELECT user_id, period, CASE WHEN length(t) > 8000 THEN substr(t, 1, 8000) || chr(10) || {CUT} ELSE t END AS summary FROM (
-    SELECT user_id, period, string_agg(coalesce(content, ''), chr(10) ORDER BY ord, created_at, id) AS t
-    FROM {p}_parts GROUP BY user_id, period) x),
+    numbered = f"(SELECT user_id, period, 0 AS message, content, row_number() OVER (PARTITION BY user_id, period ORDER BY ord, created_at, id) AS place FROM {p}_parts) b"
+    return f"""{salient(numbered, "user_id, period", "place", p, 8000)},
+{p}_text AS (
+  SELECT user_id, period, string_agg(line, chr(10) ORDER BY place) AS summary FROM (
+    SELECT user_id, period, place, string_agg(s, ' ' ORDER BY i) AS line FROM {p}_kept GROUP BY user_id, period, place) x GROUP BY user_id, period),
 {p}_stats AS (
   SELECT user_id, period, CAST(round(CAST(CAST(sum(CAST(base AS DECIMAL(18,8))) AS DOUBLE) / count(*) AS DECIMAL(18,10)), 4) AS DOUBLE) AS importance
   FROM {p}_parts GROUP BY user_id, period),
@@ -172,8 +190,8 @@ def merge_ctes(p):
 {listed("topics")},
 {listed("key_facts")},
 {p}_reduced AS (
-  SELECT user_id, period, summary, topics, key_facts, sentiment, importance
-  FROM {p}_text JOIN {p}_stats USING (user_id, period) JOIN {p}_feel USING (user_id, period)
+  SELECT user_id, period, coalesce(summary, '') AS summary, topics, key_facts, sentiment, importance
+  FROM {p}_stats LEFT JOIN {p}_text USING (user_id, period) JOIN {p}_feel USING (user_id, period)
   LEFT JOIN {p}_topics USING (user_id, period) LEFT JOIN {p}_key_facts USING (user_id, period))"""
 
 
@@ -205,6 +223,29 @@ TEXTS = f"""texts AS (
     FROM batches GROUP BY ALL) x)"""
 
 
+SENTENCE = r"[^.!?\n]{1,200}(?:[.!?]{1,20}|[ \n]|\z)|[^.!?\n]{1,200}"
+BLANK = "' ' || chr(9) || chr(13) || chr(10)"
+
+
+def salient(src, keys, place, p, budget):
+    """CTEs {p}_sentences(keys, place, i, s), {p}_counted (keys, word, n, key) and {p}_kept: the sentences that say most, from src(keys, place, message, content)."""
+    return f"""{p}_found AS (
+  SELECT {keys}, {place} AS place, message, unnest(f) AS s, generate_subscripts(f, 1) AS j FROM (
+    SELECT *, regexp_extract_all(regexp_replace(content, '[。！？]+', '\\0' || chr(10), 'g'), '{SENTENCE}') AS f FROM {src}) c),
+{p}_sentences AS (
+  SELECT {keys}, place, trim(s, {BLANK}) AS s, row_number() OVER (PARTITION BY {keys} ORDER BY place, message, j) AS i
+  FROM {p}_found WHERE trim(s, {BLANK}) <> ''),
+{p}_spoken AS (
+  SELECT {keys}, i, unnest(regexp_extract_all(lower(s), '\\p{{L}}{{2,}}')) AS word FROM {p}_sentences),
+{p}_counted AS (SELECT {keys}, word, count(*) AS n, min(i) AS i FROM {p}_spoken GROUP BY {keys}, word),
+{p}_worth AS (
+  SELECT {keys}, i, sum(length(bin(n))) AS score FROM {p}_counted GROUP BY {keys}, i),
+{p}_kept AS (
+  SELECT * FROM (
+    SELECT *, sum(length(s) + 1) OVER (PARTITION BY {keys} ORDER BY coalesce(score, 0) DESC, i) AS through
+    FROM {p}_sentences LEFT JOIN {p}_worth USING ({keys}, i)) a WHERE through <= {budget} + 1)"""
+
+
 def extractive(src, p="x"):
     """CTE {p}_reply(batch_id, summary, topics, key_facts) from src(batch_id, text)."""
     return f"""{p}_lines AS (
@@ -215,20 +256,19 @@ def extractive(src, p="x"):
   SELECT batch_id, i, CASE WHEN spoken THEN substr(l, strpos(l, '] - ') + 4) ELSE l END AS m FROM (
     SELECT *, bool_or(spoken) OVER (PARTITION BY batch_id) AS talk FROM {p}_lines) a WHERE spoken OR NOT talk),
 {p}_first AS (
-  SELECT batch_id, i, m, regexp_extract(m, '^[^.!?。！？]*[.!?。！？]?') AS s,
+  SELECT batch_id, i, regexp_extract(m, '^[^.!?。！？]*[.!?。！？]?') AS s,
     row_number() OVER (PARTITION BY batch_id ORDER BY i) AS n FROM {p}_said),
-{p}_words AS (
-  SELECT batch_id, word, count(*) AS n FROM (
-    SELECT batch_id, unnest(regexp_extract_all(lower(m), '\\p{{L}}{{4,}}')) AS word FROM {p}_said) a GROUP BY batch_id, word),
+{salient(f"(SELECT batch_id, i AS message, m AS content FROM {p}_said) b", "batch_id", "0", p, 500)},
 {p}_topics AS (
   SELECT batch_id, list(word ORDER BY n DESC, word) AS topics FROM (
-    SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY n DESC, word) AS rn FROM {p}_words) a
+    SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY n DESC, word) AS rn FROM {p}_counted WHERE length(word) >= 4) a
   WHERE rn <= 5 GROUP BY batch_id),
+{p}_shown AS (SELECT batch_id, string_agg(s, ' ' ORDER BY i) AS summary FROM {p}_kept GROUP BY batch_id),
 {p}_reply AS (
-  SELECT s.batch_id, coalesce(substr(string_agg(f.s, ' ' ORDER BY f.n), 1, 500), '') AS summary,
+  SELECT s.batch_id, coalesce(any_value(k.summary), '') AS summary,
     coalesce(any_value(t.topics), []) AS topics,
     coalesce(list(f.s ORDER BY f.n) FILTER (WHERE f.n <= 5), []) AS key_facts
-  FROM {src} s LEFT JOIN {p}_first f USING (batch_id) LEFT JOIN {p}_topics t USING (batch_id) GROUP BY s.batch_id)"""
+  FROM {src} s LEFT JOIN {p}_first f USING (batch_id) LEFT JOIN {p}_shown k USING (batch_id) LEFT JOIN {p}_topics t USING (batch_id) GROUP BY s.batch_id)"""
 
 
 def remembered(src, session, source, p="x", name="remembered"):
@@ -448,6 +488,38 @@ UNION ALL SELECT id, user_id, tier, TRUE, merged_into FROM d_archived""",
     "session_end_archive": ENDED + """SELECT id, user_id, tier, period, merged_into FROM d_archived
 UNION ALL SELECT id, user_id, tier, period, merged_into FROM y_archived""",
     "session_end_twice": ENDED + "SELECT id, count(*) AS versions FROM (SELECT id FROM y_hot UNION ALL SELECT id FROM d_archived UNION ALL SELECT id FROM y_archived) a GROUP BY id",
+    "find_merge_target_semantic": with_recursive(MEMORIES, settle(DAY, "memories", "d"), f"""asked AS (
+  SELECT user_id, period, substr(string_agg(coalesce(content, ''), ' ' ORDER BY created_at, id), 1, 500) AS said FROM d_low
+  WHERE (user_id, period) NOT IN (SELECT (user_id, period) FROM d_target) GROUP BY user_id, period),
+q AS (SELECT user_id, period, {letters("said")} AS v FROM asked),
+y AS (SELECT user_id, id, tier, {letters("content")} AS v FROM memories),
+pairs AS (SELECT q.user_id, q.period, y.id, y.tier, 1 - round({dot("q.v", "y.v")} / (sqrt({dot("q.v", "q.v")}) * sqrt({dot("y.v", "y.v")})), 10) AS distance
+  FROM q JOIN y ON q.user_id = y.user_id),
+near AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY user_id, period ORDER BY distance, id) <= 3),
+queue AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY distance, period, id) AS n FROM near
+  WHERE distance < 0.9 AND tier = 'monthly' AND id NOT IN (SELECT id FROM d_target)),
+walk AS (
+  SELECT user_id, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS periods, CAST([] AS VARCHAR[]) AS ids FROM (SELECT DISTINCT user_id FROM queue)
+  UNION ALL
+  SELECT w.user_id, w.n + 1, CASE WHEN list_contains(periods, period) OR list_contains(ids, id) THEN periods ELSE list_append(periods, period) END,
+    CASE WHEN list_contains(periods, period) OR list_contains(ids, id) THEN ids ELSE list_append(ids, id) END
+  FROM walk w JOIN queue k ON k.user_id = w.user_id AND k.n = w.n + 1)""") + """SELECT user_id, period, id AS target_id FROM d_target
+UNION ALL SELECT user_id, unnest(periods), unnest(ids) FROM (
+  SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1) x""",
+    "settle_due": with_(MEMORIES, settle(DAY, "memories", "d")) + """SELECT id, merged_into, content FROM d_archived
+UNION ALL SELECT id, NULL, content FROM d_merged""",
+    "settle_rebuild": with_(MEMORIES, "early AS (SELECT * FROM memories WHERE access_count % 2 = 0)", settle(DAY, "early", "d"),
+        "later AS (SELECT * FROM d_hot UNION ALL BY NAME SELECT * EXCLUDE (embedding, lang, source_tag, doc_id) FROM memories WHERE access_count % 2 = 1)",
+        settle(DAY, "later", "e", "d_archived")) + flat("e_merged"),
+    "reembed": with_(MEMORIES) + f"""SELECT id, {", ".join(f"round(CAST(v[{i + 1}] AS DOUBLE), 4) AS x{i}" for i in range(8))} FROM (
+  SELECT id, CAST({letters("substr(lang || ' ' || source_tag || ' ' || key_facts[1], 1, 150)")} AS FLOAT[]) AS v FROM memories) x""",
+    "stream_round_batches": with_(ROUNDS, batches(2)) + """SELECT user_id, conv_id, round_id, round, batch_no, batch_size, flush FROM (
+  SELECT *, max(ts) OVER (PARTITION BY user_id, conv_id, batch_no) AS last_ts FROM batches) x
+WHERE NOT flush OR last_ts + INTERVAL 2 HOUR <= (SELECT max(ts) FROM rounds)""",
+    "yearly_originals": ENDED + """, edges AS (SELECT id, merged_into FROM d_archived UNION SELECT id, merged_into FROM y_archived)
+SELECT coalesce(b.merged_into, a.merged_into) AS summary, a.id, CASE WHEN b.id IS NULL THEN 1 ELSE 2 END AS steps
+FROM edges a LEFT JOIN edges b ON a.merged_into = b.id
+WHERE a.id NOT IN (SELECT merged_into FROM edges) AND coalesce(b.merged_into, a.merged_into) IN (SELECT id FROM y_hot WHERE tier = 'yearly')""",
     "reset_base": with_(MEMORIES) + flat("memories", base_importance="CASE WHEN strftime(created_at, '%Y-%m') = '2024-04' THEN 0.75e0 ELSE base_importance END"),
     "embedding_text": with_(MEMORIES) + "SELECT id, substr(lang || ' ' || source_tag || ' ' || key_facts[1], 1, 150) AS embedding_text FROM memories",
     "merge_plan": with_(MEMORIES, settle(DAY, "memories", "d")) + """SELECT user_id, period, m.id AS target_id,

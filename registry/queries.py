@@ -14,7 +14,7 @@ import sparkmem as sm
 from sparkmem.functions import expr as X
 from sparkmem.operators.conversation import with_batch_id
 from sparkmem.operators.corpus import chunk_corpus
-from sparkmem.operators.merging import concatenating_reducer, leading_text
+from sparkmem.operators.merging import extractive_reducer, leading_text
 from sparkmem.plans.ingest import note_chunks
 from sparkmem.plans.lifecycle import _as_members, _scored, _split
 from sparkmem.plans.recall import score
@@ -206,17 +206,65 @@ def find_merge_target(spark, d):
     return t.select("user_id", "period", F.col("target.id").alias("target_id"))
 
 
+def letter_embedder(letters: str = "abcdefgh"):
+    """How often each letter occurs, at unit length: vectors SQL can repeat."""
+    def embed(df, text, out):
+        said = F.lower(F.coalesce(F.col(text), F.lit("")))
+        counts = [(F.length(said) - F.length(F.replace(said, F.lit(c), F.lit("")))).cast("double") for c in letters]
+        df = df.withColumn(out, F.array(*counts))
+        norm = F.sqrt(F.aggregate(out, F.lit(0.0), lambda a, x: a + x * x))
+        return df.withColumn(out, F.transform(out, lambda x: x / F.when(norm > 0, norm).otherwise(1.0)).cast("array<float>"))
+
+    return embed
+
+
 def find_merge_target_semantic(spark, d):
+    """Targets by date, and for the other groups the nearest free monthly summary among their three nearest memories."""
     m = memories(spark, d)
     groups = sm.settlement_groups(m, sm.DAILY_TO_MONTHLY, NOW)
-    embed = sm.hashing_embedder(128)
-    vectors = embed(m.drop("embedding"), "content", "embedding")
+    vectors = letter_embedder()(m.drop("embedding"), "content", "embedding")
     members = _scored(_split(m, sm.DAILY_TO_MONTHLY)[0], sm.DAILY_TO_MONTHLY, NOW, sm.DecayOptions())
     text = leading_text(_as_members(members.where(F.col("importance") < sm.DAILY_TO_MONTHLY.threshold)), 500, " ")
-    t = sm.find_merge_target(groups, vectors, "monthly", "month", NOW, text, embed, max_distance=0.9)
+    text = text.withColumn("text", F.substring("text", 1, 500))
+    t = sm.find_merge_target(groups, vectors, "monthly", "month", NOW, text, letter_embedder(), max_distance=0.9)
     return t.select("user_id", "period", F.col("target.id").alias("target_id"))
 
 
+def settle_due(spark, d):
+    """Settlement that reads only what is due from the written table: archived and merged rows."""
+    path = _fresh(spark, "due")
+    sm.write_memories(memories(spark, d), path)
+    due = sm.read_due(spark, path, sm.DAILY_TO_MONTHLY, NOW)
+    s = sm.settle(sm.read_memories(spark, path), sm.DAILY_TO_MONTHLY, NOW, due=due)
+    return s.archived.select("id", "merged_into", "content").unionByName(s.merged.select("id", F.lit(None).cast("string").alias("merged_into"), "content"))
+
+
+def settle_rebuild(spark, d):
+    """Half of the memories settle, then the others, with the archive at hand: summaries merged too often or of too many are rebuilt."""
+    m = memories(spark, d)
+    first = sm.settle(m.where("access_count % 2 = 0"), sm.DAILY_TO_MONTHLY, NOW)
+    hot, archive = sm.stage(first.hot, "half-hot"), sm.stage(first.archived, "half-archive")
+    both = hot.unionByName(m.where("access_count % 2 = 1"))
+    return _flat(sm.settle(both, sm.DAILY_TO_MONTHLY, NOW, archive=archive).merged)
+
+
+def reembed(spark, d):
+    """Every vector replaced by that of the short text; equal texts reach the embedder once."""
+    embed = sm.remembering_embedder(letter_embedder(), _fresh(spark, "vectors"), "letters")
+    out = sm.reembed(memories(spark, d), embed)
+    return out.select("id", *[F.round(F.col("embedding")[i].cast("double"), 4).alias(f"x{i}") for i in range(8)])
+
+
+def stream_round_batches(spark, d):
+    """All rounds as a stream: full batches, and short ones of conversations that went idle by its end."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    logged, path, out = rounds(spark, d), _fresh(spark, "log"), _fresh(spark, "batches")
+    logged.write.parquet(path)
+    stream = sm.stream_round_batches(spark.readStream.schema(logged.schema).parquet(path), 2, idle_seconds=7200, delay="0 seconds")
+    stream.writeStream.option("checkpointLocation", _fresh(spark, "stream")).trigger(availableNow=True).start(out, "parquet").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out).select("user_id", "conv_id", "round_id", "round", "batch_no", "batch_size", "flush")
+
+
 def settlement_groups(spark, d):
     return sm.settlement_groups(memories(spark, d), sm.DAILY_TO_MONTHLY, NOW)
 
@@ -224,7 +272,7 @@ def settlement_groups(spark, d):
 def merge_members(spark, d):
     """Fold every faded daily row of a period, whatever the group size."""
     members = _scored(_split(memories(spark, d), sm.DAILY_TO_MONTHLY)[0], sm.DAILY_TO_MONTHLY, NOW, sm.DecayOptions())
-    out = concatenating_reducer()(_as_members(members.where("importance < 0.35")))
+    out = extractive_reducer()(_as_members(members.where("importance < 0.35")))
     return out.select("user_id", "period", "summary", _joined("topics").alias("topics"),
                       _joined("key_facts").alias("key_facts"), "sentiment", "importance")
 
@@ -376,6 +424,13 @@ def session_end_twice(spark, d):
         archived, allowMissingColumns=True).groupBy("id").agg(F.count("*").alias("versions"))
 
 
+def yearly_originals(spark, d):
+    """Every memory under each yearly summary, through the monthly ones."""
+    end = sm.session_end(memories(spark, d), rounds(spark, d), NOW, summary_opts=SHORT)
+    yearly = end.hot.where("tier = 'yearly'").select(F.col("id").alias("summary"))
+    return sm.originals(sm.lineage_edges(end.archived)).join(yearly, "summary", "left_semi")
+
+
 def reset_base(spark, d):
     april = X.period_key("created_at", "month", NOW) == "2024-04"
     return _flat(sm.reset_base(memories(spark, d), april, 0.75))
@@ -515,6 +570,11 @@ QUERIES = {
     "delete_ids": delete_ids,
     "find_merge_target": find_merge_target,
     "find_merge_target_semantic": find_merge_target_semantic,
+    "settle_due": settle_due,
+    "settle_rebuild": settle_rebuild,
+    "yearly_originals": yearly_originals,
+    "reembed": reembed,
+    "stream_round_batches": stream_round_batches,
     "settlement_groups": settlement_groups,
     "merge_members": merge_members,
     "assemble_conversation": assemble_conversation,

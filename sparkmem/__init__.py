@@ -12,6 +12,7 @@ from .functions.models import (  # noqa: E402
     hashing_embedder,
     model_embedder,
     model_summarizer,
+    remembering_embedder,
 )
 from .functions.responses import ingest_responses, parse_replies
 from .operators.conversation import (
@@ -31,7 +32,7 @@ from .operators.filters import (
     min_importance,
     where_metadata,
 )
-from .operators.merging import concatenating_reducer, model_reducer
+from .operators.merging import extractive_reducer, model_reducer
 from .operators.search import knn, knn_approx, knn_min_importance
 from .operators.tables import (
     access_tally,
@@ -64,10 +65,11 @@ from .plans.lifecycle import (
     settle,
     settlement_groups,
 )
+from .plans.lineage import last_summaries, lineage_edges, originals
 from .plans.recall import recall, recall_context, recall_increments, recall_updates, rerank, tier_weighted_rank
 from .plans.remember import remember, summarize_batches
 from .sources.archive import archive_index, lookup_archive, read_archive, write_archive
-from .sources.memories import read_memories, write_memories
+from .sources.memories import read_due, read_memories, write_memories
 from .sources.notes import read_notes
 from .sources.rounds import append_rounds, read_rounds, stream_rounds
 from .sources.staging import stage

@@ -44,6 +44,19 @@ def effective_importance(base, access, created, now, opts: DecayOptions = DecayO
     return F.round(F.least(F.lit(1.0), faded), 4)
 
 
+def fades_at(base, access, created, threshold: float, opts: DecayOptions = DecayOptions()) -> Column:
+    """The time from which ``effective_importance`` may be below ``threshold`` (of at most four decimals): the forgetting curve
+    solved for it, at most some seconds early and never late. 1970 where it always is, NULL where it never will be."""
+    boosted = F.greatest(_col(base), F.lit(0.01)) * (
+        F.lit(1.0) + F.lit(opts.alpha) * F.ln(F.lit(1) + F.coalesce(_col(access), F.lit(0)))
+    )
+    adjusted = F.least(F.lit(1.0), boosted)
+    bar = F.lit(threshold - 0.00005)  # what rounds to less than the threshold
+    days = F.greatest(F.lit(float(opts.s0)) * adjusted, F.lit(0.001)) * F.ln(adjusted / bar)
+    micros = F.unix_micros(_col(created)) + F.floor(days * F.lit(86400e6) - F.lit(2e6)).cast("long")
+    return F.when(adjusted <= bar + 1e-6, F.timestamp_seconds(F.lit(0))).otherwise(F.timestamp_micros(micros))
+
+
 def stored_base(base="base_importance", importance="importance") -> Column:
     """The base a maintenance job ages from: base unless missing or zero, then importance, then 0.5."""
     return F.coalesce(F.nullif(_col(base), F.lit(0.0)), _col(importance), F.lit(0.5))

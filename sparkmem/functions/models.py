@@ -8,26 +8,30 @@ and need no Python worker.
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .binding import computed
+from ..operators.salience import best_first, counted_words, is_word, number_of, room, sentences, weight, word_rows
+from .binding import computed, unused
 from .expr import l2_normalize
 
 _FIRST_SENTENCE = r"^[^.!?。！？]*[.!?。！？]?"
-_WORD = r"\p{L}{4,}"
+#: Letters a topic has at least.
+_TOPIC = 4
 
 
 def extractive_summarizer(
     user_label: str = "user", max_chars: int = 500, max_topics: int = 5, max_facts: int = 5
 ):
-    """First sentences of the user's messages, their most frequent words as topics.
+    """The sentences of the user's messages that say most of what all of them say, in order and at most ``max_chars`` together;
+    the most frequent words as topics, the first sentences of the first messages as facts.
 
-    Text without user lines (a note) counts line by line. One pass over the rows: words
-    are counted inside the row, as runs of a sorted list.
+    Text without user lines (a note) counts line by line. All sentences of all messages compete. Texts (named by
+    ``batch_id``, one row each) are shuffled once; words are counted and sentences ranked where a text then lies.
     """
     mark = f"[{user_label} | "
 
@@ -36,43 +40,35 @@ def extractive_summarizer(
         spoken = F.transform(said, lambda x: F.substring(x, F.locate("] - ", x) + F.lit(4), F.length(x)))
         return [F.when(F.size(said) > 0, spoken).otherwise(lines).alias("_said")]
 
-    def words(said):
-        first = F.transform(said, lambda m: F.regexp_extract(m, _FIRST_SENTENCE, 0))
-        text = F.lower(F.array_join(said, "\n"))
-        return [
-            F.substring(F.array_join(first, " "), 1, max_chars).alias("_summary"),
-            F.slice(first, 1, max_facts).alias("_facts"),
-            F.sort_array(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))).alias("_words"),
-        ]
-
-    def runs(found):
-        at = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1))
-        starts = F.filter(at, lambda i: ~F.get(found, i).eqNullSafe(F.get(found, i - 1)))
-        return [F.coalesce(starts, F.array().cast("array<int>")).alias("_starts")]
-
-    def topics(starts):
-        counted = F.transform(
-            starts,
-            lambda i, k: F.struct(
-                (i - F.coalesce(F.get(starts, k + 1), F.size("_words"))).alias("less"), F.get("_words", i).alias("word")
-            ),
-        )
-        return [F.slice(F.sort_array(counted), 1, max_topics).getField("word").alias("_topics")]
-
     def summarize(batches: DataFrame) -> DataFrame:
         lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-        df = computed(batches, lines, messages)
-        df = computed(df, F.col("_said"), words)
-        df = computed(df, F.col("_words"), runs)
-        df = computed(df, F.col("_starts"), topics)
+        texts = computed(batches, lines, messages).select(
+            *batches.columns,
+            F.flatten(F.transform("_said", sentences)).alias("_sentences"),
+            F.transform(F.slice("_said", 1, max_facts), lambda m: F.regexp_extract(m, _FIRST_SENTENCE, 0)).alias("_facts"),
+        ).repartition("batch_id")
+        key = ["batch_id"]
+        words = counted_words(word_rows(texts, key, 0, "_sentences"), key)
+        long = is_word() & (F.length("word") >= _TOPIC)
+        often = Window.partitionBy(*key).orderBy(F.desc(long), F.desc("n"), "word")
+        words = words.withColumn("_topic", F.when(long, F.row_number().over(often)))
+        named = F.collect_list(F.when(F.col("_topic") <= max_topics, F.struct("_topic", "word")))
+        scored = words.groupBy(*key, "key").agg(F.sum(weight()).alias("score"), named.alias("_named"))
+        through = F.sum(room()).over(Window.partitionBy(*key).orderBy(*best_first()).rowsBetween(Window.unboundedPreceding, 0))
+        kept = F.when(F.col("_through") <= max_chars + 1, F.col("key"))
+        found = scored.withColumn("_through", through).groupBy(*key).agg(
+            F.sort_array(F.collect_list(kept)).alias("_kept"),
+            F.sort_array(F.flatten(F.collect_list("_named"))).getField("word").alias("_topics"),
+        )
+        none = F.array().cast("array<string>")
         reply = F.struct(
-            F.col("_summary").alias("summary"),
-            F.col("_topics").alias("topics"),
+            F.array_join(F.transform(F.coalesce("_kept", F.array().cast("array<long>")), lambda k: F.get("_sentences", number_of(k))), " ").alias("summary"),
+            F.coalesce("_topics", none).alias("topics"),
             F.col("_facts").alias("key_facts"),
             F.lit("neutral").alias("sentiment"),
             F.lit(0.5).alias("importance"),
         )
-        return df.select(*batches.columns, F.to_json(reply).alias("raw"))
+        return texts.join(found, key, "left").select(*batches.columns, F.to_json(reply).alias("raw"))
 
     return summarize
 
@@ -132,3 +128,37 @@ def model_embedder(make_predict, batch_size: int = 64, max_chars: int | None = N
         return df.withColumn(out, predict(source)).withColumn(out, l2_normalize(out).cast("array<float>"))
 
     return embed
+
+
+def remembering_embedder(embedder, path: str, model: str):
+    """An embedder that asks ``embedder`` for distinct texts it has not met under this ``model`` name, and no others.
+
+    Vectors are kept at ``path`` (Parquet: key, vector), named by the hash of model and text, so any number of tables and runs may share them.
+    The call is made when the embedder is applied. NULL texts count as empty. Vectors written twice, by a repeated
+    run, are equal; one is taken.
+    """
+
+    def embed(df: DataFrame, text: str, out: str) -> DataFrame:
+        spark = df.sparkSession
+        key, said = unused(df, "_key", "_text")
+        named = df.withColumn(key, F.sha2(F.concat(F.lit(f"{model}\x1f"), F.coalesce(F.col(text), F.lit(""))), 256))
+        texts = named.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias(said)).dropDuplicates(["key"])
+        kept = _vectors(spark, path)
+        if kept is not None:
+            texts = texts.join(kept, "key", "left_anti")
+        made = embedder(texts, said, "vector").select("key", "vector")
+        made.write.mode("append").parquet(path)
+        vectors = _vectors(spark, path).withColumnsRenamed({"key": key, "vector": out})
+        return named.drop(out).join(vectors, key, "left").drop(key)
+
+    return embed
+
+
+def _vectors(spark, path: str) -> DataFrame | None:
+    try:
+        found = spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return found.groupBy("key").agg(F.any_value("vector").alias("vector"))

@@ -1,7 +1,7 @@
 """Folding the members of a settlement group into one bounded summary.
 
 A reducer takes the member rows (user_id, period, ord, created_at, id, content, topics,
-key_facts, base, sentiment; ord 0 is the existing summary) and returns one row per
+key_facts, base, sentiment; ord 0 is the existing summary; where there is a ``position``, it is the place in that order) and returns one row per
 (user_id, period) with summary, topics, key_facts, sentiment, importance. A group it returns no row for stays as it is.
 """
 
@@ -10,14 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import truncate_marked
 from ..functions.responses import parse_replies
-from ..options import CONVERSATION_CUT_MARKER
 from ..sources.staging import stage
-from .ordering import leading_rows, spread_of, top_rows
+from .ordering import leading_rows, null_safe_join, number_rows, top_rows
+from .salience import best_first, counted_words, number_of, place_of, room, sentences, word_rows, worth
 
 GROUP = ["user_id", "period"]
 MEMBER_ORDER = ["ord", "created_at", "id"]
+#: Rows whose lengths are summed up together; even, so that no pair is parted.
+_BLOCK = 1024
 
 
 def leading_text(members: DataFrame, budget: int, joiner: str = "\n") -> DataFrame:
@@ -29,14 +30,33 @@ def leading_text(members: DataFrame, budget: int, joiner: str = "\n") -> DataFra
     return head.groupBy(*GROUP).agg(F.array_join(ordered, joiner).alias("text"))
 
 
-def concatenating_reducer(
-    max_chars: int = 8000, marker: str = CONVERSATION_CUT_MARKER, max_topics: int = 5, max_facts: int = 5
-):
-    """Contents in order up to ``max_chars``, the first distinct topics and facts, the mean
-    base and the most frequent sentiment."""
+def salient_text(members: DataFrame, max_chars: int, joiner: str = "\n") -> DataFrame:
+    """What the members (numbered by ``position``) of each group say, in at most ``max_chars`` characters: (user_id, period, text).
+
+    Every member is read in full. Words are counted over the group before they meet, a group's sentences are cut to the
+    budget in salted parts, and only the chosen ones are joined to their members; sentences of a member are joined by a space,
+    members by ``joiner``. Members without content add nothing.
+    """
+    said = members.select(*GROUP, "position", sentences("content").alias("said"))
+    scored = worth(counted_words(word_rows(said, GROUP, "position", "said"), GROUP), GROUP)
+    head = leading_rows(scored, GROUP, best_first(), room(), max_chars, ["key"])
+    chosen = head.where(F.col("_before") + room() <= max_chars + 1).withColumn("position", place_of())
+    chosen = chosen.groupBy(*GROUP, "position").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    shown = null_safe_join(said, chosen, [*GROUP, "position"]).select(
+        *GROUP, "position", F.array_join(F.transform("keys", lambda k: F.get("said", number_of(k))), " ").alias("line")
+    )
+    lines = F.sort_array(F.collect_list(F.struct("position", "line"))).getField("line")
+    return shown.groupBy(*GROUP).agg(F.array_join(lines, joiner).alias("text"))
+
+
+def extractive_reducer(max_chars: int = 8000, max_topics: int = 5, max_facts: int = 5):
+    """The sentences that say most of what all members say, in order and at most ``max_chars`` together; the first distinct topics
+    and facts, the mean base and the most frequent sentiment."""
 
     def reduce(members: DataFrame) -> DataFrame:
-        text = leading_text(members, max_chars).select(*GROUP, truncate_marked("text", max_chars, marker).alias("summary"))
+        if "position" not in members.columns:
+            members = number_rows(members, GROUP, MEMBER_ORDER)  # written down: all that follows reads it
+        text = salient_text(members, max_chars).withColumnRenamed("text", "summary")
         feel = F.coalesce("sentiment", F.lit("neutral"))
         stats = (
             members.groupBy(*GROUP, feel.alias("sentiment"))
@@ -66,10 +86,10 @@ def concatenating_reducer(
         lists = kept.groupBy(*GROUP).agg(gathered("topics", max_topics), gathered("key_facts", max_facts))
         none = F.array().cast("array<string>")
         return (
-            text.join(stats, GROUP)
+            stats.join(text, GROUP, "left")
             .join(lists, GROUP, "left")
             .select(
-                *GROUP, "summary", F.coalesce("topics", none).alias("topics"),
+                *GROUP, F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("topics", none).alias("topics"),
                 F.coalesce("key_facts", none).alias("key_facts"), "sentiment", "importance",
             )
         )
@@ -78,9 +98,9 @@ def concatenating_reducer(
 
 
 def model_reducer(summarizer, max_chars: int = 8000):
-    """A reducer from a summarizer. Members are merged in texts of about ``max_chars``,
-    the results merged again until one per group is left, so every member is read, with all its fields. A group that gets
-    an unusable reply at any level has no row; the others go on."""
+    """A reducer from a summarizer. Members are merged in their order in texts of about ``max_chars``, the results
+    merged again in theirs until one per group is left: an ordered tree, the same for any cluster. So every member is
+    read, with all its fields. A group that gets an unusable reply at any level has no row; the others go on."""
 
     def reduce(members: DataFrame) -> DataFrame:
         level = members.select(
@@ -95,7 +115,7 @@ def model_reducer(summarizer, max_chars: int = 8000):
             if merged.groupBy(*GROUP).count().where("count > 1").isEmpty():
                 return merged.select(*GROUP, "summary", "topics", "key_facts", "sentiment", "importance")
             level = merged.select(
-                *GROUP, "ord", F.lit(None).cast("timestamp").alias("created_at"), F.col("batch_id").alias("id"),
+                *GROUP, "ord", F.timestamp_seconds("place").alias("created_at"), F.col("batch_id").alias("id"),
                 F.col("summary").alias("content"), "topics", "key_facts", "importance", "sentiment",
             )
 
@@ -103,7 +123,10 @@ def model_reducer(summarizer, max_chars: int = 8000):
 
 
 def _packed(rows: DataFrame, max_chars: int) -> DataFrame:
-    """Texts of at most max_chars, or of two rows if they are longer; a big group is packed in salted parts."""
+    """Texts of about ``max_chars`` in the order of the rows; a longer row still shares its text with the next.
+
+    Which rows meet follows from their order and lengths alone: lengths are summed up per block of rows, blocks per group.
+    """
     none = F.array().cast("array<string>")
     line = F.concat(
         F.when(F.col("ord") == 0, F.lit("- [existing summary] ")).otherwise(F.lit("- ")), F.col("content"),
@@ -112,20 +135,21 @@ def _packed(rows: DataFrame, max_chars: int) -> DataFrame:
         F.lit("\n  importance: "), F.coalesce(F.col("importance").cast("string"), F.lit("")),
         F.lit("\n  sentiment: "), F.coalesce("sentiment", F.lit("neutral")),
     )
-    sized = rows.withColumn("line", line).withColumn("_len", F.length("line") + 1)
-    totals = rows.groupBy(*GROUP).agg(F.count("*").alias("_rows"))
-    parts = F.greatest(F.lit(1), F.least(F.lit(spread_of(rows)), F.floor(F.col("_rows") / 1000))).cast("int")
-    sized = sized.join(totals, GROUP).withColumn("_part", F.pmod(F.xxhash64("id"), parts))
-    w = Window.partitionBy(*GROUP, "_part").orderBy(*MEMBER_ORDER)
-    before = F.coalesce(F.sum("_len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pair = F.floor((F.row_number().over(w) - 1) / 2)
-    by_size = F.floor(before / max_chars)
-    # Two rows at least share a text, so each level halves a part whatever the lengths.
-    packed = sized.withColumn("_pair", pair).withColumn("_size", by_size)
-    packed = packed.withColumn("_pack", F.min("_size").over(Window.partitionBy(*GROUP, "_part", "_pair")))
-    ordered = F.sort_array(F.collect_list(F.struct(*MEMBER_ORDER, "line"))).getField("line")
+    sized = number_rows(rows, GROUP, MEMBER_ORDER).withColumn("line", line).withColumns({
+        "_len": F.length("line") + 1, "_block": F.floor((F.col("position") - 1) / _BLOCK), "_pair": F.floor((F.col("position") - 1) / 2),
+    })
+    earlier = Window.partitionBy(*GROUP).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sized.groupBy(*GROUP, "_block").agg(F.sum("_len").alias("_sum"))
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
+    inside = Window.partitionBy(*GROUP, "_block").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    packed = null_safe_join(sized, blocks, [*GROUP, "_block"]).withColumn(
+        "_size", F.floor((F.col("_before") + F.coalesce(F.sum("_len").over(inside), F.lit(0))) / max_chars)
+    )
+    # Two rows at least share a text, so each level halves a group whatever the lengths. A pair lies in one block.
+    packed = packed.withColumn("_pack", F.min("_size").over(Window.partitionBy(*GROUP, "_block", "_pair")))
+    ordered = F.sort_array(F.collect_list(F.struct("position", "line"))).getField("line")
     return (
-        packed.groupBy(*GROUP, "_part", "_pack")
-        .agg(F.min("ord").alias("ord"), F.min("id").alias("first_id"), F.array_join(ordered, "\n").alias("text"))
-        .select(*GROUP, "ord", "text", F.concat_ws("/", F.col("user_id").cast("string"), "period", "first_id").alias("batch_id"))
+        packed.groupBy(*GROUP, "_pack")
+        .agg(F.min("ord").alias("ord"), F.min("position").alias("place"), F.array_join(ordered, "\n").alias("text"))
+        .select(*GROUP, "ord", "place", "text", F.concat_ws("/", F.col("user_id").cast("string"), "period", F.sha2("text", 256), F.col("place").cast("string")).alias("batch_id"))
     )

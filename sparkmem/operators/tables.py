@@ -84,6 +84,26 @@ def apply_increments(memories: DataFrame, increments: DataFrame) -> DataFrame:
     )
 
 
+def one_to_one(pairs: DataFrame) -> DataFrame:
+    """Match groups (user_id, period) to summaries (id), each at most once, nearest pairs first.
+
+    A round takes every pair that is the nearest left to both its group and its summary, in the order (distance, period, id); what it
+    takes is what going through all pairs by that order would. A group has few pairs, so the table shrinks fast.
+    """
+    order = F.struct("distance", "period", "id")
+    taken = None
+    while True:
+        pairs = stage(pairs, "pairs")
+        if pairs.isEmpty():
+            return pairs.select("user_id", "period", "id") if taken is None else taken
+        by_group = pairs.groupBy("user_id", "period").agg(F.min(order).alias("_mine"))
+        by_id = pairs.groupBy("user_id", "id").agg(F.min(order).alias("_its"))
+        best = by_group.join(by_id, (by_group["user_id"] == by_id["user_id"]) & (F.col("_mine.id") == by_id["id"]) & (F.col("_mine") == F.col("_its")))
+        best = stage(best.select(by_group["user_id"], "period", F.col("_mine.id").alias("id")), "matched")
+        taken = best if taken is None else taken.unionByName(best)
+        pairs = pairs.join(best.select("user_id", "period"), ["user_id", "period"], "left_anti").join(best.select("user_id", "id"), ["user_id", "id"], "left_anti")
+
+
 def find_merge_target(
     groups: DataFrame,
     memories: DataFrame,
@@ -98,7 +118,7 @@ def find_merge_target(
 
     First choice is a row of ``tier`` dated in the period (earliest, then by id). With
     ``query_text`` (user_id, period, text) groups left over take a row of ``tier`` among
-    their three nearest memories, if near enough.
+    their three nearest memories, if near enough. A row is the target of one group: the nearest pairs are matched first (``one_to_one``).
     """
     keep = [c for c in memories.columns if c not in ("user_id", "embedding")]
     dated = (
@@ -115,18 +135,9 @@ def find_merge_target(
         "query_id", F.concat_ws("/", F.col("user_id").cast("string"), "period")
     )
     asked = stage(asked, "asked")  # read several times: the model is called once
-    near = (
-        knn(asked, memories, 3, carry=("tier",))
-        .where((F.col("tier") == tier) & (F.col("distance") < max_distance))
-        .groupBy("query_id")
-        .agg(F.min_by("id", "rank").alias("id"))
-    )
-    matched = asked.select("query_id", "user_id", "period").join(near, "query_id").drop("query_id")
-    # A summary takes in one group: the earliest of those near it, unless its own period asks.
-    free = (
-        matched.join(dated.select(F.col("target.id").alias("id")), "id", "left_anti")
-        .groupBy("user_id", "id")
-        .agg(F.min("period").alias("period"))
-    )
+    near = knn(asked, memories, 3, carry=("tier",)).where((F.col("tier") == tier) & (F.col("distance") < max_distance))
+    free = near.join(dated.select(F.col("target.id").alias("id")), "id", "left_anti")
+    pairs = asked.select("query_id", "user_id", "period").join(free.select("query_id", "id", "distance"), "query_id")
+    free = one_to_one(pairs.select("user_id", "period", "id", "distance"))
     rows = memories.where(F.col("tier") == tier).select("id", F.struct(*keep).alias("target"))
     return dated.unionByName(rows.join(free, "id").select("user_id", "period", "target"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import effective_importance, instant, new_id, period_key, stored_base
 from ..functions.models import hashing_embedder
-from ..operators.merging import GROUP, concatenating_reducer, leading_text
+from ..operators.merging import GROUP, extractive_reducer, leading_text
+from ..operators.ordering import number_rows
 from ..operators.tables import find_merge_target
 from ..options import DAILY_TO_MONTHLY, MONTHLY_TO_YEARLY, DecayOptions, SettleRule, SummaryOptions
 from ..schema import MEMORY, conform
@@ -44,19 +45,20 @@ class Settlement(NamedTuple):
     unsettled: DataFrame  # groups that would have settled but got no summary; their members stay hot
 
 
-def _split(memories: DataFrame, rule: SettleRule):
-    """(member rows, rows of other tiers, rows of the target tier)."""
+def _split(memories: DataFrame, rule: SettleRule, rows: DataFrame | None = None):
+    """(member rows, rows of other tiers, rows of the target tier) of ``rows``, by default of all memories."""
     tier = F.col("tier")
-    members = memories.where(tier == rule.source_tier)
-    rest = memories.where(tier.isNotNull() & ~tier.isin(rule.source_tier, rule.target_tier))
-    untiered = memories.where(tier.isNull())
+    rows = memories if rows is None else rows
+    members = rows.where(tier == rule.source_tier)
+    rest = rows.where(tier.isNotNull() & ~tier.isin(rule.source_tier, rule.target_tier))
+    untiered = rows.where(tier.isNull())
     if rule.adopt_untiered:
         having = memories.where(tier == rule.source_tier).select("user_id").distinct()
         members = members.unionByName(untiered.join(having, "user_id", "left_anti"))
         rest = rest.unionByName(untiered.join(having, "user_id", "left_semi"))
     else:
         rest = rest.unionByName(untiered)
-    return members, rest, memories.where(tier == rule.target_tier)
+    return members, rest, rows.where(tier == rule.target_tier)
 
 
 def _scored(members: DataFrame, rule: SettleRule, now, opts: DecayOptions) -> DataFrame:
@@ -74,7 +76,6 @@ def _groups(scored: DataFrame, rule: SettleRule) -> DataFrame:
         .agg(
             F.count_if(F.col("importance") < rule.threshold).alias("n_low"),
             F.count("*").alias("n_members"),
-            F.min(F.when(F.col("importance") < rule.threshold, F.col("id"))).alias("first_id"),
         )
         .where(F.col("n_low") >= rule.min_members)
     )
@@ -84,7 +85,7 @@ def settlement_groups(
     memories: DataFrame, rule: SettleRule, now, opts: DecayOptions = DecayOptions()
 ) -> DataFrame:
     """Per user and period how many members have faded, where that is enough to settle."""
-    return _groups(_scored(_split(memories, rule)[0], rule, now, opts), rule).drop("first_id")
+    return _groups(_scored(_split(memories, rule)[0], rule, now, opts), rule)
 
 
 def settle(
@@ -96,23 +97,39 @@ def settle(
     semantic_target: bool = False,
     archive_band: str = "settled",
     decay_opts: DecayOptions = DecayOptions(),
+    due: DataFrame | None = None,
+    archive: DataFrame | None = None,
+    max_raw: int = 10,
+    max_merges: int = 3,
 ) -> Settlement:
     """Roll faded members up into one summary per period; originals go to the archive.
 
-    What is small, one row per settling group, is worked out at once and written down: the
-    groups, their targets and the new summaries. So model calls run once, and Spark knows
-    the sizes it joins. ``hot`` and ``archived`` stay lazy: only member rows meet the
-    groups, the other tiers pass through on a filter. ``archive_band="below_shield"`` also copies the
+    The rows that have faded are numbered in their groups and written down once, and all that follows reads them there: their groups, texts, archive rows. What is
+    small, one row per settling group, is worked out at once and written down too, so model calls run once, and Spark
+    knows the sizes it joins. ``hot`` stays lazy: one scan of the table that meets the settled groups.
+    Which members a summary has is told by ``archived`` (one row a member, with ``merged_into``) and by no list in the summary.
+    Memories without a user never settle; their groups are listed in ``unsettled``.
+
+    ``due`` (from ``read_due``) names the rows that may have faded; then nothing else is read but for ``hot``, and only
+    ``rule.adopt_untiered`` looks up which users have the source tier. ``archive_band="below_shield"`` also copies the
     unsettled members below the shield to the archive.
+
+    With the ``archive``, a summary that ``merge_plan`` wants rebuilt is made anew from its archived originals and the new members
+    instead of from its own text, and counts as merged once; a summary that did not begin with archived members
+    (it was a memory of that tier before) cannot be, and is merged.
     """
-    reducer = reducer or concatenating_reducer()
+    reducer = reducer or extractive_reducer()
     embedder = embedder or hashing_embedder()
     members, rest, summaries = _split(memories, rule)
     scored = _scored(members, rule, now, decay_opts)
-    groups = stage(_groups(scored, rule), "settle-groups")
-    in_group = F.col("n_low").isNotNull()
-    flagged = scored.join(groups.select(*GROUP, "n_low", "first_id"), GROUP, "left")
-    low = flagged.where(in_group & (F.col("importance") < rule.threshold))
+    fading = scored if due is None else _scored(_split(memories, rule, due)[0], rule, now, decay_opts)
+    faded = F.col("importance") < rule.threshold
+    low = number_rows(fading.where(faded), GROUP, ["created_at", "id"]).drop("group_rows")
+    groups = stage(
+        low.groupBy(*GROUP).agg(F.count("*").alias("n_low"), F.min("id").alias("first_id")).where(F.col("n_low") >= rule.min_members),
+        "settle-groups",
+    )
+    low = low.join(groups.select(*GROUP, "first_id"), GROUP)
 
     text = leading_text(_as_members(low), 500, " ") if semantic_target else None
     if text is not None:
@@ -122,6 +139,7 @@ def settle(
 
     existing = target.select(
         *GROUP,
+        F.lit(0).cast("long").alias("position"),
         F.lit(0).alias("ord"),
         F.col("target.created_at").alias("created_at"),
         F.col("target.id").alias("id"),
@@ -131,16 +149,22 @@ def settle(
         F.coalesce("target.base_importance", F.lit(0.5)).alias("base"),
         F.col("target.sentiment").alias("sentiment"),
     )
-    reduced = reducer(existing.unionByName(_as_members(low)))
-    parents = low.groupBy(*GROUP).agg(
-        F.sort_array(F.collect_list("id")).alias("_members"), F.any_value("first_id").alias("first_id")
-    )
-    none = F.array().cast("array<string>")
-    known = F.coalesce("target.parent_ids", none)
+    parts = existing.unionByName(_as_members(low, "position"))
+    merges = F.coalesce("target.merge_count", F.lit(0)) + 1
+    if archive is not None:
+        begun = archive.select("user_id", F.col("merged_into").alias("target_id"), F.col("id").alias("first_id"))
+        plan = merge_plan(groups, memories, archive, rule, now, max_raw, max_merges).where("plan = 'rebuild'")
+        own = plan.join(begun, ["user_id", "target_id"]).where(F.col("target_id") == _summary_id(rule))
+        again = stage(own.select(*GROUP, "target_id", "plan").distinct(), "settle-rebuilt")
+        kept = existing.join(again.select(*GROUP), GROUP, "left_anti")
+        parts = kept.unionByName(_as_members(low, "position")).drop("position").unionByName(rebuild_members(again, archive))
+        target = stage(target.join(again.select(*GROUP, "plan"), GROUP, "left"), "settle-planned")
+        merges = F.when(F.col("plan").isNotNull(), 1).otherwise(merges)
+    reduced = reducer(parts)
     born = F.concat(F.col("period"), F.lit("-01" if rule.period == "month" else "-01-01"))
     merged = (
-        reduced.join(target, GROUP, "left")
-        .join(parents, GROUP, "left")
+        reduced.join(groups.select(*GROUP, "first_id"), GROUP)
+        .join(target, GROUP, "left")
         .select(
             F.coalesce("target.id", _summary_id(rule)).alias("id"),
             "user_id",
@@ -156,8 +180,8 @@ def settle(
             instant(now).alias("last_accessed"),
             F.try_to_timestamp(born).alias("created_at"),
             F.concat(F.lit("settle-"), "period").alias("session_id"),
-            F.array_union(known, F.coalesce("_members", none)).alias("parent_ids"),
-            (F.coalesce("target.merge_count", F.lit(0)) + 1).alias("merge_count"),
+            F.col("target.parent_ids").alias("parent_ids"),
+            merges.alias("merge_count"),
             "period",
         )
     )
@@ -165,23 +189,18 @@ def settle(
     merged, done = conform(summaries_made), summaries_made.select(*GROUP, F.col("id").alias("_target"))
     flagged = scored.join(done, GROUP, "left")
     in_group = F.col("_target").isNotNull()
-    settled = in_group & (F.col("importance") < rule.threshold)
     replaced = merged.select("id")
     hot = (
-        conform(flagged.where(~F.coalesce(settled, F.lit(False))))
+        conform(flagged.where(~F.coalesce(in_group & faded, F.lit(False))))
         .unionByName(conform(rest))
         .unionByName(conform(summaries.join(replaced, "id", "left_anti")))
         .unionByName(merged)
     )
-    goes = settled
+    gone = low.join(done, GROUP).withColumn("merged_into", F.col("_target"))
     if archive_band == "below_shield":
-        goes = in_group & (F.col("importance") < rule.shield)
-    archived = (
-        flagged.where(goes)
-        .withColumn("merged_into", F.when(settled, F.col("_target")))
-        .withColumn("archived_at", instant(now))
-        .select(*MEMORY.names, "period", "merged_into", "archived_at")
-    )
+        between = flagged.where(in_group & ~faded & (F.col("importance") < rule.shield))
+        gone = gone.unionByName(between.withColumn("merged_into", F.lit(None).cast("string")), allowMissingColumns=True)
+    archived = gone.withColumn("archived_at", instant(now)).select(*MEMORY.names, "period", "merged_into", "archived_at")
     unsettled = groups.join(done.select(*GROUP), GROUP, "left_anti").drop("first_id")
     return Settlement(hot, archived, merged, unsettled)
 
@@ -191,9 +210,9 @@ def _summary_id(rule: SettleRule):
     return new_id("mem-", F.lit("settle"), "user_id", F.lit(rule.target_tier), "period", "first_id")
 
 
-def _as_members(low: DataFrame) -> DataFrame:
+def _as_members(low: DataFrame, *more: str) -> DataFrame:
     return low.select(
-        *GROUP, F.lit(1).alias("ord"), "created_at", "id", "content", "topics", "key_facts", "base", "sentiment"
+        *GROUP, *more, F.lit(1).alias("ord"), "created_at", "id", "content", "topics", "key_facts", "base", "sentiment"
     )
 
 

@@ -28,8 +28,8 @@ _COUNT = T.StructType([T.StructField("seen", T.LongType()), T.StructField("batch
 class RoundBatcher(StatefulProcessor):
     """Holds the rounds of the open batch of one conversation: never more than every - 1."""
 
-    def __init__(self, every: int, idle_ms: int | None, ttl_ms: int | None):
-        self.every, self.idle_ms, self.ttl_ms = every, idle_ms, ttl_ms
+    def __init__(self, every: int, idle_ms: int | None, ttl_ms: int | None, by_event: bool = False):
+        self.every, self.idle_ms, self.ttl_ms, self.by_event = every, idle_ms, ttl_ms, by_event
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -65,7 +65,8 @@ class RoundBatcher(StatefulProcessor):
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
         if held:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+            last = max(pd.Timestamp(r[3]).value // 1_000_000 for r in held) if self.by_event else timerValues.getCurrentProcessingTimeInMs()
+            self.handle.registerTimer(last + self.idle_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         held = list(self.open.get()) if self.open.exists() else []
@@ -91,7 +92,7 @@ BATCHED = (
 
 
 def stream_round_batches(
-    rounds: DataFrame, every: int = 10, idle_seconds: float | None = 1800, ttl_days: float | None = 30
+    rounds: DataFrame, every: int = 10, idle_seconds: float | None = 1800, ttl_days: float | None = 30, delay: str | None = None
 ) -> DataFrame:
     """Emit the rounds of a batch when its last one arrives, or when the conversation goes idle.
 
@@ -100,7 +101,19 @@ def stream_round_batches(
     apart by their rounds. Needs the RocksDB state store, and a processing-time
     trigger: its timers follow the clock, so ``availableNow`` would not end. With ``idle_seconds=None`` only full
     batches leave, nothing follows the clock (no expiry either), and ``availableNow`` ends.
+
+    With a ``delay``, idleness is told by the times of the rounds instead of the clock: a batch leaves when rounds
+    ``delay`` later than its last one plus ``idle_seconds`` have been seen in any conversation. ``availableNow`` then ends
+    with these flushes; state does not expire.
     """
+    if delay is not None:
+        batcher = RoundBatcher(every, int(idle_seconds * 1000), None, by_event=True)
+        return (
+            rounds.select("user_id", F.col("conv_id").cast("string").alias("conv_id"), *_ROUND.names)
+            .withWatermark("ts", delay)
+            .groupBy(*CONVERSATION)
+            .transformWithStateInPandas(batcher, BATCHED, outputMode="append", timeMode="eventTime", eventTimeColumnName="ts")
+        )
     timed = idle_seconds is not None
     ttl = int(ttl_days * 86_400_000) if timed and ttl_days is not None else None
     batcher = RoundBatcher(every, int(idle_seconds * 1000) if timed else None, ttl)

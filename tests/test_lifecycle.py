@@ -1,11 +1,15 @@
 import json
+import re
+from collections import Counter
 from datetime import datetime
 
+import pytest
+
 from pyspark.sql import functions as F
 
 import sparkmem as sm
 from registry.inputs import NOW, memories
-from sparkmem.operators.merging import concatenating_reducer
+from sparkmem.operators.merging import extractive_reducer
 
 from .conftest import SF, memory_rows
 
@@ -36,7 +40,7 @@ def test_two_faded_rows_stay_three_settle(spark):
     assert new.content == "content 0\ncontent 1\ncontent 2"
     assert new.topics == ["t0", "t1", "t2"] and new.key_facts == ["f0", "f1", "f2"]
     assert (new.user_id, new.source, new.session_id, new.access_count, new.merge_count) == (2, "settlement", "settle-2024-01", 0, 1)
-    assert new.parent_ids == ["n0", "n1", "n2"] and new.importance == new.base_importance == 0.4
+    assert new.parent_ids is None and new.importance == new.base_importance == 0.4
     assert str(new.created_at) == "2024-01-01 00:00:00" and len(new.embedding) == 512
     assert {"m000", "m001", "m009"} < set(hot) and hot["m000"].importance < 0.35
     assert {r.merged_into for r in s.archived.collect()} == {new.id}
@@ -50,7 +54,8 @@ def test_settlement_merges_into_the_summary_of_the_period(spark):
     assert sorted(hot) == ["m050", "m051"]
     new = hot["m050"]
     assert new.content == "old\ncontent 0\ncontent 1\ncontent 2"
-    assert new.parent_ids == ["x", "m000", "m001", "m002"] and new.merge_count == 3
+    assert new.parent_ids == ["x"] and new.merge_count == 3
+    assert ids(sm.lineage_edges(s.archived, s.merged)) == ["m000", "m001", "m002", "x"]
     assert new.importance == 0.5 and hot["m051"].content == "later"
 
 
@@ -100,22 +105,42 @@ def test_nothing_is_lost_and_settling_again_changes_nothing(spark):
         assert hot.where("tier = 'yearly'").count() >= m.where("tier = 'yearly'").count()
 
 
+def salient(contents, budget):
+    """The sentences that say most, in plain Python: contents are one sentence each here."""
+    words = [re.findall(r"[^\W\d_]{2,}", c.lower()) for c in contents]
+    count = Counter(w for ws in words for w in ws)
+    first = {}
+    for i, ws in enumerate(words):
+        for w in ws:
+            first.setdefault(w, i)
+    score = [sum(count[w].bit_length() for w in set(ws) if first[w] == i) for i, ws in enumerate(words)]
+    kept, room = [], 0
+    for i in sorted(range(len(contents)), key=lambda i: (-score[i], i)):
+        room += len(contents[i]) + 1
+        if room > budget + 1:
+            break
+        kept.append(i)
+    return "\n".join(contents[i] for i in sorted(kept))
+
+
 def test_hot_group_is_merged_like_a_small_one(spark):
-    """One period with thousands of members: the same text, lists and mean as plain Python finds."""
-    rows = [daily(i, day=datetime(2024, 1, 1 + i % 28, i % 24), id=f"h{i:05d}", content=f"c{i} " + "x" * (i % 37),
+    """One period with thousands of members: the same text, lists and mean as plain Python finds; the last one is heard."""
+    rows = [daily(i, day=datetime(2024, 1, 1 + i % 28, i % 24), id=f"h{i:05d}", content=f"c{i} " + "x" * (i % 37 + 1),
                   topics=[f"t{i % 11}"], base_importance=(i % 30) / 100, sentiment="negative" if i % 3 else "positive")
-            for i in range(4000)]
+            for i in range(4999)]
+    rows.append(daily(0, day=datetime(2024, 1, 28, 23), id="z", content="only here a zebra", topics=["t1"], base_importance=0.1, sentiment="negative"))
     s = sm.settle(memory_rows(spark, rows).repartition(8), DAY, NOW)
     (new,) = s.merged.collect()
     ordered = sorted(rows, key=lambda r: (r["created_at"], r["id"]))
-    text = "\n".join(r["content"] for r in ordered)
-    assert new.content == text[:8000] + "\n...(对话过长已截断)"
+    assert ordered[-1]["id"] == "z" and "zebra" in new.content
+    assert new.content == salient([r["content"] for r in ordered], 8000) and 7900 < len(new.content) <= 8000
     assert new.topics == list(dict.fromkeys(r["topics"][0] for r in ordered))[:5]
     assert new.key_facts == list(dict.fromkeys(r["key_facts"][0] for r in ordered))[:5]
     base = [r["base_importance"] or r["importance"] for r in rows]
     assert new.importance == round(sum(base) / len(base), 4) and new.sentiment == "negative"
     low = s.archived.count()
-    assert len(new.parent_ids) == low == 4000 - sum(1 for r in s.hot.collect() if r.tier == "daily")
+    assert new.parent_ids is None and low == 5000 - sum(1 for r in s.hot.collect() if r.tier == "daily")
+    assert sm.originals(sm.lineage_edges(s.archived)).where(F.col("summary") == new.id).count() == low
 
 
 def test_lineage_is_kept_over_several_merges(spark):
@@ -123,8 +148,99 @@ def test_lineage_is_kept_over_several_merges(spark):
     later = [daily(i, id=f"late{i}") for i in range(10, 13)]
     second = sm.settle(first.hot.unionByName(memory_rows(spark, later)), DAY, NOW)
     (one,), (two,) = first.merged.collect(), second.merged.collect()
-    assert len(one.parent_ids) == first.archived.count() == 4
-    assert set(two.parent_ids) == {*one.parent_ids, "late10", "late11", "late12"}
+    edges = sm.lineage_edges(first.archived.unionByName(second.archived))
+    assert one.id == two.id and ids(edges) == [*(f"late{i}" for i in range(10, 13)), *(f"m{i:03d}" for i in range(4))]
+
+
+def test_lineage_is_followed_to_the_last_summary(spark):
+    chain = [(f"s{i}", f"s{i + 1}") for i in range(20)] + [("a", "s0"), ("b", "s0"), ("c", "s7"), ("d", "other"), ("e", None)]
+    edges = sm.lineage_edges(spark.createDataFrame(chain, "id string, merged_into string"))
+    last = {r.id: (r.merged_into, r.steps) for r in sm.last_summaries(edges).collect()}
+    assert last["a"] == ("s20", 21) and last["c"] == ("s20", 14) and last["s19"] == ("s20", 1) and "e" not in last
+    assert {(r.summary, r.id) for r in sm.originals(edges).collect()} == {("s20", "a"), ("s20", "b"), ("s20", "c"), ("other", "d")}
+    with pytest.raises(ValueError):
+        sm.last_summaries(spark.createDataFrame([("x", "y"), ("y", "x")], "id string, merged_into string"), 5)
+    assert sm.originals(edges.limit(0)).isEmpty()
+
+
+def test_a_summary_merged_too_often_is_rebuilt_from_the_archive(spark):
+    """What is rebuilt is what merging all members at once gives; a memory that was never built stays merged."""
+    first = sm.settle(memory_rows(spark, [daily(i, content=f"word{i} {'ab' * i}.") for i in range(8)]), DAY, NOW)
+    hot, archive = sm.stage(first.hot, "h"), sm.stage(first.archived, "a")
+    late = memory_rows(spark, [daily(i, id=f"z{i}", content=f"late{i} {'cd' * i}.") for i in range(4)])
+    raw = memory_rows(spark, [daily(i, user=2, id=f"q{i}") for i in range(12)] + [daily(50, user=2, id="raw", tier="monthly", content="was here", day=datetime(2024, 1, 1))])
+    (again, other) = sorted(sm.settle(hot.unionByName(late).unionByName(raw), DAY, NOW, archive=archive).merged.collect(), key=lambda r: r.user_id)
+    (once,) = sm.settle(memory_rows(spark, [daily(i, content=f"word{i} {'ab' * i}.") for i in range(8)] + [daily(i, id=f"z{i}", content=f"late{i} {'cd' * i}.") for i in range(4)]), DAY, NOW).merged.collect()
+    assert (again.id, again.content, again.topics, again.importance, again.merge_count) == (first.merged.first().id, once.content, once.topics, once.importance, 1)
+    assert other.id == "raw" and other.content.startswith("was here")
+
+
+def test_only_due_rows_are_read_and_settle_alike(spark, tmp_path):
+    rows = [daily(i, day=datetime(2024, 1 + i % 6, 1 + i % 28), base_importance=(i % 50) / 50, access_count=i % 9, id=f"d{i}", tier=[None, "daily", "monthly"][i % 3], user=1 + i % 4) for i in range(300)]
+    rows += [daily(0, created_at=None, base_importance=b, id=f"n{b}") for b in (0.0, 0.2, 0.9)] + [daily(0, day=datetime(2025, 1, 1), base_importance=0.1, id="future")]
+    sm.write_memories(memory_rows(spark, rows), str(tmp_path / "m"))
+    table = sm.read_memories(spark, str(tmp_path / "m"))
+    for rule in (DAY, MONTH):
+        due = sm.read_due(spark, str(tmp_path / "m"), rule, NOW)
+        plan = due._jdf.queryExecution().executedPlan().toString()
+        assert "LessThanOrEqual(due_at" in plan.split("PushedFilters:")[1]
+        a, b = sm.settle(table, rule, NOW, due=due), sm.settle(table, rule, NOW)
+        assert ids(a.archived) == ids(b.archived) and ids(a.hot) == ids(b.hot) and len(ids(a.archived)) > 5
+        assert 0 < due.count() < table.count()
+
+
+def test_the_model_reads_members_in_order_however_they_are_dealt(spark):
+    """The same texts for any number of partitions, just under, at and over the sizes that once changed the packing."""
+    def texts_of(n, partitions):
+        seen = []
+
+        def noting(df):
+            seen.append(sorted((r.user_id, r.text) for r in df.collect()))
+            return df.withColumn("raw", F.to_json(F.struct(F.substring("text", 1, 40).alias("summary"))))
+
+        rows = [daily(i, content=f"w{i} " + "x" * (i % 50), day=datetime(2024, 1, 1 + i % 28), id=f"r{i:05d}") for i in range(n)]
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            sm.settle(memory_rows(spark, rows), DAY, NOW, reducer=sm.model_reducer(noting, 20000)).merged.collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+        return seen
+
+    for n, others in ((999, (8,)), (5000, (16,))):
+        want = texts_of(n, 1)
+        shown = [m for _, t in sorted(want[0], key=lambda x: int(re.search(r"w(\d+)", x[1])[1]) % 28) for m in re.findall(r"- w(\d+)", t)]
+        assert sorted(map(int, shown)) == list(range(n))
+        for _, text in want[0]:
+            days = [int(m) % 28 for m in re.findall(r"- w(\d+)", text)]
+            assert days == sorted(days)
+        assert all(texts_of(n, p) == want for p in others)
+
+
+def test_nearest_pairs_are_matched_first(spark):
+    from sparkmem.operators.tables import one_to_one
+
+    pairs = [(1, "a", "x", 0.1), (1, "b", "x", 0.05), (1, "a", "y", 0.2), (1, "c", "y", 0.2), (2, "a", "x", 0.3), (1, "c", "z", 0.9), (1, "d", "x", 0.05)]
+    got = one_to_one(spark.createDataFrame(pairs, "user_id long, period string, id string, distance double")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, "a", "y"), (1, "b", "x"), (1, "c", "z"), (2, "a", "x")]
+    assert one_to_one(spark.createDataFrame([], "user_id long, period string, id string, distance double")).isEmpty()
+
+
+def test_known_texts_do_not_reach_the_embedder_again(spark, tmp_path):
+    asked = []
+
+    def counting(df, text, out):
+        asked.append(sorted(r[0] for r in df.select(text).collect()))
+        return sm.hashing_embedder(16)(df, text, out)
+
+    embed = sm.remembering_embedder(counting, str(tmp_path / "v"), "m")
+    first = embed(spark.createDataFrame([("a b",), ("c",), ("a b",), (None,)], "t string"), "t", "v")
+    assert first.count() == 4 and asked == [["", "a b", "c"]]
+    second = embed(spark.createDataFrame([("c", 1), ("d", 2), ("a b", 3)], "t string, _key int"), "t", "v").collect()
+    assert asked[1:] == [["d"]] and {r._key for r in second} == {1, 2, 3}
+    plain = {r.t: r.v for r in sm.hashing_embedder(16)(spark.createDataFrame([("c",), ("d",), ("a b",)], "t string"), "t", "v").collect()}
+    assert {r.t: r.v for r in second} == plain
+    sm.remembering_embedder(counting, str(tmp_path / "v"), "other")(spark.createDataFrame([("c",)], "t string"), "t", "v")
+    assert asked[2:] == [["c"]]
 
 
 def test_several_updates_of_one_memory_give_one_row(spark):
@@ -216,7 +332,7 @@ def test_rebuild_finds_all_originals(spark):
     plan = sm.merge_plan(groups, more, archive, DAY, NOW)
     (p,) = plan.collect()
     assert (p.raw, p.merges, p.plan) == (15, 1, "rebuild")
-    rebuilt = concatenating_reducer()(sm.rebuild_members(plan, archive)).first()
+    rebuilt = extractive_reducer()(sm.rebuild_members(plan, archive)).first()
     assert rebuilt.summary == "\n".join(f"content {i}" for i in range(12))
 
 
