@@ -1,4 +1,14 @@
-"""Cross-entropy difference of two bigram models, of a target and of the background corpus."""
+"""Cross-entropy difference of two bigram models, of a target and of the background corpus.
+
+Both models share one vocabulary: every word of either corpus. A text is the events w1 … wn and its end; an event w
+after v (the start for the first one) has
+
+    p(w | v) = (c(v, w) + S p(w)) / (c(v) + S),   p(w) = (c(w) + 1) / (N + K)
+
+with S the smoothing, N all events of the corpus and K the distinct words of both corpora, one for the end and one for
+all words of neither. The logarithm of the fraction is a term of (v, w) less a term of v, so a text's loss is a sum of
+terms that are found apart: each where the counts it needs come together.
+"""
 
 from __future__ import annotations
 
@@ -6,212 +16,398 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import spread_of
 from ..sources.staging import stage
 from .common import read_table, whole
 from .words import mix, pieces, word_hashes
 
-#: Stands before the first word of a text; 0 stands for a word that is not in a given vocabulary.
-START = -1
-#: Tokens a task adds up before it hands on their bigrams.
-_RUN = 1 << 21
-#: The most frequent bigrams ride along with the tasks, at most so many; the others are joined.
-FREQUENT = 1 << 19
+#: Events a task adds up together; of scored texts, which need more about each event, half as many.
+RUN = 1 << 19
+#: So many of the most frequent words, and of the most frequent bigrams, ride along with the tasks at most.
+FREQUENT, HEAVY = 1 << 18, 1 << 17
+#: A bigram seen so often in one run may be among the most frequent.
+_OFTEN = 32
+#: Events whose terms are looked for in one group of rows, about.
+_BUCKET = 1 << 20
 _TURN = np.uint64(0x9E3779B97F4A7C15)
+_START, _END = np.uint64(1), np.uint64(2)
+_DOCS, _TARGET, _BACKGROUND = 0, 1, 2
+_BY_BIGRAM, _BY_WORD, _OWN = 0, 1, 2
 
 
 @dataclass
-class LanguageModels:
-    """Counts of both corpora as tables (t of the target, b of the background), one row a key at any corpus size."""
-
-    words: np.ndarray | None  # sorted hashes of a given vocabulary; None: every word is in it
-    bigrams: DataFrame  # prev, word, n, t, b: -log2 p(word | prev) of every bigram of either corpus
-    contexts: DataFrame  # prev, t, b, t_kinds, b_kinds
-    singles: DataFrame  # word, t, b
-    totals: tuple[int, int, int]  # tokens of the target, of the background, distinct words and one for all unseen ones
-    frequent: tuple[np.ndarray, ...]  # keys, sorted, and both losses of the most frequent bigrams
-
-
-def _tokens(words: np.ndarray | None, data: np.ndarray, at: np.ndarray):
-    """(previous word, word, text) of every token."""
-    hashes, text, _, _ = word_hashes(data, at)
-    ids = hashes.view(np.int64)
-    if words is not None:
-        spot = np.minimum(np.searchsorted(words, ids), len(words) - 1)
-        ids = np.where(words[spot] == ids, ids, 0) if len(words) else np.zeros(len(ids), np.int64)
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[np.append(True, text[1:] != text[:-1])[:len(text)]] = START
-    return before, ids, text
+class _Model:
+    """What every task knows; bounded by FREQUENT and HEAVY whatever the corpora."""
 
+    smoothing: float
+    own: bool  # the scored texts are the background: each is scored without its own counts
+    texts: tuple[int, int]  # texts with a word, in target and background
+    floor: tuple[float, float]  # S / (N + K)
+    words: tuple[np.ndarray, np.ndarray, np.ndarray]  # most frequent words: hash (sorted), count in target, in background
+    bigrams: tuple[np.ndarray, np.ndarray, np.ndarray]  # the same of bigrams
 
-def _key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(before.view(np.uint64) * _TURN + word.view(np.uint64))
-
-
-def shared_vocabulary(target: DataFrame, background: DataFrame, size: int) -> np.ndarray:
-    """The ``size`` - 1 words with most occurrences in both corpora, counted over all texts; ties by hash."""
-    def count(batches):
-        for batch in batches:
-            for _, _, data, at in pieces(batch.column(0)):
-                words, n = np.unique(word_hashes(data, at)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
-
-    texts = target.select(whole().alias("text")).unionByName(background.select(whole().alias("text")))
-    counts = texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(size - 1).toPandas()
-    return np.sort(top.word.to_numpy(np.int64))
-
-
-def _bigrams(corpus: DataFrame, words: np.ndarray | None) -> DataFrame:
-    """(prev, word, n), added up per task over runs of tokens."""
-    def added(parts):
-        before, ids = (np.concatenate(x) for x in zip(*parts))
-        _, spot, n = np.unique(_key(before, ids), return_index=True, return_counts=True)
-        for a in range(0, len(spot), 1 << 18):
-            some = spot[a:a + (1 << 18)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(before[some]), pa.array(ids[some]), pa.array(n[a:a + (1 << 18)].astype(np.int64))], ["prev", "word", "n"]
-            )
+    def unigram(self, t, b):
+        """S p(w) in both models from the counts of w."""
+        return (t + 1) * self.floor[0], (b + 1) * self.floor[1]
 
-    def count(batches):
-        parts, held = [], 0
-        for batch in batches:
-            for _, _, data, at in pieces(batch.column(0)):
-                before, ids, _ = _tokens(words, data, at)
-                parts.append((before, ids))
-                held += len(ids)
-                if held >= _RUN:
-                    yield from added(parts)
-                    parts, held = [], 0
-        if held:
-            yield from added(parts)
 
-    return corpus.select(whole()).mapInArrow(count, "prev long, word long, n long")
+def _runs(batches, run: int, column: int = 0):
+    """(batches' row numbers, word, previous word, text) of the events of some ``run`` events; texts are whole.
 
+    Rows are numbered over the run; a text without words has no events.
+    """
+    parts, held, rows = [], 0, 0
+    for i, batch in enumerate(batches):
+        for first, last, data, at in pieces(batch.column(column)):
+            hashes, text, _, _ = word_hashes(data, at)
+            there = np.bincount(text, minlength=last - first)
+            full = np.flatnonzero(there)
+            sizes = there[full] + 1
+            ends = np.cumsum(sizes) - 1
+            word = np.empty(int(sizes.sum()), np.uint64)
+            inner = np.ones(len(word), bool)
+            inner[ends] = False
+            word[inner], word[ends] = hashes, _END
+            before = np.empty_like(word)
+            before[1:] = word[:-1]
+            before[ends - sizes + 1] = _START
+            parts.append((word, before, np.repeat(full, sizes) + rows, (i, first, last)))
+            held += len(word)
+            rows += last - first
+            if held >= run:
+                yield _run(parts, rows)
+                parts, held, rows = [], 0, 0
+    if rows:
+        yield _run(parts, rows)
+
+
+def _run(parts, rows):
+    word, before, text = (np.concatenate(x) for x in list(zip(*parts))[:3])
+    return word, before, text, rows, [p[3] for p in parts]
 
-def _with_losses(bigrams: DataFrame, contexts: DataFrame, singles: DataFrame, totals: tuple[int, int, int]) -> DataFrame:
-    """Losses (t, b) of rows with prev, word and their counts t_n, b_n: Witten-Bell interpolation with the unigram model,
-    itself smoothed by one count a word; in bits."""
-    rows = bigrams.join(contexts.withColumnsRenamed({"t": "t_context", "b": "b_context"}), "prev", "left")
-    rows = rows.join(singles.withColumnsRenamed({"t": "t_single", "b": "b_single"}), "word", "left")
 
-    def loss(m, tokens):
-        known = lambda name: F.coalesce(F.col(f"{m}_{name}"), F.lit(0)).cast("double")
-        kinds = F.greatest(known("kinds"), F.lit(1.0))
-        single = (known("single") + 1) / float(tokens + totals[2])
-        return -F.log2((known("n") + kinds * single) / (known("context") + kinds))
+def _key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(before * _TURN + word)
 
-    return rows.withColumns({"t": loss("t", totals[0]), "b": loss("b", totals[1])})
 
+def _found(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each value in a sorted table, and whether it is there."""
+    if not len(table):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return at, table[at] == values
 
-def fit_models(target: DataFrame, background: DataFrame, size: int | None = None) -> LanguageModels:
-    """Both models over the words of both corpora, counted over all texts; a ``size`` keeps only the most frequent words.
 
-    A task adds up its bigrams before the shuffle. Counts stay in tables that are written down; the driver gets totals and
-    the ``FREQUENT`` most frequent bigrams, which spare scoring most of its rows and change no result.
-    """
-    words = None if size is None else shared_vocabulary(target, background, size)
-    zero = F.lit(0).cast("long")
-    both = _bigrams(target, words).select("prev", "word", F.col("n").alias("t_n"), zero.alias("b_n")).unionByName(
-        _bigrams(background, words).select("prev", "word", zero.alias("t_n"), F.col("n").alias("b_n"))
-    )
-    counts = stage(both.groupBy("prev", "word").agg(F.sum("t_n").alias("t_n"), F.sum("b_n").alias("b_n")), "bigrams")
-    t, b = F.sum("t_n").alias("t"), F.sum("b_n").alias("b")
-    kinds = [F.count_if(F.col(f"{m}_n") > 0).alias(f"{m}_kinds") for m in "tb"]
-    # Written down, so that the joins below meet two plain shuffles and can split frequent words.
-    contexts = stage(counts.groupBy("prev").agg(t, b, *kinds), "contexts")
-    singles = stage(counts.groupBy("word").agg(t, b), "singles")
-    n_t, n_b, kinds_all = singles.agg(F.sum("t"), F.sum("b"), F.count_if(F.col("word") != 0)).first()
-    totals = (n_t or 0, n_b or 0, kinds_all + 1)
-    n = (F.col("t_n") + F.col("b_n")).alias("n")
-    bigrams = stage(_with_losses(counts, contexts, singles, totals).select("prev", "word", n, "t", "b"), "losses")
-    return LanguageModels(words, bigrams, contexts, singles, totals, _frequent(bigrams))
-
-
-def _frequent(bigrams: DataFrame) -> tuple[np.ndarray, ...]:
-    """Keys and losses of the bigrams with at least so many occurrences that no more than ``FREQUENT`` have them."""
-    step = F.floor(F.log2("n") * 8)
-    steps = bigrams.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).toPandas().sort_values("step", ascending=False)
-    fits = steps.step[steps.rows.cumsum() <= FREQUENT]
+def _most(counts: DataFrame, limit: int) -> tuple[np.ndarray, ...]:
+    """(key, t, b) of the keys with at least so many occurrences that no more than ``limit`` keys have them, sorted by key."""
+    step = F.floor(F.log2(F.col("t") + F.col("b")) * 8)
+    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).toPandas().sort_values("step", ascending=False)
+    fits = steps.step[steps.rows.cumsum() <= limit]
     if not len(fits):
-        return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
-    top = bigrams.where(step >= int(fits.min())).select("prev", "word", "t", "b").toArrow()
-    before, word, t, b = (top.column(c).to_numpy() for c in ("prev", "word", "t", "b"))
-    key = _key(before, word)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    top = counts.where(step >= int(fits.min())).select("key", "t", "b").toArrow()
+    key, t, b = (top.column(c).to_numpy() for c in ("key", "t", "b"))
+    key = key.view(np.uint64)
     order = np.argsort(key)
     return key[order], t[order], b[order]
 
 
-def _bigrams_of_texts(docs: DataFrame, models: LanguageModels) -> DataFrame:
-    """Per row of ``docs`` (_row, _scored): one row with its tokens and the losses of its frequent bigrams, and a row for each other bigram.
+def _both(target: DataFrame, background: DataFrame, job, schema: str) -> DataFrame:
+    """``job(side)`` over the texts of both corpora."""
+    return (
+        target.select(whole()).mapInArrow(job(_TARGET), schema)
+        .unionByName(background.select(whole()).mapInArrow(job(_BACKGROUND), schema))
+    )
+
+
+def _counted(side: int, **columns) -> pa.RecordBatch:
+    n = columns.pop("n").astype(np.int64)
+    none = np.zeros(len(n), np.int64)
+    t, b = (n, none) if side == _TARGET else (none, n)
+    return pa.RecordBatch.from_pydict({**columns, "t": t, "b": b})
+
 
-    The first kind has ``texts`` 1 and ``times`` 0, and a key that spreads it over the tasks of a join.
+def fit(target: DataFrame, background: DataFrame, own: bool, smoothing: float, frequent: int, heavy: int, run: int) -> _Model:
+    """Totals of both corpora, the most frequent words, and exact counts of the most frequent bigrams.
+
+    All words are counted, in a table that is written down; a task adds up its own before the shuffle. Which bigrams ride
+    along decides how much is shuffled later and no result.
     """
-    words, (keys, *losses) = models.words, models.frequent
-
-    def run(batches):
-        for batch in batches:
-            rows = batch.column(0).to_numpy()
-            for first, last, data, at in pieces(batch.column(1)):
-                before, ids, text = _tokens(words, data, at)
-                key, texts = _key(before, ids), last - first
-                spot = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-                near = keys[spot] == key if len(keys) else np.zeros(len(key), bool)
-                t, b = (np.bincount(text[near], x[spot[near]], texts).astype(float) for x in losses)
-                far = np.flatnonzero(~near)
-                _, where, times = np.unique(mix(key[far] + text[far].astype(np.uint64) * _TURN), return_index=True, return_counts=True)
-                far = far[where]
-                own = rows[first:last]
-                full = lambda a, fill: pa.array(np.concatenate([a, np.full(len(far), fill, a.dtype)]))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([own, own[text[far]]])), pa.array(np.concatenate([own, before[far]])),
-                    pa.array(np.concatenate([own, ids[far]])), pa.array(np.concatenate([np.zeros(texts, np.int64), times.astype(np.int64)])),
-                    full(np.ones(texts, np.int64), 0), full(np.bincount(text, minlength=texts).astype(np.int64), 0), full(t, 0), full(b, 0),
-                ], ["_row", "prev", "word", "times", "texts", "tokens", "t_sum", "b_sum"])
-
-    return docs.select("_row", "_scored").mapInArrow(
-        run, "_row long, prev long, word long, times long, texts long, tokens long, t_sum double, b_sum double"
+    def words(side):
+        def count(batches):
+            for word, before, _, _, _ in _runs(batches, run):
+                keys, n = np.unique(word, return_counts=True)
+                pairs, often = np.unique(_key(before, word), return_counts=True)
+                pairs, often = pairs[often >= _OFTEN], often[often >= _OFTEN]
+                kind = np.repeat(np.array([0, 1], np.int8), [len(keys), len(pairs)])
+                yield _counted(side, kind=kind, key=np.concatenate([keys, pairs]).view(np.int64), n=np.concatenate([n, often]))
+
+        return count
+
+    schema = "key long, t long, b long"
+    counts = stage(
+        _both(target, background, words, f"kind byte, {schema}").groupBy("kind", "key").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "words"
     )
+    singles = counts.where("kind = 0").drop("kind")
+    n_t, n_b, kinds = singles.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0)), F.count("*")).first()
+    ends = singles.where(F.col("key") == int(_END)).first()
+    texts = (ends.t, ends.b) if ends else (0, 0)
+    size = kinds + (1 if ends else 2)
+    # The end of a text is no context, so it always rides along.
+    often = _most(singles.where(F.col("key") != int(_END)), frequent)
+    order = np.argsort(np.concatenate([often[0], [_END]]))
+    often = tuple(np.concatenate([x, np.array([y], x.dtype)])[order] for x, y in zip(often, (_END, *texts)))
+    candidates = _most(counts.where("kind = 1").drop("kind"), heavy)[0]
+
+    def pairs(side):
+        def count(batches):
+            total = np.zeros(len(candidates), np.int64)
+            for word, before, _, _, _ in _runs(batches, run):
+                at, there = _found(candidates, _key(before, word))
+                total += np.bincount(at[there], minlength=len(candidates))
+            some = np.flatnonzero(total)
+            yield _counted(side, key=candidates[some].view(np.int64), n=total[some])
+
+        return count
+
+    exact = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    if len(candidates):
+        found = _both(target, background, pairs, schema).groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow()
+        key, t, b = (found.column(c).to_numpy() for c in ("key", "t", "b"))
+        order = np.argsort(key.view(np.uint64))
+        exact = key.view(np.uint64)[order], t[order], b[order]
+    floor = (smoothing / (n_t + size), smoothing / (n_b + size))
+    return _Model(smoothing, own, texts, floor, often, exact)
+
+
+_ENTRIES = "bucket int, batch long, side byte, kind byte, keys binary, extra binary, times binary, texts binary, sizes binary"
+_EMPTY = b""
+
+
+def _packed(side: int, kind: int, batch: int, buckets: int, keys, extra, times, text):
+    """Entries as one row a bucket: by word where ``kind`` says so, else by bigram; of scored texts in the order of texts."""
+    spread = (extra if kind == _BY_WORD else keys) >> np.uint64(11)
+    bucket = (spread % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket * (int(text.max(initial=0)) + 1) + text, kind="stable")
+    bucket, keys, times, text = bucket[order], keys[order], times[order], text[order]
+    extra = extra[order] if len(extra) else extra
+    times = times.astype(np.uint8 if int(times.max(initial=0)) < 256 else np.uint32)
+    edges = np.searchsorted(bucket, np.arange(buckets + 1))
+    for i in range(buckets):
+        a, b = edges[i], edges[i + 1]
+        if a < b:
+            texts, sizes = np.unique(text[a:b], return_counts=True) if side == _DOCS else (np.zeros(0, np.uint32),) * 2
+            yield (
+                i, batch, side, kind, keys[a:b].tobytes(), extra[a:b].tobytes() if len(extra) else _EMPTY, times[a:b].tobytes(),
+                texts.astype(np.uint32).tobytes(), sizes.astype(np.uint32).tobytes(),
+            )
 
 
-def cross_entropy_difference(docs: DataFrame, models: LanguageModels) -> DataFrame:
-    """Add n_tokens, loss_target, loss_background (bits a token) and ``difference``, the first less the second: low is like the target.
-
-    All words of all texts count. A text's bigrams that are not among the frequent ones are joined with the table of losses; texts
-    with bigrams of neither corpus are looked at once more, with the counts of contexts and words. Rows are told apart by
-    a 64-bit hash of their columns; equal rows have equal results. NULL and empty texts have no tokens and 0 in all columns;
-    columns of these names are replaced, all others are kept.
+def _rows(rows) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int8(), pa.int8()] + [pa.binary()] * 5
+    names = [f.split()[0] for f in _ENTRIES.split(", ")]
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+
+def _corpus_entries(texts: DataFrame, side: int, model: _Model, buckets: int, run: int) -> DataFrame:
+    """Counts of the bigrams that do not ride along, added up over a run."""
+    def entries(batches):
+        for word, before, _, _, _ in _runs(batches, run):
+            keys, first, times = np.unique(_key(before, word), return_index=True, return_counts=True)
+            near = _found(model.words[0], word[first])[1]
+            far = ~(near & _found(model.bigrams[0], keys)[1])
+            keys, words, times, near = keys[far], word[first[far]], times[far], near[far]
+            text = np.zeros(len(keys), np.int64)
+            rows = [*_packed(side, _BY_BIGRAM, -1, buckets, keys[near], _none(), times[near], text[near]),
+                    *_packed(side, _BY_WORD, -1, buckets, keys[~near], words[~near], times[~near], text[~near])]
+            yield _rows(rows)
+
+    return texts.select(whole()).mapInArrow(entries, _ENTRIES)
+
+
+def _none() -> np.ndarray:
+    return np.zeros(0, np.uint64)
+
+
+def _text_entries(docs: DataFrame, model: _Model, buckets: int, run: int) -> DataFrame:
+    """Per run of scored texts: one row with what is known of each, and an entry for each other bigram of each."""
+    s, own = model.smoothing, int(model.own)
+    words, words_t, words_b = model.words
+    pairs, pairs_t, pairs_b = model.bigrams
+
+    def entries(batches):
+        number, ids = TaskContext.get().partitionId() << 32, []
+
+        def noted():
+            for batch in batches:
+                ids.append(batch.column(0).to_numpy())
+                yield batch
+
+        for word, before, text, rows, spans in _runs(noted(), run // 2, 1):
+            known = np.concatenate([ids[i][a:b] for i, a, b in spans])
+            t, b = np.zeros(rows), np.zeros(rows)
+            # How often each event's word occurs in its own text, and from that the context's.
+            _, which, n = np.unique(mix(word + text.astype(np.uint64) * _TURN), return_inverse=True, return_counts=True)
+            here = n[which]
+            at, near = _found(words, word)
+            context, after = np.empty(len(word), np.int64), np.empty(len(word), np.int64)
+            context[1:], after[1:] = here[:-1], np.where(near, at, -1)[:-1]
+            start = before == _START
+            open_ = ~start & (after >= 0)
+            for sums, counts, off, of_texts in ((t, words_t, 0, model.texts[0]), (b, words_b, own, model.texts[1])):
+                sums += np.bincount(text[open_], np.log2(counts[after[open_]] - off * context[open_] + s), rows)
+                sums += np.bincount(text[start], minlength=rows) * np.log2(of_texts - off + s)
+            keys, first, times = np.unique(
+                mix(_key(before, word) + text.astype(np.uint64) * _TURN), return_index=True, return_counts=True
+            )
+            keys, at, near, here = _key(before[first], word[first]), at[first], near[first], here[first]
+            of, ws = text[first], word[first]
+            q_t, q_b = np.zeros(len(first)), np.zeros(len(first))
+            q_t[near], q_b[near] = model.unigram(words_t[at[near]], words_b[at[near]] - own * here[near])
+            spot, heavy = _found(pairs, keys)
+            heavy &= near
+            t -= np.bincount(of[heavy], times[heavy] * np.log2(pairs_t[spot[heavy]] + q_t[heavy]), rows)
+            b -= np.bincount(of[heavy], times[heavy] * np.log2(pairs_b[spot[heavy]] - own * times[heavy] + q_b[heavy]), rows)
+            far, rare = near & ~heavy, ~near
+            # Which word and how often the text has it: in four bytes where all fit, else in eight.
+            place, often = at[far].astype(np.uint64), here[far].astype(np.uint64)
+            fits = int(place.max(initial=0)) < 1 << 20 and int(often.max(initial=0)) < 1 << 12
+            known_words = (place << np.uint64(12) | often).astype(np.uint32) if fits else place << np.uint64(32) | often
+            tokens = np.bincount(text, minlength=rows) - np.bincount(text[start], minlength=rows)
+            out = [(number % buckets, number, _DOCS, _OWN, known.tobytes(), np.concatenate([t, b]).tobytes(), tokens.astype(np.int64).tobytes(), _EMPTY, _EMPTY)]
+            out += _packed(_DOCS, _BY_BIGRAM, number, buckets, keys[far], known_words, times[far], of[far])
+            out += _packed(_DOCS, _BY_WORD, number, buckets, keys[rare], ws[rare], times[rare], of[rare])
+            yield _rows(out)
+            number += 1
+
+    return docs.select("_row", "_scored").mapInArrow(entries, _ENTRIES)
+
+
+def _known(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place among the frequent words, and occurrences in the text, of ``n`` entries."""
+    kind, bits = (np.uint32, 12) if len(blob) == 4 * n else (np.uint64, 32)
+    both = np.frombuffer(blob, kind).astype(np.int64)
+    return both >> bits, both & ((1 << bits) - 1)
+
+
+def _terms(model: _Model):
+    """Of a bucket's entries: what each text in each run gains in both losses."""
+    s, own = model.smoothing, int(model.own)
+
+    def totals(inverse, kinds, side, times):
+        t = np.bincount(inverse[side == _TARGET], times[side == _TARGET], kinds)
+        from_background = side == (_DOCS if own else _BACKGROUND)
+        return t, np.bincount(inverse[from_background], times[from_background], kinds)
+
+    def add(table: pa.Table) -> pa.Table:
+        batch, side, kind = (table.column(c).to_numpy() for c in ("batch", "side", "kind"))
+        blob = {c: table.column(c).to_pylist() for c in ("keys", "extra", "times", "texts", "sizes")}
+        out = [(int(batch[i]), blob["keys"][i], blob["extra"][i], blob["times"][i]) for i in np.flatnonzero(kind == _OWN)]
+        for way in (_BY_BIGRAM, _BY_WORD):
+            rows = np.flatnonzero(kind == way)
+            if not (side[rows] == _DOCS).any():
+                continue
+            held = [len(blob["keys"][i]) // 8 for i in rows]
+            keys = np.frombuffer(b"".join(blob["keys"][i] for i in rows), np.uint64)
+            times = np.concatenate([
+                np.frombuffer(blob["times"][i], np.uint8 if len(blob["times"][i]) == n else np.uint32) for i, n in zip(rows, held)
+            ]).astype(np.float64)
+            of = np.repeat(side[rows], held)
+            kinds, pair = np.unique(keys, return_inverse=True)
+            pair_t, pair_b = totals(pair, len(kinds), of, times)
+            scored = np.flatnonzero(of == _DOCS)
+            texts = [np.frombuffer(blob["texts"][i], np.uint32) for i in rows if side[i] == _DOCS]
+            sizes = np.concatenate([np.frombuffer(blob["sizes"][i], np.uint32) for i in rows if side[i] == _DOCS])
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            n, pair = times[scored], pair[scored]
+            if way == _BY_BIGRAM:
+                place, often = (np.concatenate(x) for x in zip(*(_known(blob["extra"][i], n) for i, n in zip(rows, held) if side[i] == _DOCS)))
+                q_t, q_b = model.unigram(model.words[1][place], model.words[2][place] - own * often)
+                after_t = after_b = 0.0
+            else:
+                words, word = np.unique(np.frombuffer(b"".join(blob["extra"][i] for i in rows), np.uint64), return_inverse=True)
+                word_t, word_b = totals(word, len(words), of, times)
+                word = word[scored]
+                _, which = np.unique(text * len(words) + word, return_inverse=True)
+                here = np.bincount(which, n)[which]
+                c_t, c_b = word_t[word], word_b[word] - own * here
+                q_t, q_b = model.unigram(c_t, c_b)
+                after_t, after_b = n * np.log2(c_t + s), n * np.log2(c_b + s)  # the word as context of what follows it
+            t = np.bincount(text, after_t - n * np.log2(pair_t[pair] + q_t), len(sizes))
+            b = np.bincount(text, after_b - n * np.log2(pair_b[pair] - own * n + q_b), len(sizes))
+            ends = np.cumsum([len(x) for x in texts])
+            for i, x, stop in zip([i for i in rows if side[i] == _DOCS], texts, ends):
+                a = stop - len(x)
+                out.append((int(batch[i]), x.tobytes(), np.concatenate([t[a:stop], b[a:stop]]).tobytes(), None))
+        columns = list(zip(*out)) if out else [()] * 4
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["batch", "texts", "sums", "tokens"])
+
+    return add
+
+
+def _scores(table: pa.Table) -> pa.Table:
+    """Of all rows of a run: one row a text."""
+    texts, sums, tokens = (table.column(c).to_pylist() for c in ("texts", "sums", "tokens"))
+    own = next(i for i, x in enumerate(tokens) if x is not None)
+    ids, n = np.frombuffer(texts[own], np.int64), np.frombuffer(tokens[own], np.int64)
+    total = np.frombuffer(sums[own], np.float64).reshape(2, -1).copy()
+    for i, x in enumerate(tokens):
+        if x is None:
+            total[:, np.frombuffer(texts[i], np.uint32)] += np.frombuffer(sums[i], np.float64).reshape(2, -1)
+    events = np.where(n > 0, n + 1, 1)
+    return pa.table({"_row": ids, "n_tokens": n, "loss_target": total[0] / events, "loss_background": total[1] / events})
+
+
+def cross_entropy_difference(
+    docs: DataFrame, target: DataFrame, background: DataFrame | None = None, text: str = "text", smoothing: float = 64.0,
+    frequent: int = FREQUENT, heavy: int = HEAVY, run: int = RUN,
+) -> DataFrame:
+    """Add n_tokens, loss_target, loss_background (bits an event) and ``difference``, the first less the second: low is like the target.
+
+    Without ``background`` the scored texts are the background, and each is scored as if it were not in it: its own words, contexts
+    and bigrams come off the counts (the corpus totals stay), so what only this text says is not well known. All words of all
+    texts count, however many there are and however long a text is.
+
+    Terms of the most frequent words and bigrams are found where the texts are read. Every other bigram of a text
+    goes, packed, to the group of its rare word, or of the bigram where the word is frequent: there the counts of
+    both follow from the entries themselves, so no table of bigrams is ever written. No group is hot: a rare word has few
+    occurrences by definition, and a bigram that holds a great share of any run is among the most frequent.
+
+    Rows are told apart by a 64-bit hash of their columns; equal rows have equal results. NULL and empty texts have no
+    tokens and 0 in all columns, and are no text of either corpus; an empty corpus gives every word the same p(w). An empty table
+    stays empty. Columns of these names are replaced, all others are kept.
     """
     names = ["n_tokens", "loss_target", "loss_background", "difference"]
-    kept = docs.drop(*names, "_scored", "_row")
+    kept = docs.drop(*names, "_row", "_scored")
     plain = [F.col(f"`{c}`") for c, kind in kept.dtypes if "map<" not in kind and "variant" not in kind]
     keyed = kept.withColumn("_row", F.xxhash64(*plain))
-    texts = keyed.select("_row", whole().alias("_scored"))
-    times = F.col("times")
-
-    def added():
-        return [F.coalesce(F.sum(F.col(f"{m}_sum") + times * F.coalesce(m, F.lit(0.0))), F.lit(0.0)).alias(f"_{m}") for m in "tb"]
-
-    found = _bigrams_of_texts(texts, models).join(models.bigrams.drop("n"), ["prev", "word"], "left")
-    missed = F.sum(F.when(F.col("t").isNull(), times).otherwise(0)).alias("_missed")
-    sums = stage(found.groupBy("_row").agg(*added(), F.sum("tokens").alias("_tokens"), F.sum("texts").alias("_texts"), missed), "scores")
-    open_rows = sums.where("_missed > 0").select("_row")
-    if open_rows.limit(1).count():
-        again = _bigrams_of_texts(texts.join(open_rows, "_row", "left_semi"), models).where("times > 0")
-        unseen = again.join(models.bigrams, ["prev", "word"], "left_anti").withColumns({"t_n": F.lit(0), "b_n": F.lit(0)})
-        more = _with_losses(unseen, models.contexts, models.singles, models.totals)
-        more = more.groupBy("_row").agg(*added()).withColumnsRenamed({"_t": "_t_more", "_b": "_b_more"})
-        sums = sums.join(more, "_row", "left").withColumns({f"_{m}": F.col(f"_{m}") + F.coalesce(f"_{m}_more", F.lit(0.0)) for m in "tb"})
-    mean = lambda m: F.col(f"_{m}") / F.greatest("_tokens", F.lit(1))
-    scores = sums.select("_row", (F.col("_tokens") / F.col("_texts")).cast("long").alias("n_tokens"), mean("t").alias("loss_target"), mean("b").alias("loss_background"))
-    return keyed.join(scores, "_row", "left").withColumn("difference", F.col("loss_target") - F.col("loss_background")).drop("_row")
+    texts, wanted = keyed.select("_row", whole(text).alias("_scored")), target.select(_text(target, text))
+    own = background is None
+    other = texts.select(F.col("_scored").alias("text")) if own else background.select(_text(background, text))
+    model = fit(wanted, other, own, smoothing, frequent, heavy, run)
+    n = model.texts[1] + (0 if not model.floor[1] else int(smoothing / model.floor[1]))
+    buckets = max(spread_of(docs), n // _BUCKET)
+    entries = _text_entries(texts, model, buckets, run).unionByName(_corpus_entries(wanted, _TARGET, model, buckets, run))
+    if not own:
+        entries = entries.unionByName(_corpus_entries(other, _BACKGROUND, model, buckets, run))
+    parts = entries.groupBy("bucket").applyInArrow(_terms(model), "batch long, texts binary, sums binary, tokens binary")
+    scores = parts.groupBy("batch").applyInArrow(_scores, "_row long, n_tokens long, loss_target double, loss_background double")
+    # Equal rows have been scored each for itself, with the same result.
+    one = scores.groupBy("_row").agg(*[F.min(c).alias(c) for c in names[:3]])
+    return keyed.join(one, "_row", "left").withColumn("difference", F.col("loss_target") - F.col("loss_background")).drop("_row")
+
+
+def _text(df: DataFrame, text: str) -> Column:
+    return whole(text if text in df.columns else df.columns[0]).alias("text")
 
 
 def op7_cross_entropy_difference(spark, sf_dir):
     """Documents scored for likeness to dialogue: the target is all turns of the conversations."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    models = fit_models(read_table(spark, sf_dir, "conversations").select("text"), docs)
-    return cross_entropy_difference(docs, models).drop("text")
+    return cross_entropy_difference(docs, read_table(spark, sf_dir, "conversations").select("text")).drop("text")
