@@ -36,9 +36,22 @@ GIVEN = {
     "mк": ["Алексей", "Андрей", "Борис", "Виктор", "Дмитрий", "Иван", "Михаил", "Николай", "Павел", "Сергей"],
     "fк": ["Анна", "Вера", "Елена", "Ирина", "Людмила", "Мария", "Наталья", "Ольга", "Татьяна", "Юлия"],
 }
+# Capitalised words at which a name ends, as they begin sentences or name days and months.
+NO_NAMES = [
+    "A", "After", "And", "As", "At", "Before", "But", "By", "For", "From", "He", "Her", "His", "How", "I", "If", "In", "It", "My", "No", "Not",
+    "Now", "Of", "On", "Or", "Our", "She", "So", "That", "The", "Their", "Then", "There", "They", "This", "To", "We", "What", "When", "Where",
+    "Who", "Why", "With", "Yes", "You", "Your", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday", "January", "February",
+    "March", "April", "May", "June", "July", "August", "September", "October", "November", "December", "Aber", "Als", "Am", "Auf", "Bei", "Da",
+    "Das", "Dann", "Der", "Die", "Ein", "Eine", "Er", "Es", "Für", "Ich", "Ihr", "Im", "Mit", "Nach", "Sie", "Und", "Von", "Wenn", "Wir",
+    "Montag", "Dienstag", "Mittwoch", "Donnerstag", "Freitag", "Samstag", "Sonntag", "Januar", "Februar", "März", "Mai", "Juni", "Juli", "Oktober", "Dezember",
+    "Au", "Avec", "Ce", "Dans", "Elle", "En", "Et", "Il", "Ils", "Je", "La", "Le", "Les", "Mais", "Nous", "Où", "Par", "Pour", "Quand", "Que",
+    "Qui", "Si", "Sur", "Un", "Une", "Vous", "Al", "Como", "Con", "Cuando", "De", "Del", "El", "Ella", "Las", "Los", "Para", "Pero",
+    "Por", "Su", "Sus", "Una", "Yo", "И", "В", "Во", "На", "Но", "Он", "Она", "Они", "С", "У", "Что", "Это", "Я", "Мы", "Вы",
+]
 
 _UPPER = "[A-ZÀ-ÖØ-ÞЀ-Я]"
-_NAME = rf"{_UPPER}[a-zß-öø-ÿа-џ]+(?:-{_UPPER}[a-zß-öø-ÿа-џ]+)?"
+_WORD = rf"{_UPPER}[a-zß-öø-ÿа-џ]+(?:-{_UPPER}[a-zß-öø-ÿа-џ]+)?"
+_NAME = rf"(?!(?:{'|'.join(NO_NAMES)})\b){_WORD}"
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _GIVEN = "|".join(g for gs in GIVEN.values() for g in gs)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -55,6 +68,8 @@ ENTITY = re.compile(
 _MARKS = re.compile("[@0-9]")
 _PREFIXES = ("AKIA", "ASIA", "ghp_", "sk-")
 _NAMES = re.compile(rf"\b(?:(?:{_TITLE})\.? (?P<titled>{_NAME}(?: {_NAME})*)|(?P<given>(?:{_GIVEN})(?: {_NAME})+))")
+_ALONE = re.compile(rf"(?<!\w){_WORD}(?!\w)")
+_LISTED = frozenset(g for gs in GIVEN.values() for g in gs)
 
 _VOWELS, _CONSONANTS = "aeiouy", "bcdfghjklmnpqrstvwxz"
 _ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
@@ -98,7 +113,10 @@ class Surrogates:
         return "".join(out)
 
     def _walk(self, text: str, kind: str, alphabets: list[str], fits) -> str:
-        """The permutation restricted to strings for which ``fits`` holds: step on until one does."""
+        """The permutation restricted to strings for which ``fits`` holds: step on until one does.
+
+        ``fits`` must hold for ``text`` itself: its cycle leads back to it, so the walk ends under every key.
+        """
         text = self.permute(text, kind, alphabets)
         while not fits(text):
             text = self.permute(text, kind, alphabets)
@@ -142,25 +160,27 @@ class Surrogates:
                 return new
 
     def email(self, text: str) -> str:
-        """Local part and labels of the domain by themselves, so one mail host stays one; the top-level domain is kept. Case does not tell addresses apart."""
+        """Local part and labels of the domain by themselves, so one mail host stays one; the top-level domain is kept. Case does not
+        tell addresses apart: it is laid over the surrogate place by place."""
         local, _, domain = text.lower().partition("@")
         *labels, top = domain.split(".")
-        return ".".join([f"{self.permute(local, 'local', _ALPHABETS)}@" + ".".join(self.permute(x, "label", _ALPHABETS) for x in labels), top])
+        new = ".".join([f"{self.permute(local, 'local', _ALPHABETS)}@" + ".".join(self.permute(x, "label", _ALPHABETS) for x in labels), top])
+        return "".join(n.upper() if o.isupper() else n for n, o in zip(new, text))
 
-    def name(self, text: str, given: bool) -> str:
-        """Known given names become others of their gender and script, other names keep length, script and spoken form.
+    def name(self, text: str) -> str:
+        """Each word by itself and whatever its place, so a person is the same in full, after a title and by any one name.
 
-        A given name is the first of several words, or a single one that is said to be ``given``.
+        Listed given names become others of their gender and script. Other words keep length, script and spoken form, and from
+        four letters on their last one, which tells the gender in many names; they never become listed ones.
         """
-        words = text.split(" ")
-        out = []
-        for i, word in enumerate(words):
-            names = next((ns for ns in GIVEN.values() if word in ns), None) if i == 0 and (given or len(words) > 1) else None
-            if names:
-                out.append(self._ranked(names)[word])
-            else:
-                out.append(self._walk(word, "name", _SPOKEN, lambda x: not any(x in ns for ns in GIVEN.values())))
-        return " ".join(out)
+        return " ".join(self._word(w) for w in text.split(" "))
+
+    def _word(self, word: str) -> str:
+        names = next((ns for ns in GIVEN.values() if word in ns), None)
+        if names:
+            return self._ranked(names)[word]
+        end = word[-1] if len(word) > 3 else ""
+        return self._walk(word[:len(word) - len(end)], f"name{end}", _SPOKEN, lambda x: x + end not in _LISTED) + end
 
     def _ranked(self, names: list[str]) -> dict[str, str]:
         at = tuple(names)
@@ -178,8 +198,8 @@ class Surrogates:
             return self.address(value)
         if kind == "email":
             return self.email(value)
-        if kind in ("name", "given"):
-            return self.name(value, kind == "given")
+        if kind == "name":
+            return self.name(value)
         if kind == "key":
             head = 3 if value.startswith("sk-") else 4
             return value[:head] + self.permute(value[head:], "key", _ALPHABETS)
@@ -220,41 +240,47 @@ def normal(kind: str, value: str) -> str:
 
 
 def entities(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, type) of every entity of a text. Every word of a full name or after a title is found again alone;
-    the first word of a full name has type given there. A word that is both in one text counts as what it is first.
-    """
+    """(start, end, type) of every entity of a text, in time linear in its length. Every word of a name that was found by its
+    title or a listed given name is found again alone."""
     found = []
     if _MARKS.search(text) or any(p in text for p in _PREFIXES):
         found = [(m.start(m.lastgroup), m.end(m.lastgroup), m.lastgroup) for m in ENTITY.finditer(text)]
-    named = [m.span(m.lastgroup) for m in _NAMES.finditer(text)]
-    if named:
-        known: dict[str, str] = {}
-        for a, b in named:
-            words = text[a:b].split(" ")
-            for i, word in enumerate(words):
-                known.setdefault(word, "given" if i == 0 and len(words) > 1 else "name")
-        named = [(a, b, "name") for a, b in named]
-        alone = re.compile(r"\b(?:" + "|".join(sorted(map(re.escape, known), key=len, reverse=True)) + r")\b")
-        found.sort()
-        taken = sorted((a, b) for a, b, _ in [*found, *named])
-        starts = [a for a, _ in taken]
-        for m in alone.finditer(text):
-            i = bisect_right(starts, m.start()) - 1
-            if (i < 0 or taken[i][1] <= m.start()) and (i + 1 == len(taken) or taken[i + 1][0] >= m.end()):
-                named.append((*m.span(), known[m.group()]))
-        apart = [(a, b, kind) for a, b, kind in named if not any(x < b and a < y for x, y, _ in found)] if found else named
-        found = sorted([*found, *apart])
-    return found
+    named = [(*m.span(m.lastgroup), "name") for m in _NAMES.finditer(text)]
+    if not named:
+        return found
+    known = {word for a, b, _ in named for word in text[a:b].split(" ")}
+    full = _Taken(named)
+    for m in _ALONE.finditer(text):
+        at = m.start()
+        for part in [m.group()] if m.group() in known else m.group().split("-"):
+            if part in known and full.free(at, at + len(part)):
+                named.append((at, at + len(part), "name"))
+            at += len(part) + 1
+    others = _Taken(found)
+    return sorted([*found, *(x for x in named if others.free(*x[:2]))])
+
+
+class _Taken:
+    """Spans that do not overlap, and whether another one lies free of them."""
+
+    def __init__(self, spans):
+        self.spans = sorted(spans)
+        self.starts = [a for a, *_ in self.spans]
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect_right(self.starts, a) - 1
+        return (i < 0 or self.spans[i][1] <= a) and (i + 1 == len(self.spans) or self.spans[i + 1][0] >= b)
 
 
 def with_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """``docs`` with every entity in ``text`` replaced; adds ``entities``: (start, end in the new text, type, value_hash, surrogate).
 
     Types: e-mail, phone, payment card, IPv4 address, social security number, access keys and secrets, names after a
-    title or beginning with a listed given name, with all capitalised words that follow. A surrogate has its value's type,
-    length of number, separators and script, the gender of a listed given name (titles stay; other given names have
-    no gender), and a valid check digit where the value has one. NULL texts stay NULL, empty ones empty;
-    repeated rows are treated alike; a column named entities is replaced, all others are kept.
+    title or beginning with a listed given name, with the capitalised words that follow up to one of ``NO_NAMES``. A surrogate has
+    its value's type, length of number, separators, case and script, the gender of a listed given name (titles stay; of other
+    names the last letter stays), and a valid check digit where the value has one. NULL texts stay NULL, empty ones empty;
+    repeated rows are treated alike; a very long text takes time linear in its length; an empty table stays empty; a column
+    named entities is replaced, all others are kept.
     """
     def run(batches):
         surrogates = Surrogates(key)
@@ -274,7 +300,7 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
                     new = memo[kind, old]
                     out += [text[last:a], new]
                     token = hashlib.blake2b(normal(kind, old).encode(), key=key, digest_size=16).hexdigest()
-                    listed.append({"start": a + shift, "end": a + shift + len(new), "type": "name" if kind == "given" else kind, "value_hash": token, "surrogate": new})
+                    listed.append({"start": a + shift, "end": a + shift + len(new), "type": kind, "value_hash": token, "surrogate": new})
                     shift += len(new) - (b - a)
                     last = b
                 texts.append("".join([*out, text[last:]]) if spans else text)
@@ -297,18 +323,21 @@ def collisions(replaced: DataFrame) -> DataFrame:
     Mentions are reduced to distinct entities before the shuffle, so an entity that a third of all documents mention is one row of each task.
     """
     one = replaced.select(F.explode("entities").alias("e")).select("e.type", "e.value_hash", "e.surrogate")
-    spoken = F.when(F.col("type").isin("card", "phone"), F.regexp_replace("surrogate", r"\D", "")).otherwise(F.col("surrogate"))
+    spoken = F.when(F.col("type").isin("card", "phone"), F.regexp_replace("surrogate", r"\D", "")).otherwise(F.when(F.col("type") == "email", F.lower("surrogate")).otherwise(F.col("surrogate")))
     distinct = one.select("type", "value_hash", spoken.alias("surrogate")).distinct()
     return distinct.groupBy("type", "surrogate").agg(F.count("*").alias("values")).where("values > 1")
 
 
-def pseudonymised(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """``with_surrogates``, written down and checked: raises if two different entities share a surrogate."""
-    replaced = stage(with_surrogates(docs, key), "surrogates")
-    clash = collisions(replaced).limit(1).collect()
-    if clash:
-        raise ValueError(f"two {clash[0].type} entities share a surrogate; use another key")
-    return replaced
+def pseudonymised(docs: DataFrame, key: bytes = KEY, attempts: int = 3) -> DataFrame:
+    """``with_surrogates``, written down and checked: where two different entities share a surrogate, all are drawn
+    anew under a key that follows from ``key``, and after so many ``attempts`` it raises."""
+    for _ in range(attempts):
+        replaced = stage(with_surrogates(docs, key), "surrogates")
+        clash = collisions(replaced).limit(1).collect()
+        if not clash:
+            return replaced
+        key = hashlib.blake2b(key, digest_size=32).digest()
+    raise ValueError(f"two {clash[0].type} entities share a surrogate under {attempts} keys")
 
 
 def op4_surrogates(spark, sf_dir):
