@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import unused
 from ..sources.staging import stage
 from .common import read_table, whole
 
@@ -133,9 +134,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, size:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no window of an item occurs, unchanged."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(whole()) == F.col("_h")), "left_anti")
+    """The rows of ``docs`` in which no window of an item occurs, unchanged, whatever their other columns are called."""
+    name, text = unused(docs, "_id", "_h")
+    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias(name), F.col("text_hash").alias(text)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)) & (F.xxhash64(whole()) == F.col(text)), "left_anti")
 
 
 def op6_prefix_filtered_join(spark, sf_dir):

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import unused
 from ..sources.staging import stage
 from .common import read_table, whole
 from .words import mix, pieces, word_hashes
@@ -327,14 +328,15 @@ def without_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) ->
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
     # Of texts of one class under one id, the smallest hash stays.
     stays = kept.groupBy("class_key", "doc_id").agg(F.min("text_hash").alias("_hash"), F.count("*").alias("_n"))
-    left = docs.withColumn("_hash", node())
+    text, name, other = unused(docs, "_hash", "_id", "_h")
+    left = docs.withColumn(text, node())
     kept_rows = left.join(
-        stays.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h")),
-        left["doc_id"].eqNullSafe(F.col("_id")) & (left["_hash"] == F.col("_h")), "left_semi",
+        stays.select(F.col("doc_id").alias(name), F.col("_hash").alias(other)),
+        F.col("doc_id").eqNullSafe(F.col(name)) & (F.col(text) == F.col(other)), "left_semi",
     )
     if stays.where("_n > 1").limit(1).count():
-        kept_rows = kept_rows.dropDuplicates(["doc_id", "_hash"])
-    return kept_rows.drop("_hash")
+        kept_rows = kept_rows.dropDuplicates(["doc_id", text])
+    return kept_rows.drop(text)
 
 
 def op10_weighted_minhash(spark, sf_dir):

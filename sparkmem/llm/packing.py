@@ -108,19 +108,37 @@ def mixture_order(cut: DataFrame, shares: DataFrame | None, window: int) -> Data
     return slim.join(turns, ["_round", "_source"]).select("_block", "_row", "_part", (F.col("_shift") + F.col("_start")).alias("_place"), "_round")
 
 
+def checked_shares(shares: DataFrame) -> DataFrame:
+    """``shares`` (_source, _share) with one positive share a source, scaled to add up to 1; raises where that cannot be.
+
+    A NULL source is the queue named ''. One row a source reaches no driver: sums and counts are checked.
+    """
+    named = stage(shares.select(F.coalesce(F.col("_source").cast("string"), F.lit("")).alias("_source"), F.col("_share").cast("double").alias("_share")), "shares")
+    bad = F.col("_share").isNull() | F.isnan("_share") | (F.col("_share") <= 0) | (F.col("_share") == float("inf"))
+    total, rows, sources, wrong = named.agg(F.sum("_share"), F.count("*"), F.count_distinct("_source"), F.count_if(bad)).first()
+    if wrong:
+        raise ValueError(f"{wrong} shares are not positive numbers")
+    if sources < rows:
+        raise ValueError("a source has several shares")
+    return named.withColumn("_share", F.col("_share") / F.lit(total or 1.0))
+
+
 def packed(
     docs: DataFrame, vocabulary: str | None = None, length: int = 1024, window: int = 64 * 1024, shares: DataFrame | None = None,
 ) -> DataFrame:
     """Pieces of documents in sequences of ``length`` tokens; each token lies in exactly one piece.
 
     (doc_id, source, start, length, doc_tokens, sequence_id, offset, ids: 16-bit little-endian bytes). Every window of
-    ``window`` tokens holds the sources in their target shares, up to one packet of ``length`` tokens a source. Sequences
+    ``window`` tokens holds the sources in their target shares, up to one packet of ``length`` tokens a source, while all have packets
+    left. ``shares`` (_source, _share) are scaled to add up to 1; a source they do not name takes its token share. Sequences
     follow one another without padding; only the last one is short.
 
     NULL and empty texts are one token (the end mark), a NULL source is a queue named '';
     repeated rows are packed as often as they occur; an empty table gives an empty result; other columns are not read.
     ``docs`` should be a stored table or one step from it: each input task is a block of the queues.
     """
+    if shares is not None:
+        shares = checked_shares(shares)
     cut = stage(packets(docs, vocabulary or vocabulary_path(), length), "packets")
     placed = mixture_order(cut, shares, window)
     both = placed.join(cut.select("_block", "_row", "_part", "doc_id", "_source", "_tokens", "_n", "_ids"), ["_block", "_row", "_part"])
