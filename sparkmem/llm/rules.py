@@ -11,13 +11,8 @@ from .common import read_table, whole
 _SPACE = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 
-#: Measure -> what is added below the lower and above the upper fence; None: no fence on that side.
-SLACK = {
-    "word_length": (1.0, 1.0),
-    "symbol_share": (None, 0.02),
-    "dup_line_share": (None, 0.5),
-    "repeat_share": (None, 0.1),
-}
+#: Measure -> whether a low value counts against a document too; high ones always do.
+MEASURES = {"word_length": True, "symbol_share": False, "dup_line_share": False, "repeat_share": False}
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -76,14 +71,14 @@ def _shares() -> dict[str, Column]:
     }
 
 
-def thresholds(rows: DataFrame, k: int, reach: float, least_rows: int) -> DataFrame:
-    """Fences per (_lang, _source): quartiles from KLL sketches, ``reach`` interquartile ranges away.
+def thresholds(rows: DataFrame, k: int, tail: float, least_rows: int) -> DataFrame:
+    """Fences per (_lang, _source): the quantiles of KLL sketches that leave ``tail`` of the rows beyond them.
 
     A group's sketch is built by partial aggregation, so a source with a third of all rows is sketched where its
-    rows lie. Sketches of sources merge into their language's and these into one of all
-    rows; a group of fewer than ``least_rows`` rows takes its fences from its language's, or from all.
+    rows lie. Sketches of sources merge into their language's and these into one of all rows; a group of fewer than
+    ``least_rows`` rows takes its fences from its language's, or from all.
     """
-    names = list(SLACK)
+    names = list(MEASURES)
     groups = rows.groupBy("_lang", "_source").agg(
         F.count("*").alias("_n"), *[F.kll_sketch_agg_double(m, F.lit(k)).alias(m) for m in names]
     )
@@ -97,32 +92,32 @@ def thresholds(rows: DataFrame, k: int, reach: float, least_rows: int) -> DataFr
     every = merged(groups, [], "all")
     table = groups.join(langs, "_lang").join(every, F.lit(True))
     fences = []
-    for m, (low, high) in SLACK.items():
+    for m, low in MEASURES.items():
         sketch = F.when(F.col("_n") >= least_rows, F.col(m)).when(F.col("_n_lang") >= least_rows, F.col(f"{m}_lang")).otherwise(F.col(f"{m}_all"))
-        q1, q3 = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-        if low is not None:
-            fences.append((q1 - reach * (q3 - q1) - low).alias(f"_low_{m}"))
-        fences.append((q3 + reach * (q3 - q1) + high).alias(f"_high_{m}"))
+        fences.append(F.kll_sketch_get_quantile_double(sketch, F.lit(1 - tail)).alias(f"_high_{m}"))
+        if low:
+            fences.append(F.kll_sketch_get_quantile_double(sketch, F.lit(tail)).alias(f"_low_{m}"))
     return table.select("_lang", "_source", *fences)
 
 
-def adaptive_rules(docs: DataFrame, k: int = 1024, reach: float = 3.0, least_rows: int = 50) -> DataFrame:
+def adaptive_rules(docs: DataFrame, k: int = 1024, tail: float = 0.025, least_rows: int = 100) -> DataFrame:
     """Measures and verdict per document: (doc_id, lang, source, counts, base_failed, kept).
 
     A document is kept if it passes the base rule (50 words or more, at most half of them in
-    repeated windows) and each measure lies inside the fences of its language and source.
-    Fences come from the documents that pass the base rule. NULL lang or source is a group of
-    its own; repeated rows are judged alike; an empty table gives an empty result; input
-    columns beside doc_id, text, lang and source are not read.
+    repeated windows) and each measure lies inside the fences of its language and source, ends included: the ``tail`` and
+    1 - ``tail`` quantiles of the documents there that pass the base rule, and no constant. So about ``tail`` of a group goes
+    by each fence, less where many documents share the outermost value. NULL lang or source is a group of its own;
+    repeated rows are judged alike; a very long text is one row of built-in functions; an empty table gives an empty result;
+    input columns beside doc_id, text, lang and source are not read.
     """
     rows = stage(measured(docs), "rules").withColumns({
         "_lang": F.coalesce("lang", F.lit("")), "_source": F.coalesce("source", F.lit("")), "base_failed": base_failed(), **_shares(),
     })
-    fences = thresholds(rows.where(~F.col("base_failed")), k, reach, least_rows)
+    fences = thresholds(rows.where(~F.col("base_failed")), k, tail, least_rows)
     inside = F.lit(True)
-    for m, (low, _) in SLACK.items():
+    for m, low in MEASURES.items():
         inside = inside & (F.col(m) <= F.col(f"_high_{m}"))
-        if low is not None:
+        if low:
             inside = inside & (F.col(m) >= F.col(f"_low_{m}"))
     # A group without fences has no document that passes the base rule.
     return rows.join(fences, ["_lang", "_source"], "left").select(
