@@ -418,6 +418,7 @@ WHERE tier IN ('daily', 'yearly') AND importance >= 0.3 AND (sentiment = 'positi
     "forget": with_(MEMORIES) + f"SELECT id, importance FROM memories WHERE NOT (created_at < {NOW} - INTERVAL 30 DAY AND importance < 0.3)",
     "forget_count": with_(MEMORIES) + f"SELECT count(*) FILTER (WHERE created_at < {NOW} - INTERVAL 30 DAY AND importance < 0.3) AS dropped FROM memories",
     "knn": with_(MEMORIES, PROMPTS, nearest(10)) + HITS + "near",
+    "knn_approx_all": with_(MEMORIES, PROMPTS, nearest(10)) + HITS + "near",
     "knn_where": with_(MEMORIES, PROMPTS, nearest(3, "m.tier = 'daily'")) + HITS + "near",
     "knn_min_importance": with_(MEMORIES, PROMPTS, nearest(10)) + HITS.replace(", rank FROM", ", place AS rank FROM")
     + """(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS place
@@ -472,6 +473,7 @@ WHERE tier IN ('daily', 'yearly') AND importance >= 0.3 AND (sentiment = 'positi
     "settle_monthly": with_(MEMORIES, settle(MON, "memories", "y")) + flat("y_hot"),
     "settle_monthly_archive": with_(MEMORIES, settle(MON, "memories", "y")) + ARCHIVE_OUT + "y_archived",
     "archive_lookup": with_(MEMORIES, ACCESSES, settle(DAY, "memories", "d")) + "SELECT id, content, merged_into FROM d_archived WHERE id IN (SELECT id FROM accesses)",
+    "archive_found": with_(MEMORIES, ACCESSES, settle(DAY, "memories", "d")) + "SELECT id, content, merged_into FROM d_archived WHERE id IN (SELECT id FROM accesses)",
     "all_memories": with_(MEMORIES, settle(DAY, "memories", "d")) + """SELECT id, user_id, tier, FALSE AS archived, NULL AS merged_into FROM d_hot
 UNION ALL SELECT id, user_id, tier, TRUE, merged_into FROM d_archived""",
     "summarize_batches": with_(SUMMARIES) + flat("remembered"),

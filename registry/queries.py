@@ -176,6 +176,11 @@ def knn_approx(spark, d):
     return _hits(sm.knn_approx(prompts(spark, d), memories(spark, d), 10))
 
 
+def knn_approx_all(spark, d):
+    """The approximate search with all lists looked into, which is exact."""
+    return _hits(sm.knn_approx(prompts(spark, d), memories(spark, d), 10, lists=16, probes=16))
+
+
 def update_metadata(spark, d):
     tally = sm.access_tally(accesses(spark, d))
     updates = tally.select("id", F.col("hits").cast("int").alias("access_count"), F.col("last_hit").alias("last_accessed"),
@@ -366,6 +371,16 @@ def archive_lookup(spark, d):
     return sm.lookup_archive(archived, accesses(spark, d)).select("id", "content", "merged_into")
 
 
+def archive_found(spark, d):
+    """The same ids looked up through files: two runs written and indexed, and only the files the index names read."""
+    archived = sm.settle(memories(spark, d), sm.DAILY_TO_MONTHLY, NOW).archived
+    path, index = _fresh(spark, "archive"), _fresh(spark, "index")
+    for run, rows in (("even", archived.where("access_count % 2 = 0")), ("odd", archived.where("access_count % 2 = 1"))):
+        sm.write_archive(rows, path, run)
+        sm.write_archive_index(spark, path, index, run)
+    return sm.find_archived(spark, path, index, accesses(spark, d)).select("id", "content", "merged_into")
+
+
 def all_memories(spark, d):
     s = sm.settle(memories(spark, d), sm.DAILY_TO_MONTHLY, NOW)
     return sm.all_memories(s.hot, s.archived).select("id", "user_id", "tier", "archived", "merged_into")
@@ -565,6 +580,7 @@ QUERIES = {
     "knn_where": knn_where,
     "knn_min_importance": knn_min_importance,
     "knn_approx": knn_approx,
+    "knn_approx_all": knn_approx_all,
     "update_metadata": update_metadata,
     "upsert": upsert,
     "delete_ids": delete_ids,
@@ -597,6 +613,7 @@ QUERIES = {
     "settle_monthly": partial(_settle, rule=sm.MONTHLY_TO_YEARLY, part="hot"),
     "settle_monthly_archive": partial(_settle, rule=sm.MONTHLY_TO_YEARLY, part="archived"),
     "archive_lookup": archive_lookup,
+    "archive_found": archive_found,
     "all_memories": all_memories,
     "summarize_batches": summarize_batches,
     "leftover_rounds": leftover_rounds,

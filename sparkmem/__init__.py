@@ -68,7 +68,7 @@ from .plans.lifecycle import (
 from .plans.lineage import last_summaries, lineage_edges, originals
 from .plans.recall import recall, recall_context, recall_increments, recall_updates, rerank, tier_weighted_rank
 from .plans.remember import remember, summarize_batches
-from .sources.archive import archive_index, lookup_archive, read_archive, write_archive
+from .sources.archive import archive_index, find_archived, lookup_archive, read_archive, write_archive, write_archive_index
 from .sources.memories import read_due, read_memories, write_memories
 from .sources.notes import read_notes
 from .sources.rounds import append_rounds, read_rounds, stream_rounds

@@ -21,6 +21,7 @@ from .ordering import top_rows
 
 QUERY_BLOCK = 1024
 MEMORY_BLOCK = 8192
+SAMPLE, SAMPLE_PROMPTS = 8192, 256  # vectors and prompts the approximate search learns from, at most
 SMALL_QUERIES = 1024  # prompts that may travel inside a task closure
 SMALL_BYTES = 64 << 20
 _SLICE = 256
@@ -69,32 +70,88 @@ def knn_approx(
     queries: DataFrame,
     memories: DataFrame,
     k: int,
-    lists: int = 16,
-    probes: int = 8,
+    lists: int = 64,
+    probes: int | None = None,
+    target: float = 0.95,
     seed: int = 7,
     where: dict | None = None,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Approximate top-k: memories are filed under their nearest of ``lists`` directions
-    and each prompt looks into the ``probes`` nearest lists.
-
-    The directions are fixed by the seed, so filing needs no training pass. A list
-    that outgrows a block is searched block by block like any other group. Prompts whose lists hold fewer than k
-    memories are searched exactly, so k are found wherever k exist.
+    """Approximate top-k: memories are filed under the nearest of ``lists`` centroids and each prompt looks into the nearest lists.
+
+    Centroids are learnt from a bounded sample (``SAMPLE`` vectors). How many lists to look into is measured there too: as few as hold
+    ``target`` of the true neighbours of sampled prompts in the sample, which are farther apart than in the whole
+    table. So clustered vectors need few lists; where more than half of them would be needed, filing spares nothing and the search
+    is exact. ``probes`` sets the number instead; all of them give the exact result. A list that outgrows a block is searched
+    block by block like any other group. Prompts whose lists hold fewer than k memories are searched exactly, so k are found wherever
+    k exist.
     """
     queries = _vectors(queries, "q_embedding").select("user_id", "_dim", "query_id", "q_embedding")
     stored = where_metadata(memories, where or {})
     vectors = _vectors(stored, "embedding").select("user_id", "_dim", "id", "embedding")
-    filed = _file_under(vectors, "embedding", lists, 1, seed)
-    asked = _file_under(queries, "q_embedding", lists, probes, seed)
+    centroids, needed = _trained(vectors, queries, k, lists, target, seed)
+    probes = needed if probes is None else probes
+    if 2 * probes > lists and probes < lists:
+        return _with_columns(_ranked(_grid(queries, vectors, ["user_id", "_dim"], k, None), k), stored, carry)
+    filed = _file_under(vectors, "embedding", centroids, 1)
+    asked = _file_under(queries, "q_embedding", centroids, probes)
     near = stage(_ranked(_grid(asked, filed, ["user_id", "_dim", "_list"], k, None), k), "near")
     enough = near.groupBy("query_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= k).select("query_id")
-    short = stage(queries.join(enough, "query_id", "left_anti"), "short")
-    rest = _ranked(_grid(short, vectors, ["user_id", "_dim"], k, None), k)
-    best = near.join(enough, "query_id", "left_semi").unionByName(rest)
+    best = near
+    if probes < lists:
+        short = stage(queries.join(enough, "query_id", "left_anti"), "short")
+        if not short.isEmpty():
+            rest = _ranked(_grid(short, vectors, ["user_id", "_dim"], k, None), k)
+            best = near.join(enough, "query_id", "left_semi").unionByName(rest)
     return _with_columns(best, stored, carry)
 
 
+def _sampled(df: DataFrame, key: str, column: str, rows: int) -> dict[int, np.ndarray]:
+    """At most ``rows`` vectors, by order of a hash of their key: unit rows by length of vector."""
+    head = df.select("_dim", column).orderBy(F.xxhash64(key), key).limit(rows).toArrow()
+    return {
+        dim: _unit(head.filter(pc.equal(head.column("_dim"), dim)).column(column)) for dim in pc.unique(head.column("_dim")).to_pylist()
+    }
+
+
+def _trained(vectors, queries, k: int, lists: int, target: float, seed: int) -> tuple[dict[int, np.ndarray], int]:
+    """(centroids by length of vector, lists to look into), both from bounded samples."""
+    sample, asked = _sampled(vectors, "id", "embedding", SAMPLE), _sampled(queries, "query_id", "q_embedding", SAMPLE_PROMPTS)
+    centroids, missed = {}, np.zeros(lists + 1)
+    for dim, x in sample.items():
+        centroids[dim] = c = _k_means(x, lists, seed)
+        q = asked.get(dim)
+        if q is None:
+            continue
+        home = np.argmax(np.round(x @ c.T, _DIGITS), axis=1)
+        sims = np.round(q @ x.T, _DIGITS)
+        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        place = np.argsort(np.argsort(-np.round(q @ c.T, _DIGITS), axis=1, kind="stable"), axis=1, kind="stable")
+        at = np.take_along_axis(place, home[top], axis=1).ravel()
+        missed += np.bincount(at, minlength=lists + 1)
+    share = np.cumsum(missed) / max(missed.sum(), 1)
+    return centroids, int(np.searchsorted(share, target)) + 1 if missed.any() else lists
+
+
+def _k_means(x: np.ndarray, lists: int, seed: int, rounds: int = 8) -> np.ndarray:
+    """Unit centroids of unit vectors; a centroid that loses all its vectors starts again at one that is far from its own."""
+    rng = np.random.default_rng(seed)
+    c = x[rng.permutation(len(x))[:lists]]
+    if len(c) < lists:
+        c = np.concatenate([c, rng.standard_normal((lists - len(c), x.shape[1]))])
+    for _ in range(rounds):
+        sims = np.round(x @ c.T, _DIGITS)
+        home = np.argmax(sims, axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, home, x)
+        empty = np.flatnonzero(np.bincount(home, minlength=lists) == 0)
+        far = np.argsort(sims.max(axis=1), kind="stable")[:len(empty)]
+        sums[empty[:len(far)]] = x[far]
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(norms > 0, sums / np.where(norms > 0, norms, 1), c)
+    return c
+
+
 def _vectors(df: DataFrame, column: str) -> DataFrame:
     """Rows with a vector; only vectors of one length (``_dim``) are compared."""
     return df.where(F.col(column).isNotNull() & (F.size(column) > 0)).withColumn("_dim", F.size(column))
@@ -243,20 +300,17 @@ def _grid(queries, memories, keys, k, floor) -> DataFrame:
     return left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(cell, schema)
 
 
-def _file_under(df: DataFrame, column: str, lists: int, n: int, seed: int) -> DataFrame:
-    """Add ``_list``: one row for each of the n fixed directions nearest to the vector."""
+def _file_under(df: DataFrame, column: str, centroids: dict[int, np.ndarray], n: int) -> DataFrame:
+    """Add ``_list``: one row for each of the n centroids nearest to the vector. A length of vector without centroids has one list."""
     schema = T.StructType([*df.schema.fields, T.StructField("_list", T.IntegerType())])
 
     def task(batches):
-        directions = {}  # by vector length
         for batch in batches:
             for dim in pc.unique(batch.column("_dim")).to_pylist():
                 part = pa.Table.from_batches([batch]).filter(pc.equal(batch.column("_dim"), dim))
-                if dim not in directions:
-                    drawn = np.random.default_rng(seed).standard_normal((lists, dim))
-                    directions[dim] = drawn / np.linalg.norm(drawn, axis=1, keepdims=True)
                 x = _unit(part.column(column))
-                near = np.argsort(-np.round(x @ directions[dim].T, _DIGITS), axis=1, kind="stable")[:, :n]
+                known = centroids.get(dim, np.zeros((1, dim)))
+                near = np.argsort(-np.round(x @ known.T, _DIGITS), axis=1, kind="stable")[:, :n]
                 t = part.take(pa.array(np.repeat(np.arange(len(x)), near.shape[1])))
                 t = t.append_column("_list", pa.array(near.ravel().astype(np.int32)))
                 yield from t.to_batches()

@@ -97,6 +97,27 @@ def test_approximate_search_finds_k_wherever_k_exist(spark, crowd):
     assert got == {i: (min(50, owned[i % 2]),) * 2 for i in range(30)}
 
 
+def test_approximate_search_learns_clusters_and_looks_into_few_lists(spark):
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(40, 32))
+    x = centres[rng.integers(40, size=6000)] + 0.15 * rng.normal(size=(6000, 32))
+    v = sm.stage(spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "n long, e array<float>"), "v")
+    user = F.lit(1).cast("long").alias("user_id")
+    m = v.select(F.concat(F.lit("m"), "n").alias("id"), user, F.col("e").alias("embedding"))
+    q = v.where("n % 20 = 0").select(F.col("n").alias("query_id"), user, F.col("e").alias("q_embedding"))
+    vectors, asked = search._vectors(m, "embedding"), search._vectors(q, "q_embedding")
+    centroids, probes = search._trained(vectors, asked, 10, 64, 0.95, 7)
+    assert list(centroids) == [32] and centroids[32].shape == (64, 32) and probes <= 8
+    exact = sm.stage(sm.knn(q, m, 10).select("query_id", "id"), "exact")
+    found = sm.knn_approx(q, m, 10)
+    assert found.join(exact, ["query_id", "id"], "left_semi").count() >= 0.9 * exact.count() and found.count() == exact.count()
+    # Without clusters more lists are looked into, and as much is found.
+    r = spark.createDataFrame([(i, [float(a) for a in rng.normal(size=32)]) for i in range(800)], "n long, e array<float>")
+    m, q = r.select(F.concat(F.lit("m"), "n").alias("id"), user, F.col("e").alias("embedding")), r.select(F.col("n").alias("query_id"), user, F.col("e").alias("q_embedding"))
+    assert search._trained(search._vectors(m, "embedding"), search._vectors(q, "q_embedding"), 10, 64, 0.95, 7)[1] > 16
+    assert sm.knn_approx(q, m, 10).select("query_id", "id").intersect(sm.knn(q, m, 10).select("query_id", "id")).count() >= 0.9 * 8000
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

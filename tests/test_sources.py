@@ -145,3 +145,20 @@ def test_tier_weights(spark):
     assert [r.id for r in sm.tier_weighted_rank(h, 3).orderBy("rank").collect()] == ["c", "b", "a"]
 
 
+def test_kept_index_opens_only_the_files_it_names(spark, tmp_path):
+    path, index = str(tmp_path / "archive"), str(tmp_path / "index")
+    archived = sm.stage(sm.settle(memories(spark, SF), sm.DAILY_TO_MONTHLY, NOW).archived, "a")
+    for run, rows in (("a", archived.where("access_count % 2 = 0")), ("b", archived.where("access_count % 2 = 1"))):
+        for _ in range(2):  # a repeated run changes nothing
+            sm.write_archive(rows, path, run)
+            sm.write_archive_index(spark, path, index, run)
+    one = archived.orderBy("id").limit(1)
+    got = sm.find_archived(spark, path, index, one)
+    (period, run), = {(r.period, "ab"[r.access_count % 2]) for r in one.collect()}
+    assert [r.id for r in got.collect()] == [one.first().id]
+    scan = got._jdf.queryExecution().optimizedPlan().collectLeaves().head().relation().location()
+    assert len(scan.inputFiles()) == 1 and f"period={period}/run={run}" in scan.inputFiles()[0]
+    every = sm.find_archived(spark, path, index, archived, few=10)
+    assert sorted(r.id for r in every.collect()) == sorted(r.id for r in archived.collect())
+    assert sorted(r.id for r in sm.find_archived(spark, path, index, archived, most_files=1).collect()) == sorted(r.id for r in archived.collect())
+    assert sm.find_archived(spark, path, index, spark.createDataFrame([("no",), (None,)], "id string")).isEmpty()
