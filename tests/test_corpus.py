@@ -44,7 +44,7 @@ def test_ingest_counts_files_and_skips_what_is_excluded(spark):
     files = {r.file_name: (r.excluded, r.imported) for r in out.files.collect()}
     assert files == {"a.md": (False, 1), "private.md": (True, 0), "c.md": (True, 0), "d.md": (False, 0)}
     m = out.memories.first()
-    assert m.source == "manual" and m.content == "A useful note about the plan." and m.session_id.startswith("manual-2024-07-01-")
+    assert m.source == "manual" and m.content == "A useful note about the plan. It is long enough to be kept in memory." and m.session_id.startswith("manual-2024-07-01-")
     assert len(m.embedding) == 512 and abs(sum(x * x for x in m.embedding) - 1) < 1e-5
 
 
