@@ -32,7 +32,7 @@ FREQUENT, HEAVY = 1 << 18, 1 << 17
 #: A bigram seen so often in one run may be among the most frequent.
 _OFTEN = 32
 #: Events whose terms are looked for in one group of rows, about.
-_BUCKET = 1 << 20
+_BUCKET = 1 << 21
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 _START, _END = np.uint64(1), np.uint64(2)
 _DOCS, _TARGET, _BACKGROUND = 0, 1, 2
@@ -81,8 +81,10 @@ def _runs(batches, run: int, column: int = 0):
             if held >= run:
                 yield _run(parts, rows)
                 parts, held, rows = [], 0, 0
+                pa.default_memory_pool().release_unused()  # workers live on between tasks
     if rows:
         yield _run(parts, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def _run(parts, rows):
