@@ -155,3 +155,15 @@ def test_streamed_rounds_are_the_read_rounds(spark, tmp_path):
     q.awaitTermination(120)
     assert spark.table("rounds_out").exceptAll(stored).isEmpty()
     assert stored.count() == r.count() == spark.table("rounds_out").count()
+
+
+def test_sessions_of_a_table_that_is_a_folder_of_files(spark, tmp_path):
+    from registry.queries import stream_sessions
+
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", "x") for c in range(6) for t in range(3)]
+    rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    rows.repartition(3).write.parquet(str(tmp_path / "many" / "conversations.parquet"))
+    (tmp_path / "one").mkdir()
+    rows.toPandas().to_parquet(tmp_path / "one" / "conversations.parquet")
+    many, one = (sorted(stream_sessions(spark, str(tmp_path / d)).collect(), key=lambda r: r.conv_id) for d in ("many", "one"))
+    assert many == one and [r.conv_id for r in many] == list("01234")
