@@ -181,3 +181,15 @@ def test_every_hit_passes_both_bars(spark):
     opts = sm.RecallOptions(min_score=0.25, min_cosine=0.1, top_k=3)
     hits = sm.recall(prompts(spark, SF), memories(spark, SF), NOW, opts).hits
     assert hits.where("score < 0.25 or cosine < 0.1 or rank > 3").isEmpty() and not hits.isEmpty()
+
+
+def test_letter_vectors_count_each_text_once(spark):
+    """A filter on the vectors repeats nothing of what they are computed from."""
+    from registry.queries import letter_embedder
+
+    texts = spark.createDataFrame([(1, "Abba, a b"), (2, ""), (3, None)], "n int, t string")
+    vectors = letter_embedder("ab")(texts, "t", "v")
+    plan = vectors.where(F.col("v").isNotNull() & (F.size("v") > 0))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
+    found = {r.n: list(r.v) for r in vectors.collect()}
+    assert np.allclose(found[1], [0.5 ** 0.5, 0.5 ** 0.5]) and found[2] == found[3] == [0.0, 0.0]
