@@ -14,7 +14,8 @@ from ..operators.search import knn
 from ..options import DecayOptions, RecallOptions
 from ..sources.staging import stage
 
-_CARRY = ("content", "topics", "importance", "base_importance", "access_count", "created_at", "tier")
+_CARRY = ("importance", "base_importance", "access_count", "created_at", "tier")
+_TEXTS = ("content", "topics")
 
 
 class Recall(NamedTuple):
@@ -41,9 +42,25 @@ def recall(
     if "q_embedding" not in queries.columns:
         # Written once: the search reads the prompts several times, and each reading would call the model again.
         queries = stage((embedder or hashing_embedder())(queries.where(F.col("prompt") != ""), "prompt", "q_embedding"), "prompts")
-    near = knn(queries, memories, opts.candidates, min_cosine=opts.min_cosine, carry=_CARRY)
-    hits = rerank(score(near, now, opts, decay_opts), opts)
-    return Recall(hits, recall_updates(hits, now))
+    marked = memories.withColumn("_said", _mark())
+    near = knn(queries, marked, opts.candidates, min_cosine=opts.min_cosine, carry=(*_CARRY, "_said"))
+    best = rerank(score(near, now, opts, decay_opts), opts)
+    return Recall(_with_texts(best, memories), recall_updates(best, now))
+
+
+def _mark():
+    """Tells apart rows of one id that say different things."""
+    return F.xxhash64(*_TEXTS)
+
+
+def _with_texts(best: DataFrame, memories: DataFrame) -> DataFrame:
+    """The texts of the hits that are left; candidates and the ranking do without. One row a hit, however often an id is there."""
+    key = ["user_id", "id", "_said"]
+    texts = memories.withColumn("_said", _mark()).groupBy(*key).agg(F.any_value(F.struct(*_TEXTS)).alias("_texts"))
+    found = best.join(texts, key)
+    order = [c for c in best.columns if c != "_said"]
+    at = order.index("distance") + 1
+    return found.select(*order[:at], *[f"_texts.{c}" for c in _TEXTS], *order[at:])
 
 
 def score(candidates: DataFrame, now, opts: RecallOptions = RecallOptions(), decay_opts=DecayOptions()) -> DataFrame:
@@ -90,6 +107,7 @@ def recall_context(hits: DataFrame, opts: RecallOptions = RecallOptions()) -> Da
         "created_at", "content", "topics", "cosine", "effective", "score",
         opts.weight_similarity, opts.weight_importance,
     )
+    line = F.substring(line, 1, opts.max_chars + 1)  # no more of it can be shown, and so much tells that the text is too long
     head, tail = opts.template.split("{memories}")
     ordered = F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).getField("line")
     block = F.concat(F.lit(head), F.array_join(ordered, "\n"), F.lit(tail))

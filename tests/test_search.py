@@ -193,3 +193,18 @@ def test_letter_vectors_count_each_text_once(spark):
     assert plan.count("lower(") == 1
     found = {r.n: list(r.v) for r in vectors.collect()}
     assert np.allclose(found[1], [0.5 ** 0.5, 0.5 ** 0.5]) and found[2] == found[3] == [0.0, 0.0]
+
+
+def test_candidates_are_ranked_without_their_texts(spark, monkeypatch):
+    """Texts meet the hits that are left; rows of one id that say different things stay apart."""
+    from sparkmem.plans import recall as plan
+
+    carried = []
+    monkeypatch.setattr(plan, "knn", lambda *a, carry, **more: carried.extend(carry) or search.knn(*a, carry=carry, **more))
+    rows = [{"id": i, "user_id": 1, "content": c, "embedding": [1.0, 0.0], "base_importance": 0.5, "access_count": 0}
+            for i, c in (("a", "x"), ("a", "y"), ("b", "z"))]
+    asked = spark.createDataFrame([(1, 1, [1.0, 0.0])], "query_id long, user_id long, q_embedding array<float>")
+    out = sm.recall(asked, memory_rows(spark, rows), NOW, sm.RecallOptions(min_score=0.0, min_cosine=0.0))
+    assert sorted((r.id, r.content) for r in out.hits.collect()) == [("a", "x"), ("a", "x"), ("a", "y"), ("a", "y"), ("b", "z")]
+    assert carried and not {"content", "topics"} & set(carried)
+    assert {r.id: r.access_count for r in out.updates.collect()} == {"a": 4, "b": 1}
