@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import sparkmem as sm
 from registry.inputs import NOW
+from sparkmem.functions.models import extractive_summarizer
 
 ROUNDS = "user_id long, conv_id string, round_id string, user_text string, assistant_text string, ts timestamp"
 
@@ -164,3 +165,21 @@ def test_all_rows_can_be_one_group(spark):
     got = number_rows(spark.range(100).repartition(4), [], [F.desc("id")]).collect()
     assert all(r.position == 100 - r.id and r.group_rows == 100 for r in got)
     assert number_rows(spark.range(0), [], ["id"]).isEmpty()
+
+
+def test_summarizer_counts_a_text_in_its_row(spark):
+    """No word is shuffled; texts that share their name are counted together, those without one keep nothing."""
+    said = ["Rose garden plan. Rose and water. Nothing new rose.", "Empty", "", None, "Ağaç ağaç. Ördek GÖL göl!", "x. " * 400 + "Zebra zebra runs."]
+    rows = spark.createDataFrame([(f"b{i}", t) for i, t in enumerate(said)], "batch_id string, text string")
+    out = extractive_summarizer(max_chars=30)(rows)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.batch_id: json.loads(r.raw) for r in out.collect()}
+    assert got["b0"]["summary"] == "Rose garden plan." and got["b0"]["topics"] == ["rose", "garden", "nothing", "plan", "water"]
+    assert got["b2"]["summary"] == got["b3"]["summary"] == "" and got["b2"]["topics"] == []
+    assert got["b4"]["topics"] == ["ağaç", "ördek"]
+    assert got["b5"]["summary"].endswith("Zebra zebra runs.") and len(got["b5"]["summary"]) <= 30
+    twice = rows.where("batch_id = 'b0'").unionByName(rows).unionByName(spark.createDataFrame([(None, "Lost.")], rows.schema))
+    again = [(r.batch_id, json.loads(r.raw)) for r in extractive_summarizer(max_chars=30)(twice).collect()]
+    assert len(again) == 8 and [r["topics"] for b, r in again if b == "b0"] == [got["b0"]["topics"]] * 2
+    assert [r["summary"] for b, r in again if b is None] == [""]
+    assert all(r == got[b] for b, r in again if b not in ("b0", None))
