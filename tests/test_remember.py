@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import sparkmem as sm
 from registry.inputs import NOW
 from sparkmem.functions.models import extractive_summarizer
+from sparkmem.operators.merging import extractive_reducer
 
 ROUNDS = "user_id long, conv_id string, round_id string, user_text string, assistant_text string, ts timestamp"
 
@@ -183,3 +184,48 @@ def test_summarizer_counts_a_text_in_its_row(spark):
     assert len(again) == 8 and [r["topics"] for b, r in again if b == "b0"] == [got["b0"]["topics"]] * 2
     assert [r["summary"] for b, r in again if b is None] == [""]
     assert all(r == got[b] for b, r in again if b not in ("b0", None))
+
+
+def test_numbered_rows_are_dealt_out_once(spark):
+    """The counts that shift the numbers are written down, so the rows meet them without a second exchange."""
+    from sparkmem.operators.ordering import number_rows
+
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
+    plan = number_rows(df, ["k"], ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+    assert [r.position for r in number_rows(df, ["k"], ["id"]).where("k = 1").orderBy("id").collect()] == [*range(1, 334)]
+
+
+def test_reducer_equals_brute_force_with_sentences_that_add_nothing(spark):
+    """Repeated sentences fill what room is left, in order, and only if all that add a word fit."""
+    import random
+
+    draw = random.Random(7)
+    texts = {}
+    for user in range(8):
+        words = [f"w{chr(97 + i)}{chr(97 + i)}" for i in range(3 + 3 * user)]
+        texts[user] = [". ".join(" ".join(draw.choices(words, k=draw.randint(1, 4))) for _ in range(draw.randint(1, 5))) + ".\n!?\n" if i % 5 else None for i in range(30)]
+
+    def expected(contents, budget):
+        said = [[s.strip() + "." for s in (c or "").split("\n")[0].split(".") if s.strip()] for c in contents]
+        counts, first, rows = {}, {}, [(i, j, s) for i, c in enumerate(said) for j, s in enumerate(c)]
+        for i, j, s in rows:
+            for w in s[:-1].split():
+                counts[w] = counts.get(w, 0) + 1
+                first.setdefault(w, (i, j))
+        score = {(i, j): sum(n.bit_length() for w, n in counts.items() if first[w] == (i, j)) for i, j, _ in rows}
+        kept, total = [], 0
+        for i, j, s in sorted(rows, key=lambda r: (-score[r[:2]], r[:2])):
+            total += len(s) + 1
+            if total <= budget + 1:
+                kept.append((i, j, s))
+        lines = {}
+        for i, _, s in sorted(kept):
+            lines.setdefault(i, []).append(s)
+        return "\n".join(" ".join(lines[i]) for i in sorted(lines))
+
+    rows = [(u, "2024-01", 1, datetime(2024, 1, 1, 0, i), f"m{i:02d}", c, [], [], 0.5, None) for u, cs in texts.items() for i, c in enumerate(cs)]
+    members = spark.createDataFrame(rows, "user_id long, period string, ord int, created_at timestamp, id string, content string, topics array<string>, key_facts array<string>, base double, sentiment string")
+    for budget in (60, 400):
+        got = {r.user_id: r.summary for r in extractive_reducer(budget)(members).collect()}
+        assert got == {u: expected(cs, budget) for u, cs in texts.items()}
