@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,13 +15,28 @@ from sparkmem.llm.pii import pseudonymised
 from sparkmem.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
 from sparkmem.sources.staging import stage
 
+#: Bytes of rows that a Python worker is given at a time. The JVM and the worker hold a batch several times over.
+BATCH_BYTES = 4 << 20
+
+
+def _in_small_batches(step):
+    """Bounds the batches by bytes: 10,000 texts together, Spark's default, are as large as the texts happen to be."""
+    @functools.wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return step(spark, docs, sf_dir)
+
+    return run
+
 
+@_in_small_batches
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxic passages score ``THRESHOLD`` or more go."""
     model = fit_toxicity(docs, read_table(spark, sf_dir, "labels"))
     return score_toxicity(docs, model).where(F.col("score") < THRESHOLD).select(*docs.columns)
 
 
+@_in_small_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the smallest id stays."""
     return without_near_duplicates(docs).select(*docs.columns)
@@ -30,6 +47,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return without_contaminated(docs, read_table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
+@_in_small_batches
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced by surrogates in the texts; n_chars follows the new text."""
     clean = pseudonymised(docs)
@@ -38,6 +56,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return clean.select(*docs.columns)
 
 
+@_in_small_batches
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All that is left, in sequences of 1,024 tokens with the sources in their shares."""
     return packed(docs)

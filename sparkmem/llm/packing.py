@@ -51,7 +51,7 @@ def packets(docs: DataFrame, vocabulary: str, length: int) -> DataFrame:
                         rows[n].append(v)
                 held += len(ids)
                 row += 1
-                if held > 8 << 20:
+                if held > 2 << 20:
                     yield flush()
         if held:
             yield flush()

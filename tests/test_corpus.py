@@ -1,8 +1,11 @@
 import re
 
+import pyarrow as pa
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 import sparkmem as sm
 from sparkmem.operators.corpus import chunk_corpus, pack_chunks
 
@@ -54,3 +57,18 @@ def test_reembed_uses_the_short_text(spark):
     rows = {r.id: r for r in sm.reembed(m, sm.hashing_embedder(64)).collect()}
     assert rows["a"].embedding_text == "t1 t2 f" and rows["b"].embedding_text == "content"
     assert rows["a"].embedding == rows["c"].embedding != rows["b"].embedding
+
+
+def test_python_workers_get_bounded_batches(spark):
+    """Whatever the texts' size, a worker is given some 4 MB together, in every stage that has Python tasks."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    docs = spark.range(2000).coalesce(1).select(F.repeat(F.lit("long text "), 1000).alias("text"))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    step = corpus_pipeline._in_small_batches(lambda spark, docs, sf_dir: docs.mapInArrow(sizes, "n long"))
+    got = [r.n for r in step(spark, docs, "").collect()]
+    assert sum(got) >= 20_000_000 and max(got) < 2 * corpus_pipeline.BATCH_BYTES
+    bounded = [name for name, stage in corpus_pipeline.STAGES if hasattr(stage, "__wrapped__")]
+    assert bounded == ["toxicity", "near_duplicates", "personal_data", "packing"]
